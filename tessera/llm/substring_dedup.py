@@ -15,10 +15,11 @@ a super-k-mer. Equal windows have equal minimisers at the same place in them, so
 4. The first places return to their documents, where every window of a travelled
    super-k-mer that is not a first place is a copy and the words it covers go.
 
-Documents are ordered by id, rows with one id by text. Windows compare by their words, never
+Documents are ordered by id. Windows compare by their words, never
 by hashes alone. Edge cases: null ids sort first; a null text has no words and is kept; texts
-shorter than a window lose nothing; a repeated row is a later document; an empty table gives
-an empty one; other columns stay as they are.
+shorter than a window lose nothing; rows of one id are ordered by the hash of their text, and
+equal rows are one document, whose result each gets; an empty table gives an empty one; other
+columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import words as tw
-from .shared import quoted, solid_id
+from .shared import quoted, shared_dir, solid_id
 
 #: A super-k-mer has width - gram + 1 windows at most: 62 or fewer, for they are bits of a long.
 WIDTH, GRAM = 20, 5
@@ -97,19 +100,45 @@ def _own(lists: pa.Array, ords: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _zip(batches):
+    """(doc, ord, text, _row) with each text compressed: it crosses the network once."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in tw.slices(batch, "text"):
+            buf, off = tw.text_buffer(part.column(2))
+            data = buf.tobytes()
+            zipped = [squeeze(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(zipped, pa.binary()), pa.array(np.diff(off)), part.column(3)], names=["doc", "ord", "zip", "size", "_row"])
+
+
+def _unzipped(batches):
+    """(batch, texts) in passes of bounded text size."""
+    grow = zstandard.ZstdDecompressor()
+    for batch in batches:
+        size = np.cumsum(batch.column(3).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + tw.PASS_BYTES, side="right")))
+            part = batch.slice(at, to - at)
+            yield part, pa.array([grow.decompress(z) if z else b"" for z in part.column(2).to_pylist()], pa.large_binary())
+            at = to
+
+
 def _pack(width: int, gram: int):
-    """(doc, ord, text, places) -> each named super-k-mer's words joined by a space."""
+    """Zipped texts with places -> each named super-k-mer's words joined by a space."""
 
     def run(batches):
-        for batch in tw.passes(batches, "text"):
-            w = tw.split(batch.column(2))
-            doc, ord = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = _own(batch.column(3), ord)
+        for batch, texts in _unzipped(batches):
+            own = _own(batch.column(5), batch.column(1).to_numpy())
+            some = np.flatnonzero([len(x) > 0 for x in own])
+            if not len(some):
+                continue
+            own = [own[i] for i in some]
+            w = tw.split(texts.take(pa.array(some)))
+            doc, ord = batch.column(0).to_numpy()[some], batch.column(1).to_numpy()[some]
             start, _, low = super_kmers(w, width, gram)
-            code = np.concatenate([x + (int(w.first[i]) << 8) for i, x in enumerate(own)]) if own else np.zeros(0, np.int64)
+            code = np.concatenate([x + (int(w.first[i]) << 8) for i, x in enumerate(own)])
             begin, n = code >> 8, code & 255
-            if not len(begin):
-                continue
             owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
             low = low[np.searchsorted(start, begin)]
             data, a, b = w.raw(), w.start[begin].tolist(), w.end[begin + n + width - 2].tolist()
@@ -123,10 +152,14 @@ def _pack(width: int, gram: int):
 
 
 def _cut(width: int):
-    """Super-k-mers -> each window of its own."""
+    """Of the super-k-mers with a hot minimiser, each window of its own."""
 
     def run(batches):
-        for batch in tw.passes(batches, "packed", 1 << 20):
+        for batch in batches:
+            yield from parts(batch.filter(pc.is_valid(batch.column(3))))
+
+    def parts(batch):
+        for batch in tw.slices(batch, "packed", 1 << 18):
             w = tw.split(batch.column(0))
             doc, place = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at = np.flatnonzero(tw.inner(w, width))
@@ -189,27 +222,42 @@ def _removed(width: int, counts: np.ndarray, first: np.ndarray, places, ords, fi
     return np.cumsum(edge[:-1]) > 0
 
 
-def _joined(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: list[str]):
-    """(doc, ord, text, _row) of each row, with its travelled places and first places."""
+def _joined(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: list[str]) -> DataFrame:
+    """(doc, ord, zip, size, _row) of each row, with its travelled places and first places.
+
+    One plan in which the zipped texts, the places and the folded super-k-mers are each
+    shuffled once and read again where they are used again (the same exchange).
+    """
     spark = docs.sparkSession
+    shared_dir(spark)
     rows = docs.select(solid_id(id).alias("doc"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(quoted(c) for c in keep)).alias("_row"))
-    rows = rows.withColumn("ord", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).cast("long"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    again = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc").checkpoint()
+    if again.isEmpty():
+        rows = rows.withColumn("ord", F.lit(0).cast("long"))
+    else:
+        ords = rows.join(again, "doc", "left_semi").select("doc", "mark").distinct()
+        ords = ords.withColumn("ord", (F.row_number().over(Window.partitionBy("doc").orderBy("mark")) - 1).cast("long"))
+        rows = rows.join(ords.checkpoint(), ["doc", "mark"], "left").withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
+    rows = rows.select("doc", "ord", "text", "_row")
     texts = rows.select("doc", "ord", "text")
     shared = texts.mapInArrow(_scan(width, gram, False), "low long").groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
     places = texts.mapInArrow(_scan(width, gram, True), "low long, doc long, place long").join(shared, "low", "left_semi")
     places = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    packed = texts.join(places, "doc").select("doc", "ord", "text", "places").mapInArrow(_pack(width, gram), "low long, packed binary, doc long, place long")
+    zip_schema = StructType([*rows.select("doc", "ord").schema, StructField("zip", BinaryType()), StructField("size", LongType()), rows.schema["_row"]])
+    zipped = rows.mapInArrow(_zip, zip_schema).join(places, "doc", "left").select("doc", "ord", "zip", "size", "_row", "places")
+    packed = zipped.mapInArrow(_pack(width, gram), "low long, packed binary, doc long, place long")
     earliest = F.min(F.struct("doc", "place")).alias("at")
     folded = packed.groupBy("low", "packed").agg(earliest)
-    hot = folded.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "low").limit(HOT_KEYS).select("low", F.lit(True).alias("hot"))
+    hot = folded.groupBy("low").agg(F.count("at").alias("n")).where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "low").limit(HOT_KEYS).select("low", F.lit(True).alias("hot"))
     folded = folded.join(F.broadcast(hot), "low", "left")  # HOT_KEYS rows at most
     n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = folded.where("hot is null").select(F.pmod(F.xxhash64("low"), F.lit(n_buckets)).alias("bucket"), "packed", "at.doc", "at.place")
-    single = folded.where("hot").select("packed", "at.doc", "at.place").mapInArrow(_cut(width), "packed binary, doc long, place long")
+    single = folded.select("packed", "at.doc", "at.place", "hot").mapInArrow(_cut(width), "packed binary, doc long, place long")
     single = single.groupBy("packed").agg(earliest).select(F.pmod(F.xxhash64("packed"), F.lit(n_buckets)).alias("bucket"), "packed", "at.doc", "at.place")
     firsts = whole.unionByName(single).groupBy("bucket").applyInArrow(_first_places(width), "doc long, place long, bits long")
     firsts = firsts.groupBy("doc").agg(F.collect_list(F.struct("place", "bits")).alias("firsts"))
-    return rows.join(places.join(firsts, "doc", "left"), "doc", "left").select("doc", "ord", "text", "places", "firsts", "_row")
+    return zipped.join(firsts, "doc", "left").select("doc", "ord", "zip", "size", "_row", "places", "firsts")
 
 
 def _apply(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: list[str], columns: dict[str, str], measure) -> DataFrame:
@@ -219,11 +267,11 @@ def _apply(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: lis
         schema = schema.add(c, kind)
 
     def run(batches):
-        for batch in tw.passes(batches, "text"):
-            w = tw.split(batch.column(2))
-            gone = _removed(width, w.counts, w.first, batch.column(3), batch.column(1).to_numpy(), batch.column(4))
-            made = measure(w, gone, batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(5), *(pa.array(x) for x in made)], names=["_row", *columns])
+        for batch, texts in _unzipped(batches):
+            w = tw.split(texts)
+            gone = _removed(width, w.counts, w.first, batch.column(5), batch.column(1).to_numpy(), batch.column(6))
+            made = measure(w, gone, texts)
+            yield pa.RecordBatch.from_arrays([batch.column(4), *(pa.array(x) for x in made)], names=["_row", *columns])
 
     return found.mapInArrow(run, schema).select(*(F.col("_row").getField(c).alias(c) for c in keep), *columns)
 
@@ -266,7 +314,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
     def measure(w, gone, column):
         lost = tw.per_text(gone, w.first)
-        texts = [t if not n else k.decode() for t, n, k in zip(column.to_pylist(), lost, _kept_words(w, gone), strict=True)]
+        texts = [(k if n else t).decode() for t, n, k in zip(column.to_pylist(), lost, _kept_words(w, gone), strict=True)]
         return texts, lost, w.counts.astype(np.int64)
 
     out = _apply(docs, id, text, width, gram, keep, {"_text": "string", "_lost": "long", "_words": "long"}, measure)
