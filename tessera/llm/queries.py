@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, simhash, substring_dedup
+from . import chat, decontaminate, mixing, quality, simhash, substring_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_read(spark, sf_dir, "documents"))
 
@@ -31,10 +35,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", toxicity.in_fold("doc_id").alias("held_out"))
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels").where(~toxicity.in_fold("doc_id")))
+    scored = toxicity.toxic_scores(docs, model, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op4_substring_dedup, op5_decontaminate, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash)}
 
 ORACLE: dict[str, str] = {}
