@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as tw
-from .shared import NO_ID, quoted, shared_dir, solid_id
+from .shared import NO_ID, quoted, saved, solid_id
 
 #: Kept places of a span of 12 words.
 MASKS = ((0, 1, 3, 4, 6, 7, 9, 11), (0, 2, 3, 5, 6, 8, 10, 11), (0, 1, 2, 5, 7, 8, 10, 11))
@@ -185,15 +185,13 @@ def contaminated(
 ) -> DataFrame:
     """doc (NO_ID for null), mark (the text's hash), item_id and the best overlap of each contaminated pair."""
     spark = docs.sparkSession
-    shared_dir(spark)
-    items = _items(benchmark, item_id, item_text).checkpoint()
+    items = saved(_items(benchmark, item_id, item_text), "items")
     lengths = [r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect()]  # SPAN - SHORTEST numbers at most
     masks = _masks(lengths)
     seeds = _item_seeds(items, masks)
     table = spark.sparkContext.broadcast(_filter(seeds, filter_bits))
     rows = docs.select(solid_id(id).alias("doc"), F.xxhash64(quoted(text)).alias("mark"), quoted(text).cast("string").alias("text"))
-    hits = rows.mapInArrow(_scan(masks, table, filter_bits), "doc long, mark long, hashes array<long>, places array<int>, parts array<struct<start:int,words:string>>")
-    hits = hits.checkpoint()
+    hits = saved(rows.mapInArrow(_scan(masks, table, filter_bits), "doc long, mark long, hashes array<long>, places array<int>, parts array<struct<start:int,words:string>>"), "hits")
     each = hits.select("doc", "mark", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc", "mark", F.col("x.hashes").alias("h"), F.col("x.places").alias("at"))
     diagonals = each.join(seeds, "h").select("doc", "mark", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     laid = diagonals.join(hits.select("doc", "mark", "parts").dropDuplicates(["doc", "mark"]), ["doc", "mark"]).join(items.select("item", "words"), "item")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, simhash, substring_dedup, toxicity, warc
+from . import chat, decontaminate, licenses, mixing, quality, simhash, substring_dedup, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash, op9_token_counts, op10_licenses)}
 
 ORACLE: dict[str, str] = {}

@@ -11,7 +11,7 @@
    XORs and counts bits of block against block and skips block pairs whose counts differ
    beyond the radius. Keys with many rows are dealt over several tiles, each pair of parts
    meeting in one. A tile returns a spanning forest of its links, never all pairs.
-5. Components by alternating large-star and small-star rounds, each cut by checkpoint().
+5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
 than a shingle is one shingle; rows with a null id get a fingerprint and a null component
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as tw
-from .shared import NO_ID, map_texts, quoted, shared_dir, solid_id
+from .shared import NO_ID, map_texts, quoted, saved, solid_id
 
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
@@ -206,8 +206,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A round joins each edge with the smallest neighbour of an end, so a hub's edges stay
     separate rows. Ends when the edges form stars, which the edge set's checksum shows.
     """
-    shared_dir(edges.sparkSession)
-    edges = edges.distinct().checkpoint()
+    edges = saved(edges.distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -215,7 +214,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = small.checkpoint()
+        edges = saved(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -226,13 +225,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, seeds: tuple[int, ...]) -> DataFrame:
     """keep (first of them _id), fingerprints and _group: the smallest id reachable, NO_ID_FROM or more if all are null."""
     lanes = len(seeds)
-    spark = docs.sparkSession
-    shared_dir(spark)
     fps = [f"fp{i}" for i in range(lanes)]
-    marked = with_fingerprints(docs, text, shingle, seeds, keep).checkpoint()
+    marked = saved(with_fingerprints(docs, text, shingle, seeds, keep), "fingerprints")
     stand_in = F.shiftrightunsigned(F.xxhash64(*fps), 2) + F.lit(NO_ID_FROM)
     distinct = marked.groupBy(*fps).agg(F.min(F.col("_id").cast("long")).alias("low")).select(*fps, F.coalesce("low", stand_in).alias("id"))
-    distinct = distinct.checkpoint()
+    distinct = saved(distinct, "distinct")
     linked = components(links(distinct, radius, lanes, max(1, distinct.count())))
     rep = distinct.join(linked, "id", "left").select(*fps, F.coalesce("component", "id").alias("_group"))
     return marked.join(rep, fps, "left")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import words as tw
-from .shared import quoted, shared_dir, solid_id
+from .shared import quoted, saved, solid_id
 
 #: A super-k-mer has width - gram + 1 windows at most: 62 or fewer, for they are bits of a long.
 WIDTH, GRAM = 20, 5
@@ -229,19 +229,19 @@ def _joined(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: li
     shuffled once and read again where they are used again (the same exchange).
     """
     spark = docs.sparkSession
-    shared_dir(spark)
     rows = docs.select(solid_id(id).alias("doc"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(quoted(c) for c in keep)).alias("_row"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    again = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc").checkpoint()
+    again = saved(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
     if again.isEmpty():
         rows = rows.withColumn("ord", F.lit(0).cast("long"))
     else:
         ords = rows.join(again, "doc", "left_semi").select("doc", "mark").distinct()
         ords = ords.withColumn("ord", (F.row_number().over(Window.partitionBy("doc").orderBy("mark")) - 1).cast("long"))
-        rows = rows.join(ords.checkpoint(), ["doc", "mark"], "left").withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
+        rows = rows.join(saved(ords, "ords"), ["doc", "mark"], "left").withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
     rows = rows.select("doc", "ord", "text", "_row")
     texts = rows.select("doc", "ord", "text")
     shared = texts.mapInArrow(_scan(width, gram, False), "low long").groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
+    shared = saved(shared, "shared")  # a plain side, so that AQE can split the join where a hash is hot
     places = texts.mapInArrow(_scan(width, gram, True), "low long, doc long, place long").join(shared, "low", "left_semi")
     places = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
     zip_schema = StructType([*rows.select("doc", "ord").schema, StructField("zip", BinaryType()), StructField("size", LongType()), rows.schema["_row"]])

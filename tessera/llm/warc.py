@@ -51,7 +51,8 @@ def surt(url: str) -> str:
     host = re.sub(r"^www\d*\.", "", host)
     standard = {"http": 80, "https": 443}.get(parts.scheme)
     tail = f":{port}" if port and port != standard else ""
-    return ",".join(reversed(host.split("."))) + tail + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    key = ",".join(reversed(host.split("."))) + tail + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return re.sub(r"\s", "%20", key)
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -148,13 +149,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, id: str = "page_
     return folder, saved(rows.mapInArrow(run, PLACE), "warc-places")
 
 
-def read_archives(folder: str, places: DataFrame) -> DataFrame:
-    """Every reported record, from the archive files themselves: its fields and, for responses, its payload's size and digest.
+def _row(fields: dict[str, str], payload: bytes, file: str, offset: int) -> tuple:
+    response = fields["WARC-Type"] == "response"
+    digest = hashlib.sha1(payload).hexdigest() if response else fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    size = len(payload) if response else int(fields["WARC-Payload-Length"])
+    return _number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], _number(fields.get("WARC-Refers-To", "")), fields["WARC-Target-URI"], file, offset
 
-    A file is one task's work of FILE_BYTES or so; records that places does not report are left out.
-    """
-    files = places.groupBy("file").agg(F.sum("length").alias("bytes"))
-    files = files.repartition("file")
+
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, offset long"
+
+
+def read_archives(folder: str, files: DataFrame) -> DataFrame:
+    """Every record of the archive files named in files(file), read from first to last; a file is one task's work."""
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -163,19 +169,42 @@ def read_archives(folder: str, places: DataFrame) -> DataFrame:
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     rows = []
                     for offset, _, data in records(stream):
-                        fields, payload = parse(data)
-                        response = fields["WARC-Type"] == "response"
-                        digest = hashlib.sha1(payload).hexdigest() if response else fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        size = len(payload) if response else int(fields["WARC-Payload-Length"])
-                        rows.append((_number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], _number(fields.get("WARC-Refers-To", "")), fields["WARC-Target-URI"], name, offset))
-                        if len(rows) == 5000:
+                        rows.append(_row(*parse(data), name, offset))
+                        if len(rows) == 1000:
                             yield _read_batch(rows)
                             rows = []
                     if rows:
                         yield _read_batch(rows)
 
-    found = files.select("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, offset long")
-    return found
+    return files.select("file").distinct().mapInArrow(run, READ)
+
+
+def read_by_index(folder: str, directory: DataFrame) -> DataFrame:
+    """Every capture of the index blocks in directory: a block by one range read, then each record by one.
+
+    A task takes whole blocks of BLOCK_LINES lines and reads their records in file order.
+    """
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    lines = zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")[:-1]
+                wanted = sorted((c["file"], c["offset"], c["length"]) for c in map(_capture, lines))
+                rows, opened, f = [], None, None
+                for file, at, size in wanted:
+                    if file != opened:
+                        if f is not None:
+                            f.close()
+                        opened, f = file, fs.open_input_file(f"{base}/{file}")
+                    rows.append(_row(*parse(zlib.decompress(f.read_at(size, at), 31)), file, at))
+                if f is not None:
+                    f.close()
+                yield _read_batch(rows)
+
+    blocks = directory.select("file", "offset", "length").repartition(int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.mapInArrow(run, READ)
 
 
 _READ = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -224,6 +253,13 @@ def write_index(folder: str, places: DataFrame) -> DataFrame:
     return saved(inside.mapInArrow(run, "first_key string, first_page long, file string, offset long, length long, lines long"), "warc-directory")
 
 
+def _capture(line: str) -> dict:
+    """A line of the index: its key, page_id and place."""
+    head, _, tail = line.rpartition(" {")
+    key, _, page = head.rpartition(" ")
+    return json.loads("{" + tail) | {"key": key, "page_id": int(page)}
+
+
 def lookup(folder: str, directory: list, url: str) -> list[dict]:
     """The captures of a URL: directory is a sorted list of (first_key, first_page, file, offset, length)."""
     fs, base = pafs.FileSystem.from_uri(folder)
@@ -232,9 +268,8 @@ def lookup(folder: str, directory: list, url: str) -> list[dict]:
     for _, _, file, offset, length in directory[at:]:
         with fs.open_input_file(f"{base}/{file}") as f:
             lines = zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")[:-1]
-        keys = [x.rsplit(" {", 1)[0].rsplit(" ", 1)[0] for x in lines]
-        a, b = bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)
-        out += [json.loads("{" + x.rsplit(" {", 1)[1]) | {"page_id": int(x.rsplit(" {", 1)[0].rsplit(" ", 1)[1])} for x in lines[a:b]]
+        a, b = (f(lines, key, key=lambda x: _capture(x)["key"]) for f in (bisect.bisect_left, bisect.bisect_right))
+        out += map(_capture, lines[a:b])
         if b < len(lines):
             break
     return out
@@ -248,7 +283,7 @@ def read_record(folder: str, file: str, offset: int, length: int) -> tuple[dict[
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write archives and index, then read the archives back: a row per page, with its index block."""
+    """Write archives and index, then read every record back through the index: a row per page."""
     folder, places = write_archives(pages)
-    write_index(folder, places)
-    return read_archives(folder, places).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    directory = write_index(folder, places)
+    return read_by_index(folder, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
