@@ -1,12 +1,13 @@
 """SimHash near-duplicates: exact Hamming links by tiled XOR and bit counts, then components.
 
 1. One pass per text gives its fingerprint: XXH64 of every word shingle, a bit set where
-   over half of the hashes have it. Several lanes (seeds) give fingerprints of 64 bits each.
+   over half of the hashes have it. Further lanes of 64 bits use a remix of the same hashes.
 2. Equal fingerprints are folded to the smallest id (pre-aggregated before the shuffle).
-3. A link of radius r over L lanes has r // L or fewer differing bits in some lane. That lane
-   is cut into blocks; if b blocks are compared and b - r // L or more agree, every choice of
-   so many blocks names a table, and linked fingerprints meet under an equal key of one.
-   This splits the all-pairs comparison without losing a link.
+3. Fingerprints of radius r or less over L lanes differ in r // L bits or fewer of some lane. A
+   lane is cut into blocks; if b blocks are compared, b - r // L or more agree, every choice
+   of so many blocks names a table, and linked fingerprints meet under an equal key of one.
+   This splits the all-pairs comparison without losing a link. (A smaller lane_radius than
+   r // L loses the links that have no lane so near; the pipeline documents its choice.)
 4. Rows of a key form tiles. In a tile, fingerprints are ordered by population count; numpy
    XORs and counts bits of block against block and skips block pairs whose counts differ
    beyond the radius. Keys with many rows are dealt over several tiles, each pair of parts
@@ -38,8 +39,8 @@ TILE_ROWS, BLOCK = 8192, 512
 NO_ID_FROM = 1 << 62
 
 
-def fingerprints(column, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """For each seed, the 64-bit fingerprint of each text."""
+def fingerprints(column, shingle: int, lanes: int, seed: int = 42) -> list[np.ndarray]:
+    """For each lane, the 64-bit fingerprint of each text."""
     w = tw.split(column, lower=True)
     n_texts = len(w.offsets) - 1
     size = w.end - w.start
@@ -56,8 +57,9 @@ def fingerprints(column, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarra
     tail = head + np.repeat(n, count) - 1
     a, b = at[head].tolist(), (at[tail] + size[tail]).tolist()
     digest, out = xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        h = np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    first = np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    for lane in range(lanes):
+        h = tw.mix(first + np.uint64(lane)) if lane else first
         fp = np.zeros(n_texts, np.uint64)
         some = np.flatnonzero(count)
         if len(some):
@@ -68,9 +70,9 @@ def fingerprints(column, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarra
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str, shingle: int, seeds: tuple[int, ...], keep: list[str]) -> DataFrame:
-    names = {f"fp{i}": "long" for i in range(len(seeds))}
-    return map_texts(docs, text, lambda c: {f"fp{i}": f.view(np.int64) for i, f in enumerate(fingerprints(c, shingle, seeds))}, names, keep, most=1 << 20)
+def with_fingerprints(docs: DataFrame, text: str, shingle: int, lanes: int, keep: list[str]) -> DataFrame:
+    names = {f"fp{i}": "long" for i in range(lanes)}
+    return map_texts(docs, text, lambda c: {f"fp{i}": f.view(np.int64) for i, f in enumerate(fingerprints(c, shingle, lanes))}, names, keep, most=1 << 20)
 
 
 def tables(radius: int, rows: int) -> tuple[int, int]:
@@ -90,23 +92,25 @@ def _masks(blocks: int, agree: int) -> list[int]:
     return [signed(sum(part[i] for i in c)) for c in combinations(range(blocks), agree)]
 
 
-def _hit_pairs(fp: np.ndarray, pop: np.ndarray, radius: int):
-    """Index pairs of linked rows of one tile; rows are ordered by the first lane's bit count."""
+def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+
+
+def _hit_pairs(fp: np.ndarray, own: np.ndarray, pop: np.ndarray, near: int, radius: int):
+    """Index pairs of linked rows of one tile; own is the tile's lane, rows are ordered by its bit count."""
     n = len(fp)
     for a in range(0, n, BLOCK):
-        x = fp[a : a + BLOCK]
+        x = own[a : a + BLOCK, None]
         for b in range(a, n, BLOCK):
-            if pop[b] - pop[min(a + BLOCK, n) - 1] > radius:
+            if pop[b] - pop[min(a + BLOCK, n) - 1] > near:
                 break
-            y = fp[b : b + BLOCK]
-            far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-            for lane in range(1, fp.shape[1]):
-                far = far + np.bitwise_count(x[:, None, lane] ^ y[None, :, lane])
-            i, j = np.nonzero(far <= radius)
+            i, j = np.nonzero(np.bitwise_count(x ^ own[None, b : b + BLOCK]) <= near)
             if a == b:
                 i, j = i[i < j], j[i < j]
             if len(i):
-                yield i + a, j + b
+                i, j = i + a, j + b
+                hit = _distance(fp, i, j) <= radius
+                yield i[hit], j[hit]
 
 
 def _forest(n: int, pairs) -> np.ndarray:
@@ -124,12 +128,12 @@ def _forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def _link_tiles(radius: int, lanes: int):
-    def tile(ids: np.ndarray, fp: np.ndarray):
-        pop = np.bitwise_count(fp[:, 0]).astype(np.int64)
+def _link_tiles(near: int, radius: int, lanes: int):
+    def tile(ids: np.ndarray, fp: np.ndarray, own: np.ndarray):
+        pop = np.bitwise_count(own).astype(np.int64)
         order = np.lexsort((ids, pop))
-        ids, fp, pop = ids[order], fp[order], pop[order]
-        root = _forest(len(ids), _hit_pairs(fp, pop, radius))
+        ids, fp, own, pop = ids[order], fp[order], own[order], pop[order]
+        root = _forest(len(ids), _hit_pairs(fp, own, pop, near, radius))
         own = np.flatnonzero(root != np.arange(len(ids)))
         return ids[own], ids[root[own]]
 
@@ -140,8 +144,7 @@ def _link_tiles(radius: int, lanes: int):
             same = np.flatnonzero(key[s:] == key[:-s])
             if not len(same):
                 break
-            far = sum(np.bitwise_count(fp[same, k] ^ fp[same + s, k]).astype(np.int64) for k in range(lanes))
-            hit = same[far <= radius]
+            hit = same[_distance(fp, same, same + s) <= radius]
             out.append((ids[hit], ids[hit + s]))
             s += 1
         return out
@@ -158,13 +161,15 @@ def _link_tiles(radius: int, lanes: int):
             if not len(key):
                 continue
             ids = t.column("id").to_numpy()[:upto]
+            lane = t.column("lane").to_numpy()[:upto]
             fp = np.stack([t.column(f"fp{i}").to_numpy()[:upto].view(np.uint64) for i in range(lanes)], axis=1)
             edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [upto]])
             size = np.repeat(np.diff(edge), np.diff(edge))
             few = (size > 1) & (size <= 32)
             out = small(key[few], ids[few], fp[few])
             for a in np.flatnonzero(np.diff(edge) > 32):
-                out.append(tile(ids[edge[a] : edge[a + 1]], fp[edge[a] : edge[a + 1]]))
+                rows = slice(edge[a], edge[a + 1])
+                out.append(tile(ids[rows], fp[rows], fp[rows, int(lane[edge[a]])]))
             u, v = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
@@ -182,22 +187,20 @@ def _marked(batches):
         yield True, held
 
 
-def links(prints: DataFrame, radius: int, lanes: int, rows: int) -> DataFrame:
-    """Edges u > v that span every component of prints (id, fp0, ...) under the radius."""
-    blocks, agree = tables(radius // lanes, rows)
-    masks = _masks(blocks, agree)
-    keys = [F.xxhash64(F.lit(lane * len(masks) + k), F.col(f"fp{lane}").bitwiseAND(F.lit(m))) for lane in range(lanes) for k, m in enumerate(masks)]
-    keyed = prints.select("*", F.explode(F.array(*keys)).alias("key"))
+def links(prints: DataFrame, radius: int, near: int, lanes: int, rows: int) -> DataFrame:
+    """Edges u > v that span every component of prints (id, fp0, ...) under the radius, found by lanes within near."""
+    masks, fps = _masks(*tables(near, rows)), [f"fp{i}" for i in range(lanes)]
+    keys = [F.struct(F.lit(k).alias("lane"), F.xxhash64(F.lit(k * len(masks) + i), F.col(f"fp{k}").bitwiseAND(F.lit(m))).alias("key")) for k in range(lanes) for i, m in enumerate(masks)]
+    keyed = prints.select("*", F.explode(F.array(*keys)).alias("k")).select("id", *fps, "k.lane", "k.key")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS).select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("parts"))
+    crowded = saved(crowded, "crowded")  # a key of over TILE_ROWS rows each: a small table, or a join that AQE can split
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiled = (
-        keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .select("id", *(f"fp{i}" for i in range(lanes)), "key", "parts", part.alias("part"), other)
-        .withColumn("tile", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
-    )
-    dealt = tiled.select("tile", "id", *(f"fp{i}" for i in range(lanes))).repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_link_tiles(radius, lanes), "u long, v long")
+    tiled = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    tiled = tiled.select("id", *fps, "lane", "key", "parts", part.alias("part"), other)
+    tiled = tiled.withColumn("tile", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
+    dealt = tiled.select("tile", "id", "lane", *fps).repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(_link_tiles(near, radius, lanes), "u long, v long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -222,35 +225,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
-def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, seeds: tuple[int, ...]) -> DataFrame:
+def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, lanes: int, lane_radius: int | None) -> DataFrame:
     """keep (first of them _id), fingerprints and _group: the smallest id reachable, NO_ID_FROM or more if all are null."""
-    lanes = len(seeds)
     fps = [f"fp{i}" for i in range(lanes)]
-    marked = saved(with_fingerprints(docs, text, shingle, seeds, keep), "fingerprints")
+    marked = saved(with_fingerprints(docs, text, shingle, lanes, keep), "fingerprints")
     stand_in = F.shiftrightunsigned(F.xxhash64(*fps), 2) + F.lit(NO_ID_FROM)
     distinct = marked.groupBy(*fps).agg(F.min(F.col("_id").cast("long")).alias("low")).select(*fps, F.coalesce("low", stand_in).alias("id"))
     distinct = saved(distinct, "distinct")
-    linked = components(links(distinct, radius, lanes, max(1, distinct.count())))
+    near = radius // lanes if lane_radius is None else lane_radius
+    linked = components(links(distinct.select("id", *fps), radius, near, lanes, max(1, distinct.count())))
     rep = distinct.join(linked, "id", "left").select(*fps, F.coalesce("component", "id").alias("_group"))
     return marked.join(rep, fps, "left")
 
 
-def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, lanes: int = 1, lane_radius: int | None = None) -> DataFrame:
     """id, fingerprint (hex, a lane after another) and component_id, the smallest id reachable by links."""
-    found = _grouped(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", ["_id"], shingle, radius, seeds)
-    hexed = F.concat(*(F.lower(F.lpad(F.hex(f"fp{i}"), 16, "0")) for i in range(len(seeds))))
+    found = _grouped(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", ["_id"], shingle, radius, lanes, lane_radius)
+    hexed = F.concat(*(F.lower(F.lpad(F.hex(f"fp{i}"), 16, "0")) for i in range(lanes)))
     return found.select(F.col("_id").alias(id), hexed.alias("fingerprint"), F.when(F.col("_group") < NO_ID_FROM, F.col("_group")).alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 17, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 40, lanes: int = 4, lane_radius: int | None = 8) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash.
 
-    The default links five-word shingles at 17 of 128 bits, an expected shingle similarity of
-    about 0.84; a lower similarity may be linked or missed by the spread of the bits.
+    The default links five-word shingles at 40 of 256 bits, where a shingle similarity of about
+    0.8 lies on average, if one of the four lanes has 8 differing bits or fewer: of pairs with a
+    similarity of 0.8, 0.85, 0.9 about 0.45, 0.85, 0.99 are linked directly, and copies of
+    copies through each other. Unrelated texts are not linked (the odds are under 1e-25).
     """
     mark = F.xxhash64(quoted(text))
     rows = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text"), mark.alias("_mark"))
-    found = _grouped(rows, "_text", ["_id", "_mark"], shingle, radius, seeds)
+    found = _grouped(rows, "_text", ["_id", "_mark"], shingle, radius, lanes, lane_radius)
     first = found.groupBy("_group").agg(F.min(F.struct("_id", "_mark")).alias("first"))
     first = first.select(F.coalesce(F.col("first._id").cast("long"), F.lit(NO_ID)).alias("_key"), F.col("first._mark").alias("_mark"))
     marked = docs.withColumns({"_key": solid_id(id), "_mark": mark})
