@@ -15,8 +15,9 @@
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
-than a shingle is one shingle; rows with a null id get a fingerprint and a null component
-if no id is reachable; repeated ids keep one row each; an empty table gives an empty one.
+than a shingle is one shingle; a null id is never the smallest, and the component is null if no
+other is reachable; texts that share an id are linked by their fingerprints alone; repeated
+rows keep a row each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as tw
@@ -35,7 +36,7 @@ from .shared import NO_ID, map_texts, quoted, saved, solid_id
 
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
-#: Where fingerprints of null ids only get their stand-in ids; real ids are smaller.
+#: Stand-in ids, of fingerprints with null or taken ids only, begin here; real ids are smaller.
 NO_ID_FROM = 1 << 62
 
 
@@ -226,15 +227,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, lanes: int, lane_radius: int | None) -> DataFrame:
-    """keep (first of them _id), fingerprints and _group: the smallest id reachable, NO_ID_FROM or more if all are null."""
+    """keep (first of them _id), fingerprints, _group (a number of its own) and _least, the smallest id reachable."""
     fps = [f"fp{i}" for i in range(lanes)]
     marked = saved(with_fingerprints(docs, text, shingle, lanes, keep), "fingerprints")
     stand_in = F.shiftrightunsigned(F.xxhash64(*fps), 2) + F.lit(NO_ID_FROM)
-    distinct = marked.groupBy(*fps).agg(F.min(F.col("_id").cast("long")).alias("low")).select(*fps, F.coalesce("low", stand_in).alias("id"))
-    distinct = saved(distinct, "distinct")
+    distinct = marked.groupBy(*fps).agg(F.min(F.col("_id").cast("long")).alias("low")).withColumn("id", F.coalesce("low", stand_in))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(*fps)) == 1  # texts of one id are nodes apart
+    distinct = saved(distinct.select(*fps, "low", F.when(first, F.col("id")).otherwise(stand_in).alias("id")), "distinct")
     near = radius // lanes if lane_radius is None else lane_radius
     linked = components(links(distinct.select("id", *fps), radius, near, lanes, max(1, distinct.count())))
-    rep = distinct.join(linked, "id", "left").select(*fps, F.coalesce("component", "id").alias("_group"))
+    members = linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct())
+    lows = members.join(distinct.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
+    rep = distinct.join(linked, "id", "left").select(*fps, "low", F.coalesce("component", "id").alias("component"))
+    rep = rep.join(lows, "component", "left").select(*fps, F.col("component").alias("_group"), F.coalesce("least", "low").alias("_least"))
     return marked.join(rep, fps, "left")
 
 
@@ -242,7 +247,7 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     """id, fingerprint (hex, a lane after another) and component_id, the smallest id reachable by links."""
     found = _grouped(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", ["_id"], shingle, radius, lanes, lane_radius)
     hexed = F.concat(*(F.lower(F.lpad(F.hex(f"fp{i}"), 16, "0")) for i in range(lanes)))
-    return found.select(F.col("_id").alias(id), hexed.alias("fingerprint"), F.when(F.col("_group") < NO_ID_FROM, F.col("_group")).alias("component_id"))
+    return found.select(F.col("_id").alias(id), hexed.alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 40, lanes: int = 4, lane_radius: int | None = 8) -> DataFrame:
