@@ -10,11 +10,17 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as tx
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit rows (one Python integer a row)."""
+def _places(a: str) -> dict[str, int]:
+    """For each letter, the bits of its places in a."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def lcs(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit rows (one Python integer a row)."""
+    places = _places(a) if places is None else places
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -39,10 +45,11 @@ def best_window(a: str, b: str, cutoff: float = 0.0) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
+    places = _places(a)
     n, best, i = len(a), max(cutoff - 1e-9, 0.0), 1 - len(a)
     while i < len(b):
         part = b[max(i, 0) : i + n]
-        common = lcs(a, part)
+        common = lcs(a, part, places)
         best = max(best, 200 * common / (n + len(part)))
         short = best * (n + len(part)) / 200 - common
         i += max(1, int(short / 1.5))  # the need itself moves by half a letter a shift at most
