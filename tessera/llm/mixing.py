@@ -117,4 +117,4 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str
     # a block holds block_tokens tokens and so that many texts with a token at most
     seat = Window.partitionBy("block").orderBy("_mark", "_id", "pass", "n_tokens")
     out = taken.withColumn("_mark", mark).withColumn("position", (F.row_number().over(seat) - 1).cast("long"))
-    return out.select(F.col("_id").alias(id), F.col("_source").alias(source), "n_tokens", "weight", "pass", "block", "position")
+    return out.select(F.col("_id").alias(id), F.col("_source").alias(source), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), "block", "position")

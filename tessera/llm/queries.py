@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, mixing, quality, simhash, substring_dedup, token_counts, toxicity, warc
+from .oracles import ORACLE
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,7 +14,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    verdicts = quality.quality_verdicts(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return verdicts.withColumns({c: F.round(c, 6) for c in ("gram_char_share", "line_char_share")})
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +62,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash, op9_token_counts, op10_licenses)}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
