@@ -165,7 +165,7 @@ def label_set_summary(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT quality = 1 AS g, ((doc_id * 7919) % 1000 + quality * 300) / 1300.0 AS p FROM labels), t AS (SELECT round(0.1 + 0.02 * i, 2) AS threshold FROM range(41) r(i)),
+    """WITH p AS (SELECT quality = 1 AS g, ((doc_id * 7919) % 1000 + quality * 300) / 1300.0 AS p FROM labels), t AS (SELECT CAST(round(0.1 + 0.02 * i, 2) AS DOUBLE) AS threshold FROM range(41) r(i)),
   c AS (SELECT threshold, count(*) FILTER (g AND p >= threshold) AS tp, count(*) FILTER (NOT g AND p >= threshold) AS fp, count(*) FILTER (g AND NOT p >= threshold) AS fn FROM p, t GROUP BY threshold)
   SELECT threshold, tp, fp, fn FROM c"""
 )
@@ -175,7 +175,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT quality = 1 AS g, ((doc_id * 7919) % 1000 + quality * 300) / 1300.0 AS p FROM labels), t AS (SELECT round(0.1 + 0.02 * i, 2) AS threshold FROM range(41) r(i)),
+    """WITH p AS (SELECT quality = 1 AS g, ((doc_id * 7919) % 1000 + quality * 300) / 1300.0 AS p FROM labels), t AS (SELECT CAST(round(0.1 + 0.02 * i, 2) AS DOUBLE) AS threshold FROM range(41) r(i)),
   c AS (SELECT threshold, count(*) FILTER (g AND p >= threshold) AS tp, count(*) FILTER (NOT g AND p >= threshold) AS fp, count(*) FILTER (g AND NOT p >= threshold) AS fn FROM p, t GROUP BY threshold)
   SELECT threshold, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c ORDER BY f1 DESC, round(abs(threshold - 0.5), 6), threshold LIMIT 1"""
 )
