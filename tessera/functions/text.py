@@ -53,7 +53,7 @@ def expand_range(label: Column, widest: int = 5000) -> Column:
     whole = flat.contains("-") & a.rlike(r"^\d+$") & b.rlike(r"^\d+$")
     dotted = flat.contains("-") & a.rlike(r"^\d+(\.\d+)+$") & b.rlike(r"^\d+(\.\d+)+$")
     head = lambda x: F.regexp_extract(x, r"^(.*)\.\d+$", 1)
-    tail = lambda x: F.regexp_extract(x, r"(\d+)$", 1).cast("long")
+    tail = lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("long")
     lo, hi = tail(a), tail(b)
     fits = (lo <= hi) & (hi - lo <= widest)
     numbers = F.sequence(lo, hi)
@@ -105,8 +105,8 @@ def trivial_refs(text: Column) -> Column:
 
     def tokens(m):
         ranges = F.regexp_extract_all(m["text"], F.lit(r"(\d+)\s*[-–]\s*(\d+)"), F.lit(0))
-        lo = lambda r: F.regexp_extract(r, r"^(\d+)", 1).cast("long")
-        hi = lambda r: F.regexp_extract(r, r"(\d+)$", 1).cast("long")
+        lo = lambda r: F.regexp_extract(r, r"^(\d+)", 1).try_cast("long")
+        hi = lambda r: F.regexp_extract(r, r"(\d+)$", 1).try_cast("long")
         wide = F.flatten(F.transform(ranges, lambda r: F.when((hi(r) > lo(r)) & (hi(r) - lo(r) <= 20), F.transform(F.sequence(lo(r), hi(r)), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>"))))
         plain = F.transform(F.regexp_extract_all(m["text"], F.lit(rf"(?i){NUM}(?:\([a-z]\))?".replace("[A-Za-z]", "[a-z]")), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, r"[()]", "")))
         letter = F.upper(F.regexp_extract(m["text"], r"(?i)\bappendix\s+([A-Z])\b", 1))
@@ -174,7 +174,7 @@ def label_bounds(label: Column) -> Column:
     flat = _dashes(label)
     a = F.regexp_extract(flat, r"^\s*(\d+)\s*(?:-\s*\d+)?\s*$", 1)
     b = F.regexp_extract(flat, r"^\s*\d+\s*-\s*(\d+)\s*$", 1)
-    lo, hi = a.cast("long"), F.coalesce(F.nullif(b, F.lit("")), a).cast("long")
+    lo, hi = a.try_cast("long"), F.coalesce(F.nullif(b, F.lit("")), a).try_cast("long")
     return F.when(a != "", F.struct(F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi")))
 
 
