@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import queries_corpus, queries_evaluation, queries_text
+from .plans import queries_corpus, queries_evaluation, queries_runs, queries_text
 
-MODULES = (queries_text, queries_corpus, queries_evaluation)
+MODULES = (queries_text, queries_corpus, queries_evaluation, queries_runs)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE: dict = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -18,6 +18,12 @@ def sample(df: DataFrame, n: int, id: str, seed: str = "42", by: list[str] | Non
     return df.withColumn("_r", place).where(F.col("_r") <= n).drop("_r")
 
 
+def numbered(rows: DataFrame, id: str, seed: str, prefix: str) -> DataFrame:
+    """A sample (a bounded number of rows) with sample_id: prefix and three or more digits, in the sample's order."""
+    k = F.row_number().over(Window.orderBy(shuffled(F.col(id), seed), id)).cast("string")
+    return rows.withColumn("sample_id", F.concat(F.lit(prefix), F.lpad(k, 3, "0")))
+
+
 def stratified(df: DataFrame, stratum: str, id: str, seed: str = "42", train: float = 0.70, dev: float = 0.15, at_least_one: bool = False) -> DataFrame:
     """df with split (train, dev, test); a stratum's counts are rounded half to even.
 

@@ -75,6 +75,26 @@ def rankings(spark: SparkSession, root: str, models: list[str] | None = None) ->
     return rows.withColumn("rank", F.col("pos") + 1).drop("pos")
 
 
+def paper_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata files -> (path, venue, title); blank or unreadable fields are null, the file still has its row."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "accepted_at string, title string").alias("m"))
+    return raw.select("path", F.nullif(F.trim("m.accepted_at"), F.lit("")).alias("venue"), F.nullif(F.trim("m.title"), F.lit("")).alias("title"))
+
+
+def predictions(spark: SparkSession, model_paths: dict[str, str]) -> DataFrame:
+    """JSONL predictions of each model -> (model, id, prediction)."""
+    out = None
+    for model, path in model_paths.items():
+        one = json_lines(spark, path, "id string, prediction array<string>").withColumn("model", F.lit(model))
+        out = one if out is None else out.unionByName(one)
+    return out.select("model", "id", "prediction")
+
+
+def shared_ids(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of ids -> (id)."""
+    return whole_json(spark, path, "array<string>").select(F.explode("value").alias("id")).distinct()
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files (path, content), each path once, by five extensions."""
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).option("recursiveFileLookup", True).load(path).select("path", "content").dropDuplicates(["path"])
