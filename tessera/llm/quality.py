@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as tw
-from .shared import map_texts
+from .shared import map_texts, quoted
 
 SYMBOLS = "#*$%&|<>"
 
@@ -123,5 +123,5 @@ def quality_verdicts(docs: DataFrame, text: str = "text", rules: RepetitionRules
 def keep_good(docs: DataFrame, text: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
     """The rows of docs whose text passes, with the columns of docs."""
     rules = rules or RepetitionRules()
-    only = map_texts(docs.select(F.struct(*docs.columns).alias("_in"), text), text, lambda column: {"_kept": measure(column, rules)["kept"]}, {"_kept": "boolean"}, ["_in"])
+    only = map_texts(docs.select(F.struct(*map(quoted, docs.columns)).alias("_in"), quoted(text)), text, lambda column: {"_kept": measure(column, rules)["kept"]}, {"_kept": "boolean"}, ["_in"])
     return only.where("_kept").select("_in.*")
