@@ -100,6 +100,19 @@ def section_text(wanted: DataFrame, sections: DataFrame, paragraphs: DataFrame,
     return wanted.join(by_par, ["paper_id", "number"], "left").join(by_line, ["paper_id", "number"], "left").select("paper_id", "number", F.coalesce("by_par", "by_line").alias("text"))
 
 
+def page_texts(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """pages(paper_id, page, start_line, end_line) with the text of their lines."""
+    return line_texts(pages.select("paper_id", "page", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), lines, ["page"])
+
+
+def entire_texts(paragraphs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(paper_id, text): a paper's paragraphs joined by a space; its lines where it has none."""
+    by_par = paragraphs.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_id", "text"))).alias("p")).select("paper_id", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("by_par"))
+    rest = lines.join(by_par, "paper_id", "left_anti")
+    by_line = rest.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l")).select("paper_id", tx.join_lines(F.transform("l", lambda x: x["text"])).alias("text"))
+    return by_par.withColumnRenamed("by_par", "text").unionByName(by_line)
+
+
 def section_by_name(wanted: DataFrame, sections: DataFrame, partial: bool = False, least_score: float = 82.0) -> DataFrame:
     """wanted(paper_id, name) with the number of its section: equal name, equal letters and digits, part of a name, or most alike."""
     from .fuzzy import partial_ratio

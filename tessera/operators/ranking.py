@@ -49,6 +49,11 @@ def bm25(queries: DataFrame, candidates: DataFrame, corpus: list[str], query: li
     return hit.groupBy(*corpus, *query, "cand_id", "ord").agg(F.sum(gain).alias("score"))
 
 
+def numeric_first(c: str) -> list[Column]:
+    """Sort keys that order numbers in a text column by value, then other texts."""
+    return [F.try_to_number(F.when(F.col(c).rlike("^[0-9]{1,18}$"), F.lpad(c, 18, "0")), F.lit("9" * 18)).asc_nulls_last(), F.col(c).asc()]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -95,6 +96,26 @@ def figure_table_queries(spark, sf_dir):
     return retrieval.on_figures_and_tables(retrieval.with_gold(rows)).select("doc_id")
 
 
+@query(f"WITH {LENS} SELECT paper_id, md5(string_agg(text, ' ' ORDER BY paragraph_id)) AS text_md5 FROM paragraphs GROUP BY paper_id")
+def entire_texts(spark, sf_dir):
+    return dc.entire_texts(lens.paragraphs(spark, sf_dir), lens.lines(spark, sf_dir)).select("paper_id", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {LENS}, p AS (SELECT paper_id, (line_no - 1) // 4 AS page, line_no, left(text, 9) AS t FROM lines) SELECT paper_id, page, md5(trim(string_agg(CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || ' ' END, '' ORDER BY line_no))) AS text_md5 FROM p WHERE NOT rtrim(t) LIKE '%-' GROUP BY paper_id, page")
+def page_texts(spark, sf_dir):
+    """Pages of four lines, of the first letters of each line."""
+    rows = lens.lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 9)).where("NOT rtrim(text) LIKE '%-'")
+    pages = rows.groupBy("paper_id", F.expr("(line_no - 1) DIV 4").alias("page")).agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"))
+    return dc.page_texts(pages, rows).select("paper_id", "page", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT nation, id, row_number() OVER (PARTITION BY nation ORDER BY try_cast(id AS BIGINT) NULLS LAST, id) AS place FROM (SELECT c_nationkey AS nation, CASE WHEN c_custkey % 10 = 0 THEN 'q' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS id FROM customer)")
+def numeric_order(spark, sf_dir):
+    """Places in each nation, in an order that is numeric where it can be."""
+    ids = lens.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("q"), "c_custkey")).otherwise(F.col("c_custkey").cast("string")).alias("id"))
+    return ids.withColumn("place", F.row_number().over(Window.partitionBy("nation").orderBy(*ranking.numeric_first("id"))).cast("long"))
+
+
 @query()
 def scored_run(spark, sf_dir):
     """A registered scorer over each conversation's first turn against its other turns; half of the queries are done already."""
