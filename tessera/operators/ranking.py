@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\r\f]+"
+#: Query terms that are broadcast at most; with more, Spark chooses the join.
+MOST_TERMS = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -31,22 +33,24 @@ def bm25(queries: DataFrame, candidates: DataFrame, corpus: list[str], query: li
 
     queries(corpus, query, text); candidates(corpus, cand_id, ord, text). A negative idf becomes floor times the mean
     idf of the corpus's terms; repeated query terms count each time. Candidates without a shared term score 0 and
-    have no row. Term counts are aggregated before they are shuffled, and only query terms meet postings.
+    have no row. Document frequencies are summed before they are shuffled. Only tokens that are query terms are
+    counted for each document: in the scan, where the terms are few enough to broadcast (MOST_TERMS), else after a join.
     """
-    tokens = candidates.select(*corpus, "cand_id", "ord", F.explode(terms(F.col("text"))).alias("term"))
-    tf = tokens.groupBy(*corpus, "cand_id", "ord", "term").agg(F.count("*").alias("tf"))
-    length = candidates.select(*corpus, "cand_id", "ord", F.size(terms(F.col("text"))).cast("long").alias("len"))
-    size = length.groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy(*corpus, "term").agg(F.count("*").alias("df"))
-    on = lambda a, c: a.join(c, corpus) if corpus else a.crossJoin(c)  # noqa: E731  without a corpus key, size is one row
+    docs = candidates.select(*corpus, "cand_id", "ord", terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms").cast("long"))
+    size = docs.groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = docs.select(*corpus, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*corpus, "term").agg(F.count("*").alias("df"))
+    on = lambda a, c: a.join(c, corpus) if corpus else a.crossJoin(F.broadcast(c))  # noqa: E731  without a corpus key, c is one row
     idf = on(df, size).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.groupBy(*corpus).agg(F.avg("idf").alias("mean_idf"))
     idf = on(idf, mean).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
     asked = queries.select(*corpus, *query, F.explode(terms(F.col("text"))).alias("term")).groupBy(*corpus, *query, "term").agg(F.count("*").alias("qtf"))
+    wanted = asked.select(*corpus, "term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    tokens = docs.select(*corpus, "cand_id", "ord", "len", F.explode("terms").alias("term")).join(wanted, [*corpus, "term"], "left_semi")
+    tf = tokens.groupBy(*corpus, "cand_id", "ord", "len", "term").agg(F.count("*").alias("tf"))
     weight = asked.join(idf.select(*corpus, "term", "idf", "avg_len"), [*corpus, "term"])
-    hit = weight.join(tf, [*corpus, "term"]).join(length, [*corpus, "cand_id", "ord"])
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return hit.groupBy(*corpus, *query, "cand_id", "ord").agg(F.sum(gain).alias("score"))
+    return weight.join(tf, [*corpus, "term"]).groupBy(*corpus, *query, "cand_id", "ord").agg(F.sum(gain).alias("score"))
 
 
 def numeric_first(c: str) -> list[Column]:
