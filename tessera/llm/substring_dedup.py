@@ -40,7 +40,7 @@ from .shared import quoted, saved, solid_id
 #: A super-k-mer has width - gram + 1 windows at most: 62 or fewer, for they are bits of a long.
 WIDTH, GRAM = 20, 5
 #: A minimiser with so many different super-k-mers is hot; so many of the hottest are cut up.
-HOT_ROWS, HOT_KEYS = 2048, 10_000
+HOT_ROWS, HOT_KEYS = 512, 10_000
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 
