@@ -212,5 +212,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_i
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs in which no item is found."""
     bad = contaminated(docs, benchmark, id, text, **options).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    bad = saved(bad, "contaminated")  # its size is then known: texts are shuffled only if it is too large to broadcast
     marked = docs.withColumns({"_doc": solid_id(id), "_mark": F.xxhash64(quoted(text))})
     return marked.join(bad, ["_doc", "_mark"], "left_anti").drop("_doc", "_mark")
