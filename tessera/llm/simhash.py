@@ -6,14 +6,18 @@
 3. Fingerprints of radius r or less over L lanes differ in r // L bits or fewer of some lane. A
    lane is cut into blocks; if b blocks are compared, b - r // L or more agree, every choice
    of so many blocks names a table, and linked fingerprints meet under an equal key of one.
-   This splits the all-pairs comparison without losing a link. (A smaller lane_radius than
-   r // L loses the links that have no lane so near; the pipeline documents its choice.)
+   This splits the all-pairs comparison without losing a link.
 4. Rows of a key form tiles. In a tile, fingerprints are ordered by population count; numpy
    XORs and counts bits of block against block and skips block pairs whose counts differ
    beyond the radius. Keys with many rows are dealt over several tiles, each pair of parts
    meeting in one. A tile returns a spanning forest of its links, never all pairs.
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
+one_of_each_group links by the similarity of shingle sets itself. Fingerprints (of the different
+shingles, LANES lanes) only name its candidates: rows that agree in KEY_BITS bits of a lane in one
+of TABLES fixed choices, and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits. The
+sets of each candidate pair are then compared, so a link never depends on other rows.
+
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
 than a shingle is one shingle; a null id is never the smallest, and the component is null if no
 other is reachable; texts that share an id are linked by their fingerprints alone; repeated
@@ -36,12 +40,17 @@ from .shared import NO_ID, map_texts, quoted, saved, solid_id
 
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
+#: Candidates of one_of_each_group: lanes of 64 bits, choices of KEY_BITS bits of a lane, and the
+#: bits of the first FILTER_LANES lanes that may differ. At a similarity of 0.8 0.15 of bits do.
+LANES, TABLES, KEY_BITS, FILTER_LANES, CLOSE = 8, 64, 14, 2, 32
+#: Tables whose nearest pairs are compared first: pairs inside the groups that those make are not listed.
+FEW_TABLES = 8
 #: Stand-in ids, of fingerprints with null or taken ids only, begin here; real ids are smaller.
 NO_ID_FROM = 1 << 62
 
 
-def fingerprints(column, shingle: int, lanes: int, seed: int = 42) -> list[np.ndarray]:
-    """For each lane, the 64-bit fingerprint of each text."""
+def shingle_hashes(column, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word shingle, texts one after another, and how many each text has."""
     w = tw.split(column, lower=True)
     n_texts = len(w.offsets) - 1
     size = w.end - w.start
@@ -57,11 +66,32 @@ def fingerprints(column, shingle: int, lanes: int, seed: int = 42) -> list[np.nd
     head = np.repeat(w.first[:-1] - (ends - count), count) + np.arange(int(ends[-1]) if n_texts else 0)
     tail = head + np.repeat(n, count) - 1
     a, b = at[head].tolist(), (at[tail] + size[tail]).tolist()
-    digest, out = xxhash.xxh64_intdigest, []
-    first = np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), count
+
+
+def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like shingle_hashes, for the different shingles of each text in ascending order."""
+    h, count = shingle_hashes(column, shingle)
+    owner = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.bincount(owner[new], minlength=len(count))
+
+
+def fingerprints(column, shingle: int, lanes: int, seed: int = 42) -> list[np.ndarray]:
+    """For each lane, the 64-bit fingerprint of each text."""
+    return majorities(*shingle_hashes(column, shingle, seed), lanes)
+
+
+def majorities(first: np.ndarray, count: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """For each lane, the bits that over half of each text's hashes have."""
+    ends, out = np.cumsum(count), []
     for lane in range(lanes):
         h = tw.mix(first + np.uint64(lane)) if lane else first
-        fp = np.zeros(n_texts, np.uint64)
+        fp = np.zeros(len(count), np.uint64)
         some = np.flatnonzero(count)
         if len(some):
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -150,6 +180,74 @@ def _link_tiles(near: int, radius: int, lanes: int):
             s += 1
         return out
 
+    def link(own: list[tuple[int, int]], key, t: pa.Table, few):
+        ids, lane, fp = t.column("id").to_numpy(), t.column("lane").to_numpy(), _stacked(t, lanes)
+        out = small(key[few], ids[few], fp[few])
+        for a, b in own:
+            out.append(tile(ids[a:b], fp[a:b], fp[a:b, int(lane[a])]))
+        return out
+
+    return _by_tiles(link)
+
+
+def _candidate_tiles(close: int, lanes: int, nearest: bool):
+    """Pairs of rows of a tile within close bits over the lanes and of different groups, or for each row the nearest before it."""
+
+    def find(own: list[tuple[int, int]], key, t: pa.Table, few):
+        ids, group, fp = t.column("id").to_numpy(), t.column("grp").to_numpy(), _stacked(t, lanes)
+        out, small, s = [], np.flatnonzero(few), 1
+        while s < len(small):
+            i, j = small[:-s], small[s:]
+            same = key[i] == key[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            apart = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+            hit = (group[i] != group[j]) & (apart <= close)
+            out.append((i[hit], j[hit], apart[hit]))
+            s += 1
+        if nearest:
+            out = _nearest(out)
+        for a, b in own:
+            pairs = [_nearest([p]) for p in _close_pairs(fp[a:b], group[a:b], close)] if nearest else [_close_pairs(fp[a:b], group[a:b], close)]
+            pairs = _nearest([p for ps in pairs for p in ps]) if nearest else pairs[0]
+            out += [(a + i, a + j, d) for i, j, d in pairs]
+        return [(ids[i], ids[j]) for i, j, _ in out]
+
+    return _by_tiles(find)
+
+
+def _nearest(found):
+    """Of pairs (i, j, bits apart), the nearest i of each j."""
+    if not found:
+        return []
+    i, j, apart = (np.concatenate([x[k] for x in found]) for k in range(3))
+    order = np.lexsort((i, apart, j))
+    i, j, apart = i[order], j[order], apart[order]
+    new = np.ones(len(j), bool)
+    new[1:] = j[1:] != j[:-1]
+    return [(i[new], j[new], apart[new])]
+
+
+def _close_pairs(fp: np.ndarray, group: np.ndarray, close: int):
+    n = len(fp)
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            apart = sum(np.bitwise_count(fp[a : a + BLOCK, k, None] ^ fp[None, b : b + BLOCK, k]) for k in range(fp.shape[1]))
+            i, j = np.nonzero(apart <= close)
+            apart = apart[i, j]
+            i, j = i + a, j + b
+            hit = (i < j) & (group[i] != group[j])
+            yield i[hit], j[hit], apart[hit].astype(np.int64)
+
+
+def _stacked(t: pa.Table, lanes: int) -> np.ndarray:
+    return np.stack([t.column(f"fp{i}").to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
+
+
+def _by_tiles(find):
+    """Rows sorted by tile -> pairs u > v; find gets the ends of tiles of over 32 rows, and which rows are in smaller ones."""
+
     def run(batches):
         rest = None
         for last, batch in _marked(batches):
@@ -161,16 +259,11 @@ def _link_tiles(near: int, radius: int, lanes: int):
             key = key[:upto]
             if not len(key):
                 continue
-            ids = t.column("id").to_numpy()[:upto]
-            lane = t.column("lane").to_numpy()[:upto]
-            fp = np.stack([t.column(f"fp{i}").to_numpy()[:upto].view(np.uint64) for i in range(lanes)], axis=1)
             edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [upto]])
             size = np.repeat(np.diff(edge), np.diff(edge))
             few = (size > 1) & (size <= 32)
-            out = small(key[few], ids[few], fp[few])
-            for a in np.flatnonzero(np.diff(edge) > 32):
-                rows = slice(edge[a], edge[a + 1])
-                out.append(tile(ids[rows], fp[rows], fp[rows, int(lane[edge[a]])]))
+            large = np.flatnonzero(np.diff(edge) > 32)
+            out = find(list(zip(edge[large].tolist(), edge[large + 1].tolist(), strict=True)), key, t.slice(0, upto), few)
             u, v = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
@@ -193,15 +286,72 @@ def links(prints: DataFrame, radius: int, near: int, lanes: int, rows: int) -> D
     masks, fps = _masks(*tables(near, rows)), [f"fp{i}" for i in range(lanes)]
     keys = [F.struct(F.lit(k).alias("lane"), F.xxhash64(F.lit(k * len(masks) + i), F.col(f"fp{k}").bitwiseAND(F.lit(m))).alias("key")) for k in range(lanes) for i, m in enumerate(masks)]
     keyed = prints.select("*", F.explode(F.array(*keys)).alias("k")).select("id", *fps, "k.lane", "k.key")
+    return _dealt(keyed, ["lane", *fps]).mapInArrow(_link_tiles(near, radius, lanes), "u long, v long")
+
+
+def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """(tile, id, columns) sorted by tile: rows of a key, or parts of it of which each two meet."""
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS).select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("parts"))
     crowded = saved(crowded, "crowded")  # a key of over TILE_ROWS rows each: a small table, or a join that AQE can split
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiled = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    tiled = tiled.select("id", *fps, "lane", "key", "parts", part.alias("part"), other)
+    tiled = tiled.select("id", *columns, "key", "parts", part.alias("part"), other)
     tiled = tiled.withColumn("tile", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
-    dealt = tiled.select("tile", "id", "lane", *fps).repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_link_tiles(near, radius, lanes), "u long, v long")
+    return tiled.select("tile", "id", *columns).repartition("tile").sortWithinPartitions("tile")
+
+
+def _bit_choices() -> list[tuple[int, int]]:
+    """(lane, mask of KEY_BITS bits) of each table, the same in every process."""
+    rng = np.random.default_rng(42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(t % LANES, signed(sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)))) for t in range(TABLES)]
+
+
+def candidates(prints: DataFrame, tables: int, close: int, nearest: bool) -> DataFrame:
+    """Pairs u > v of prints (id, grp, fp0, ...) that agree in a table and differ in close bits or fewer, groups apart."""
+    fps = [f"fp{i}" for i in range(FILTER_LANES)]
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices()[:tables])))
+    keyed = prints.select("id", "grp", *fps, F.explode(keys).alias("key"))
+    return _dealt(keyed, ["grp", *fps]).mapInArrow(_candidate_tiles(close, FILTER_LANES, nearest), "u long, v long").distinct()
+
+
+def _similar(least: float):
+    """(u, v, shingle sets of both) -> the pairs of a similarity of least or more."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = a[k].values.to_numpy(), b[k].values.to_numpy()
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    return run
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a similarity (shared of all shingles) of least or more, saved.
+
+    nodes is (id, _mark, ...), texts is (_mark, _text); only texts of a pair are read into sets.
+    """
+    pairs = saved(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    marks = saved(nodes.join(ids, "id", "left_semi").select("id", "_mark"), "marks")
+    rows = texts.join(marks, "_mark").dropDuplicates(["id"])
+
+    def sets(column):
+        h, count = shingle_sets(column, shingle)
+        return {"shingles": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), h.view(np.int64))}
+
+    found = saved(map_texts(rows, "_text", sets, {"shingles": "array<long>"}, ["id"], most=1 << 20), "sets")
+    sides = pairs.join(found.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    return saved(sides.select("u", "v", "a", "b").mapInArrow(_similar(least), "u long, v long"), "verified")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -226,7 +376,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
-def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, lanes: int, lane_radius: int | None) -> DataFrame:
+def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius: int, lanes: int) -> DataFrame:
     """keep (first of them _id), fingerprints, _group (a number of its own) and _least, the smallest id reachable."""
     fps = [f"fp{i}" for i in range(lanes)]
     marked = saved(with_fingerprints(docs, text, shingle, lanes, keep), "fingerprints")
@@ -234,8 +384,7 @@ def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius:
     distinct = marked.groupBy(*fps).agg(F.min(F.col("_id").cast("long")).alias("low")).withColumn("id", F.coalesce("low", stand_in))
     first = F.row_number().over(Window.partitionBy("id").orderBy(*fps)) == 1  # texts of one id are nodes apart
     distinct = saved(distinct.select(*fps, "low", F.when(first, F.col("id")).otherwise(stand_in).alias("id")), "distinct")
-    near = radius // lanes if lane_radius is None else lane_radius
-    linked = components(links(distinct.select("id", *fps), radius, near, lanes, max(1, distinct.count())))
+    linked = components(links(distinct.select("id", *fps), radius, radius // lanes, lanes, max(1, distinct.count())))
     members = linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct())
     lows = members.join(distinct.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
     rep = distinct.join(linked, "id", "left").select(*fps, "low", F.coalesce("component", "id").alias("component"))
@@ -243,24 +392,43 @@ def _grouped(docs: DataFrame, text: str, keep: list[str], shingle: int, radius:
     return marked.join(rep, fps, "left")
 
 
-def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, lanes: int = 1, lane_radius: int | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, lanes: int = 1) -> DataFrame:
     """id, fingerprint (hex, a lane after another) and component_id, the smallest id reachable by links."""
-    found = _grouped(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", ["_id"], shingle, radius, lanes, lane_radius)
+    found = _grouped(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", ["_id"], shingle, radius, lanes)
     hexed = F.concat(*(F.lower(F.lpad(F.hex(f"fp{i}"), 16, "0")) for i in range(lanes)))
     return found.select(F.col("_id").alias(id), hexed.alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 40, lanes: int = 4, lane_radius: int | None = 8) -> DataFrame:
+def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """_id, _mark and _group of rows (_id, _text, _mark): links are pairs of shingle sets of a similarity of least or more."""
+    fps = [f"fp{i}" for i in range(LANES)]
+
+    def prints(column):
+        h, count = shingle_sets(column, shingle)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tw.mix(h + np.uint64(LANES)))])  # sums wrap around
+        ends = np.cumsum(count)
+        node = total[ends] - total[ends - count]
+        return {"id": node.view(np.int64)} | {f: p.view(np.int64) for f, p in zip(fps, majorities(h, count, LANES), strict=True)}
+
+    marked = saved(map_texts(rows, "_text", prints, dict.fromkeys(["id", *fps], "long"), ["_id", "_mark"], most=1 << 20), "fingerprints")
+    nodes = saved(marked.groupBy("id", *fps).agg(F.min("_mark").alias("_mark")).where("id <> 0"), "distinct")  # equal sets are one node; 0: no words
+    texts = rows.select("_mark", "_text")
+    near = verified(candidates(nodes.withColumn("grp", F.col("id")), FEW_TABLES, CLOSE, True), nodes, texts, shingle, least)
+    joined = nodes.join(components(near), "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    far = verified(candidates(saved(joined.select("id", "grp", *fps), "joined"), TABLES, CLOSE, False), nodes, texts, shingle, least)
+    linked = components(near.unionByName(far))
+    return marked.join(linked, "id", "left").select("_id", "_mark", F.coalesce("component", "id").alias("_group"))
+
+
+def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash.
 
-    The default links five-word shingles at 40 of 256 bits, where a shingle similarity of about
-    0.8 lies on average, if one of the four lanes has 8 differing bits or fewer: of pairs with a
-    similarity of 0.8, 0.85, 0.9 about 0.45, 0.85, 0.99 are linked directly, and copies of
-    copies through each other. Unrelated texts are not linked (the odds are under 1e-25).
+    Texts are linked if their sets of five-word shingles have a similarity (shared of all) of 0.8
+    or more; groups are what links connect. Texts without words are one group.
     """
     mark = F.xxhash64(quoted(text))
-    rows = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text"), mark.alias("_mark"))
-    found = _grouped(rows, "_text", ["_id", "_mark"], shingle, radius, lanes, lane_radius)
+    rows = docs.select(quoted(id).alias("_id"), quoted(text).cast("string").alias("_text"), mark.alias("_mark"))
+    found = similar_groups(rows, shingle, least)
     first = found.groupBy("_group").agg(F.min(F.struct("_id", "_mark")).alias("first"))
     first = first.select(F.coalesce(F.col("first._id").cast("long"), F.lit(NO_ID)).alias("_key"), F.col("first._mark").alias("_mark"))
     marked = docs.withColumns({"_key": solid_id(id), "_mark": mark})

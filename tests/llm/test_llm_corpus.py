@@ -111,6 +111,47 @@ def test_one_of_each_group(spark, docs, rows, no_docs):
     assert simhash.one_of_each_group(no_docs).count() == 0
 
 
+def brute_similar_groups(texts, least=0.8):
+    """The smallest place of each text's group, linked by the similarity of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = re.findall(WORD, t.translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 10 * least * len(x | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("tile", [8192, 3])
+def test_one_of_each_group_is_the_similarity_of_pairs(spark, monkeypatch, tile):
+    """Pairs just above and below 0.8, alone and in a crowd of copies (more than a small tile's 32 rows)."""
+    import random
+
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def changed(words, n):
+        out = words.copy()
+        for k in range(n):
+            out[12 + k * 180 // n] = f"new{rng.randrange(10**6)}"
+        return out
+
+    made = []
+    for n in [4] * 40 + [5] * 20 + [7] * 20:  # 0.815, 0.774 and 0.697 alike
+        made.append(text())
+        made.append(changed(made[-1], n))
+    crowd = text()
+    made += [changed(crowd, 1) for _ in range(45)] + [changed(crowd, 3) for _ in range(5)] + [changed(crowd, 6)]
+    made = [" ".join(w) for w in made]
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups(made))
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(i + 1, i) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 60)] + [(5000, 4999)]
     got = {r.id: r.component for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
