@@ -8,9 +8,9 @@ and ignores the others, so a substituted word in an ignored place leaves the has
 2. One pass over the documents hashes every place under every mask. Places that pass the
    filter are written, with the words around them, to the shared folder; texts do not move.
 3. Those hashes join the items' hashes. A hit fixes an item and a diagonal.
-4. On each diagonal the item is laid over the document; the best-scoring stretch (+1 for an
-   equal word, -1 for another) is the overlap. It counts if it has least_words words (the
-   whole item if shorter) and least_match of them are equal.
+4. On each diagonal the item is laid over the document; the longest stretch from an equal word
+   to an equal word of which least_match are equal is the overlap. It counts if it has
+   least_words words (the whole item if shorter).
 
 Items of equal words are searched once, under the smallest item_id. Items shorter than the
 span are looked for by their whole length, unmasked, down to 5 words; shorter ones are left
@@ -150,16 +150,20 @@ def _scan(masks, table, bits: int):
     return run
 
 
-def best_overlap(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch [a, b) of the greatest sum of +1 (equal) and -1; the first, longest of ties."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-    gain = total - np.minimum.accumulate(total)
-    b = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    return int(np.argmin(total[: b + 1])), b
+def best_overlap(equal: np.ndarray, least_match: float) -> tuple[int, int]:
+    """The longest stretch [a, b) from an equal word to an equal word with a share of least_match equal; the first of ties."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0
+    worth = np.arange(len(at)) - least_match * at
+    ahead = np.maximum.accumulate(worth[::-1])[::-1]  # does not rise: the last end that is good enough for each start
+    last = np.searchsorted(-ahead, 1 - least_match - worth + 1e-9, side="right") - 1
+    a = int(np.argmax(at[last] - at))
+    return int(at[a]), int(at[last[a]]) + 1
 
 
-def _verify(batches):
-    """(doc, mark, item, shift, parts, item_words) -> the best overlap on the diagonal."""
+def _verify(batches, least_match: float):
+    """(doc, mark, item, shift, parts, item_words) -> the longest overlap on the diagonal."""
     for batch in batches:
         doc, mark, item, shift, parts, words = (c.to_pylist() for c in batch.columns)
         rows = []
@@ -172,7 +176,7 @@ def _verify(batches):
                 if a >= b:
                     continue
                 equal = np.array([x == y for x, y in zip(ws[a:b], have[a + s - p["start"] : b + s - p["start"]], strict=True)])
-                x, y = best_overlap(equal)
+                x, y = best_overlap(equal, least_match)
                 best = max(best, (y - x, int(equal[x:y].sum()), a + x + s, a + y + s))
             rows.append((d, m, i, len(ws), *best))
         if rows:
@@ -196,7 +200,7 @@ def contaminated(
     diagonals = each.join(seeds, "h").select("doc", "mark", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     laid = diagonals.join(hits.select("doc", "mark", "parts").dropDuplicates(["doc", "mark"]), ["doc", "mark"]).join(items.select("item", "words"), "item")
     laid = laid.select("doc", "mark", "item", "shift", "parts", "words").mapInArrow(
-        _verify, "doc long, mark long, item long, item_words long, overlap_words long, equal_words long, start_word long, end_word long"
+        lambda batches: _verify(batches, least_match), "doc long, mark long, item long, item_words long, overlap_words long, equal_words long, start_word long, end_word long"
     )
     enough = (F.col("overlap_words") >= F.least(F.lit(least_words), F.col("item_words"))) & (F.col("equal_words") >= least_match * F.col("overlap_words"))
     best = laid.where(enough).groupBy("doc", "mark", "item", "item_words").agg(F.max(F.struct("equal_words", "overlap_words", "start_word", "end_word")).alias("b"))

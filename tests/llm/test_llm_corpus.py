@@ -174,6 +174,30 @@ def test_decontamination(spark, docs, rows, no_docs):
     assert decontaminate.contamination_report(docs, bench.limit(0)).count() == 0
 
 
+def test_best_overlap_is_the_longest_good_stretch():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [[1] * 40 + [0] * 35 + [1] * 36, [1] * 20 + [0] * 12 + [1] * 13, [0] * 9, [1] * 13]
+    rows += [[rng.random() < rng.choice((0.5, 0.8, 0.9)) for _ in range(rng.randint(1, 50))] for _ in range(200)]
+    for row in rows:
+        good = [b - a for a in range(len(row)) for b in range(a + 1, len(row) + 1) if row[a] and row[b - 1] and 10 * sum(row[a:b]) >= 8 * (b - a)]
+        a, b = decontaminate.best_overlap(np.array(row, bool), 0.8)
+        assert b - a == max(good, default=0) and 10 * sum(row[a:b]) >= 8 * (b - a)
+
+
+def test_decontamination_of_exact_runs_around_a_gap(spark):
+    words = [f"item{k}" for k in range(111)]
+    long = [*words[:40], *[f"x{k}" for k in range(35)], *words[75:]]
+    short = [*words[:20], *[f"y{k}" for k in range(12)], *words[32:45]]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(words[:9]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(words)), (5, " ".join(words[:45]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.equal_words) for r in decontaminate.contamination_report(df, bench).collect()}
+    assert got == {(1, 0): (0, 40, 40), (1, 5): (0, 40, 40), (2, 0): (0, 20, 20), (2, 5): (0, 20, 20)}
+
+
 def brute_exponent(tokens, mix):
     from math import log
 
