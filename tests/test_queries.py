@@ -1,6 +1,10 @@
 """Every query against its SQL twin on the smallest tables, and the entry point."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -39,3 +43,18 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_stands_without_the_llm_folders(tmp_path):
+    """A copy without tessera/llm, tests/llm and with or without corpus_pipeline.py lists the engine's own queries."""
+    root = Path(__spark_entry__.__file__).resolve().parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for there in ("corpus_pipeline.py", None):
+        if there and (root / there).exists():
+            shutil.copy(root / there, tmp_path)
+        elif (tmp_path / "corpus_pipeline.py").exists():
+            (tmp_path / "corpus_pipeline.py").unlink()
+        said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+        assert list(map(int, said)) == [len(__spark_entry__.catalog.QUERIES), len(__spark_entry__.catalog.ORACLE)]
