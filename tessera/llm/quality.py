@@ -4,7 +4,8 @@ For several lengths n, rolling hashes of all n-word windows of a block of texts
 built in numpy (each length extends the hashes of the one before by one word). A
 window is repeated when the same text holds its hash twice; the characters of words
 under repeated windows, the first one included, are summed. Lines are hashed alike.
-No shuffle: each task reads its rows once and keeps one block of texts in memory.
+No shuffle: each task reads its rows once and keeps one block of texts in memory; a text longer
+than a block is a block of its own and takes about 20 bytes of memory for each of its bytes.
 
 Edge cases: a null or blank text has no words, fails the base rule and is rejected;
 equal rows get equal verdicts; an empty table gives an empty table; other columns are
@@ -57,16 +58,14 @@ def measure(column, rules: RepetitionRules) -> dict[str, np.ndarray]:
     """The columns of COLUMNS for each text."""
     w = tw.split(column)
     buf, n_texts = w.buf, len(w.offsets) - 1
-    begins = (buf & 0xC0) != 0x80  # first byte of a character
-    chars = np.concatenate([[0], np.cumsum(begins)])
-    word_chars = chars[w.end] - chars[w.start]
+    word_chars = tw.counts_in((buf & 0xC0) != 0x80, w.start, w.end)  # first bytes of characters
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
-    symbols = np.concatenate([[0], np.cumsum(symbol[buf])])
+    symbols = np.flatnonzero(symbol[buf])
     out = {
         "n_words": w.counts.astype(np.int64),
         "word_chars": tw.per_text(word_chars, w.first),
-        "n_symbols": symbols[w.offsets[1:]] - symbols[w.offsets[:-1]],
+        "n_symbols": np.diff(np.searchsorted(symbols, w.offsets)).astype(np.int64),
     }
     total = np.maximum(out["word_chars"], 1)
 

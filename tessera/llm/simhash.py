@@ -21,7 +21,8 @@ sets of each candidate pair are then compared, so a link never depends on other
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
 than a shingle is one shingle; a null id is never the smallest, and the component is null if no
 other is reachable; texts that share an id are linked by their fingerprints alone; repeated
-rows keep a row each; an empty table gives an empty one.
+rows keep a row each; an empty table gives an empty one. A very long text is hashed in parts of
+its shingles, with under 20 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from . import words as tw
 from .shared import NO_ID, map_texts, quoted, saved, solid_id
 
+#: Shingles that one numpy pass hashes or counts at a time.
+PART = 1 << 16
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
 #: Candidates of one_of_each_group: lanes of 64 bits, choices of KEY_BITS bits of a lane, and the
@@ -52,22 +55,24 @@ NO_ID_FROM = 1 << 62
 def shingle_hashes(column, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word shingle, texts one after another, and how many each text has."""
     w = tw.split(column, lower=True)
-    n_texts = len(w.offsets) - 1
-    size = w.end - w.start
-    at = np.cumsum(size + 1) - size - 1  # of each word in the words joined by one space
-    joined = np.full(int((size + 1).sum()), 32, np.uint8)
-    place = np.repeat(at - w.start, size)
-    source = np.repeat(w.start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    joined[source + place] = w.buf[source]
-    data = joined.tobytes()
     n = np.minimum(w.counts, shingle)
     count = np.where(w.counts > 0, w.counts - n + 1, 0)
     ends = np.cumsum(count)
-    head = np.repeat(w.first[:-1] - (ends - count), count) + np.arange(int(ends[-1]) if n_texts else 0)
-    tail = head + np.repeat(n, count) - 1
-    a, b = at[head].tolist(), (at[tail] + size[tail]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a)), count
+    out, digest = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64), xxhash.xxh64_intdigest
+    for lo in range(0, len(out), PART):
+        seat = np.arange(lo, min(lo + PART, len(out)))
+        owner = np.searchsorted(ends, seat, side="right")
+        head = w.first[owner] + seat - (ends - count)[owner]
+        tail = head + n[owner] - 1
+        base, top = int(head[0]), int(tail[-1]) + 1
+        start, size = w.start[base:top], (w.end - w.start)[base:top]
+        at = np.cumsum(size + 1) - size - 1  # of each word in these words joined by one space
+        joined = np.full(int((size + 1).sum()), 32, np.uint8)
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        joined[np.repeat(at, size) + inside] = w.buf[np.repeat(start, size) + inside]
+        data, a, b = joined.tobytes(), at[head - base].tolist(), (at + size)[tail - base].tolist()
+        out[seat] = np.fromiter((digest(data[i:j], seed) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    return out, count
 
 
 def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +93,16 @@ def fingerprints(column, shingle: int, lanes: int, seed: int = 42) -> list[np.nd
 
 def majorities(first: np.ndarray, count: np.ndarray, lanes: int) -> list[np.ndarray]:
     """For each lane, the bits that over half of each text's hashes have."""
-    ends, out = np.cumsum(count), []
+    owner, out = np.repeat(np.arange(len(count)), count), []
     for lane in range(lanes):
-        h = tw.mix(first + np.uint64(lane)) if lane else first
-        fp = np.zeros(len(count), np.uint64)
-        some = np.flatnonzero(count)
-        if len(some):
+        ones = np.zeros((len(count), 64), np.int64)
+        for lo in range(0, len(first), PART):
+            h, own = first[lo : lo + PART], owner[lo : lo + PART]
+            h = tw.mix(h + np.uint64(lane)) if lane else np.ascontiguousarray(h)
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, (ends - count)[some], axis=0, dtype=np.int64)
-            fp[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        out.append(fp)
+            edge = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+            ones[own[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64).reshape(len(count)))
     return out
 
 

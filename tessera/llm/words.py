@@ -41,14 +41,9 @@ def coefficients(n: int, stream: int = 0) -> np.ndarray:
     return mix(i * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-_COEF = coefficients(256)
-
-
-def byte_coefficients(n: int) -> np.ndarray:
-    global _COEF
-    if n > len(_COEF):
-        _COEF = coefficients(max(n, 2 * len(_COEF)))
-    return _COEF
+#: Bytes that range_hashes spreads out at a time, and places after which coefficients repeat with another factor.
+_SPREAD, _TURN = 1 << 17, 1 << 10
+_COEF = coefficients(_TURN)
 
 
 @dataclass
@@ -116,25 +111,48 @@ def split_buffer(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = SPAC
     return Words(buf, off, start, end, np.searchsorted(start, off))
 
 
+def _spread(buf: np.ndarray, start: np.ndarray, size: np.ndarray, at: int = 0) -> np.ndarray:
+    """The sum of each range's bytes times coefficients by place; places begin at `at`."""
+    head = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(head, size)
+    value = buf[np.repeat(start, size) + place].astype(_U)
+    value += _U(1)
+    place += at
+    value *= _COEF[place & _TURN - 1]
+    if int(size.max()) + at > _TURN:
+        value *= (2 * (place >> 10) + 1).astype(_U)
+    return np.add.reduceat(value, head)
+
+
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range (ranges ascend and do not overlap)."""
+    """A 64-bit hash of each byte range (ranges ascend and do not overlap); _SPREAD bytes are spread out at a time."""
     if not len(start):
         return np.zeros(0, _U)
     size = end - start
     out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15))
     full = np.flatnonzero(size)
-    if not len(full):
-        return out
     start, size = start[full], size[full]
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(at, size)
-    value = buf[np.repeat(start, size) + place].astype(_U)
-    value += _U(1)
-    value *= byte_coefficients(int(size.max()))[place]
-    out[full] += np.add.reduceat(value, at)
+    total, i = np.cumsum(size), 0
+    while i < len(full):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + _SPREAD, side="right")))
+        if size[i] > _SPREAD:
+            for at in range(0, int(size[i]), _SPREAD):
+                out[full[i : i + 1]] += _spread(buf, start[i : i + 1] + at, np.minimum(size[i : i + 1] - at, _SPREAD), at)
+        else:
+            out[full[i:j]] += _spread(buf, start[i:j], size[i:j])
+        i = j
     return mix(out)
 
 
+def counts_in(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags each range (not empty, ascending) holds."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    edge = np.empty(2 * len(start), np.int64)
+    edge[0::2], edge[1::2] = start, end
+    return np.add.reduceat(np.append(flags.view(np.uint8), np.uint8(0)), edge, dtype=np.int64)[::2]
+
+
 def word_hashes(w: Words) -> np.ndarray:
     return range_hashes(w.buf, w.start, w.end)
 
