@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,18 +159,78 @@ def test_components_of_long_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 60)} | {5000: 4999}
 
 
+def brute_overlap(item, text, least=13):
+    """Whether some laying of the item over the text is an overlap, by the rule itself."""
+    rim = [""] * (len(item) - 1)
+    laid = np.lib.stride_tricks.sliding_window_view(np.array(rim + text + rim), len(item)) == np.array(item)
+    for equal in laid[10 * laid.sum(axis=1) >= 8 * min(len(item), least)].tolist():
+        if len(item) < least:
+            if 10 * sum(equal) >= 8 * len(item):
+                return True
+            continue
+        total = [0]
+        for x in equal:
+            total.append(total[-1] + x)
+        if any(equal[a] and equal[b - 1] and 10 * (total[b] - total[a]) >= 8 * (b - a) for a in range(len(item)) for b in range(a + least, len(item) + 1)):
+            return True
+    return False
+
+
+def test_masks_hit_every_accepted_overlap():
+    """Every choice of words that may differ, for each length (the lengths between follow from these)."""
+    from itertools import combinations
+
+    for n, m in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        seeds = [sum(1 << k + at for k in mask) for mask in decontaminate.MASKS for at in range(n - mask[-1])]
+        for other in combinations(range(n), m):
+            bits = sum(1 << k for k in other)
+            assert any(not bits & s for s in seeds), (n, other)
+    for n in range(1, 13):
+        m = n - decontaminate._least_equal(n, 0.8)
+        assert (m + 1) / n > 0.2 + 1e-9 >= m / n
+        for other in combinations(range(n), m):
+            assert any(not set(other) & set(kept) for kept in decontaminate.short_masks(n, 0.8))
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items of 1 to 60 words, planted with 0 to 30 percent of words substituted, at text edges too; a small vocabulary makes chance hits."""
+    import random
+
+    rng = random.Random(21)
+    items = [[f"q{rng.randrange(60)}x{rng.randrange(3)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 30, 60]))] for _ in range(60)]
+    texts = []
+    for k in range(300):
+        item = list(rng.choice(items))
+        for j in rng.sample(range(len(item)), int(len(item) * rng.choice([0, 0, 0.1, 0.2, 0.2, 0.25, 0.3]) + 0.5)):
+            item[j] = "zz"
+        a, b = rng.choice([(0, 0), (0, 30), (7, 9), (400, 3)])
+        cut = rng.choice([0, 0, 0, 1, 2])
+        texts.append([f"f{rng.randrange(900)}" for _ in range(a)] + item[cut:] + [f"f{rng.randrange(900)}" for _ in range(b)])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    classes = {r.item_id: r.class_item_id for r in decontaminate.item_classes(bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(df, bench).collect()}
+    want = {(d, classes[i]) for i, item in enumerate(items) for d, text in enumerate(texts) if brute_overlap(item, text)}
+    assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5])
+    assert len(want) > 150
+
+
 def test_decontamination(spark, docs, rows, no_docs):
-    items = [rows[20][1].split()[:30], rows[21][1].split()[:18], ["kaba", "lode", "unheard", "of", "seven", "words", "here"], rows[22][1].split()[:25], ["one", "two"], []]
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(9, " ".join(items[0])), (10, None)], "item_id long, text string")
+    items = [rows[20][1].split()[:30], rows[21][1].split()[:18], ["kaba", "lode", "unheard", "of", "seven", "words", "here"], rows[22][1].split()[:25], ["one", "two"], [], ["solitary"]]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(9, " ".join(items[0])), (10, None), (None, "null item")], "item_id long, text string")
     changed = items[3].copy()
     for k in (3, 9, 15, 22):
         changed[k] = "swapped"
-    extra = [(900, "start " + " ".join(changed) + " end", "en", "s", 1, "x"), (901, "a kaba lode unheard of seven words here b", "en", "s", 1, "x"), (902, " ".join(items[0][:8] + ["other"] * 9), "en", "s", 1, "x"), (None, rows[20][1], "en", "s", 1, "x")]
-    df = docs.unionByName(spark.createDataFrame(extra, docs.schema))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(df, bench).collect()}
-    assert got == {(20, 0), (None, 0), (21, 1), (22, 3), (900, 3), (901, 2)}
-    kept = decontaminate.without_contaminated(df, bench)
-    assert kept.columns == df.columns and kept.count() == df.count() - 6
+    extra = [
+        (900, "start " + " ".join(changed) + " end"), (901, "a kaba lode unheard of seven words here b"), (902, " ".join(items[0][:8] + ["other"] * 9)), (None, rows[20][1]),
+        (903, "kaba lode unheard of seven WORDS"), (904, "a Solitary end"), (905, "x one two"), (906, "one three two"), (907, "null item"),
+    ]
+    df = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in extra], docs.schema))
+    got = {(r.doc_id, r.item_id): r.same_items for r in decontaminate.contamination_report(df, bench).collect()}
+    assert got == {(20, 0): 2, (None, 0): 2, (21, 1): 1, (22, 3): 1, (900, 3): 1, (901, 2): 1, (903, 2): 1, (904, 6): 1, (905, 4): 1, (907, None): 1}
+    clash = df.withColumnsRenamed({"kept": "_doc", "lang": "_mark", "source": "_in"})
+    kept = decontaminate.without_contaminated(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == df.count() - 10
     assert decontaminate.contamination_report(no_docs, bench).count() == 0
     assert decontaminate.contamination_report(docs, bench.limit(0)).count() == 0
 
