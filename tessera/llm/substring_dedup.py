@@ -8,18 +8,19 @@ a super-k-mer. Equal windows have equal minimisers at the same place in them, so
    unique; that super-k-mer need not travel. Counting them moves a hash and a count for each.
 2. The other super-k-mers travel as one packed string (words joined by a space) and are
    folded by content, keeping the first place of each (partial sums before the shuffle).
-3. Folded strings go to the bucket of their minimiser. There all windows are sorted by
-   their words; of equal ones, the first document and place is the original. Minimisers with
-   very many different strings (at most HOT_KEYS of them, the most frequent) are cut into single
-   windows, folded again and dealt by content, so no bucket holds a hot minimiser.
+3. Folded strings are dealt and sorted by their minimiser. A task streams them, some minimisers
+   at a time: it sorts their windows by their words; of equal ones, the first document and place
+   is the original. A minimiser of HOT_ROWS super-k-mers or more is hot: its folded strings are
+   cut into single windows, which are folded by their words, so each is dealt by itself. So no
+   group that a task sorts has HOT_ROWS strings, whatever the corpus.
 4. The first places return to their documents, where every window of a travelled
    super-k-mer that is not a first place is a copy and the words it covers go.
 
-Documents are ordered by id. Windows compare by their words, never
-by hashes alone. Edge cases: null ids sort first; a null text has no words and is kept; texts
-shorter than a window lose nothing; rows of one id are ordered by the hash of their text, and
-equal rows are one document, whose result each gets; an empty table gives an empty one; other
-columns stay as they are.
+Documents are ordered by id; rows of one id (null ids too, which sort first) by the hash of
+their text. Windows compare by their words, never by hashes alone. Edge cases: a null text has no
+words, is kept and stays null; texts shorter than a window lose nothing; rows of one id and text
+are one document, whose result each gets; an empty table gives an empty one; other columns stay
+as they are, whatever their names; a very long text is one row, scanned whole.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -39,10 +39,10 @@ from .shared import quoted, saved, solid_id
 
 #: A super-k-mer has width - gram + 1 windows at most: 62 or fewer, for they are bits of a long.
 WIDTH, GRAM = 20, 5
-#: A minimiser with so many different super-k-mers is hot; so many of the hottest are cut up.
-HOT_ROWS, HOT_KEYS = 512, 10_000
-#: Buckets for each shuffle partition.
-BUCKETS = 4
+#: A minimiser of so many super-k-mers is hot and is cut into windows. Bytes of strings that a task sorts at a time.
+HOT_ROWS, SORT_BYTES = 512, 4 << 20
+#: A place is (first word << 8) | (hot << 7) | windows.
+_HOT, _WINDOWS = 128, 63
 
 
 def super_kmers(w: tw.Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +66,6 @@ def super_kmers(w: tw.Words, width: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at[begin], np.diff(np.append(begin, len(at))), low[begin].view(np.int64)
 
 
-def _place(ord, start, n):
-    """Row number among rows of one id, first word, windows: one long."""
-    return (ord.astype(np.int64) << 40) | (start.astype(np.int64) << 8) | n
-
-
 def _scan(width: int, gram: int, places: bool):
     """(doc, ord, text) -> the minimiser of each super-k-mer, and its place."""
 
@@ -81,23 +76,17 @@ def _scan(width: int, gram: int, places: bool):
             if not places:
                 yield pa.RecordBatch.from_arrays([pa.array(low)], names=["low"])
                 continue
-            owner = np.searchsorted(w.first, start, side="right") - 1
-            doc, ord = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(doc[owner]), pa.array(_place(ord[owner], start - w.first[owner], n))], names=["low", "doc", "place"])
+            owner = pa.array(np.searchsorted(w.first, start, side="right") - 1)
+            place = (start - w.first[owner.to_numpy()]) << 8 | n
+            yield pa.RecordBatch.from_arrays([pa.array(low), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place)], names=["low", "doc", "ord", "place"])
 
     return run
 
 
-def _own(lists: pa.Array, ords: np.ndarray) -> list[np.ndarray]:
-    """For each row, the places in its list that name its ord, ascending."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    values, o = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    out = []
-    for i, ord in enumerate(ords):
-        x = values[o[i] : o[i + 1]]
-        out.append(np.sort(x[(x >> 40) == ord]) & ((1 << 40) - 1))
-    return out
+def _own(lists: pa.Array) -> list[np.ndarray]:
+    """Each row's places, ascending."""
+    values, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [np.sort(x) for x in np.split(values, np.cumsum(n)[:-1])] if len(n) else []
 
 
 def _zip(batches):
@@ -106,8 +95,8 @@ def _zip(batches):
     for batch in batches:
         for part in tw.slices(batch, "text"):
             buf, off = tw.text_buffer(part.column(2))
-            data = buf.tobytes()
-            zipped = [squeeze(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            data, there = buf.tobytes(), part.column(2).is_valid().to_pylist()
+            zipped = [squeeze(data[a:b]) if t else None for a, b, t in zip(off[:-1].tolist(), off[1:].tolist(), there, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(zipped, pa.binary()), pa.array(np.diff(off)), part.column(3)], names=["doc", "ord", "zip", "size", "_row"])
 
 
@@ -120,7 +109,7 @@ def _unzipped(batches):
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + tw.PASS_BYTES, side="right")))
             part = batch.slice(at, to - at)
-            yield part, pa.array([grow.decompress(z) if z else b"" for z in part.column(2).to_pylist()], pa.large_binary())
+            yield part, pa.array([None if z is None else grow.decompress(z) for z in part.column(2).to_pylist()], pa.large_binary())
             at = to
 
 
@@ -129,91 +118,101 @@ def _pack(width: int, gram: int):
 
     def run(batches):
         for batch, texts in _unzipped(batches):
-            own = _own(batch.column(5), batch.column(1).to_numpy())
+            own = _own(batch.column(5))
             some = np.flatnonzero([len(x) > 0 for x in own])
             if not len(some):
                 continue
             own = [own[i] for i in some]
             w = tw.split(texts.take(pa.array(some)))
-            doc, ord = batch.column(0).to_numpy()[some], batch.column(1).to_numpy()[some]
             start, _, low = super_kmers(w, width, gram)
-            code = np.concatenate([x + (int(w.first[i]) << 8) for i, x in enumerate(own)])
-            begin, n = code >> 8, code & 255
+            place = np.concatenate(own)
             owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            begin, n = (place >> 8) + w.first[owner], place & _WINDOWS
             low = low[np.searchsorted(start, begin)]
             data, a, b = w.raw(), w.start[begin].tolist(), w.end[begin + n + width - 2].tolist()
             packed = [b" ".join(data[i:j].split()) for i, j in zip(a, b, strict=True)]
-            rest = begin - w.first[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(low), pa.array(packed, pa.binary()), pa.array(doc[owner]), pa.array(_place(ord[owner], rest, n))], names=["low", "packed", "doc", "place"]
-            )
+            of = pa.array(some[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(packed, pa.binary()), batch.column(0).take(of), batch.column(1).take(of), pa.array(place)], names=["low", "packed", "doc", "ord", "place"])
 
     return run
 
 
 def _cut(width: int):
-    """Of the super-k-mers with a hot minimiser, each window of its own."""
+    """(packed, doc, ord, place) of super-k-mers -> each window of its own."""
 
     def run(batches):
-        for batch in batches:
-            yield from parts(batch.filter(pc.is_valid(batch.column(3))))
-
-    def parts(batch):
-        for batch in tw.slices(batch, "packed", 1 << 18):
+        for batch in tw.passes(batches, "packed", 1 << 18):
             w = tw.split(batch.column(0))
-            doc, place = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at = np.flatnonzero(tw.inner(w, width))
             owner = np.searchsorted(w.first, at, side="right") - 1
-            data = w.raw()
+            data, of = w.raw(), pa.array(owner)
             packed = [data[i:j] for i, j in zip(w.start[at].tolist(), w.end[at + width - 1].tolist(), strict=True)]
-            moved = ((place[owner] >> 8) + (at - w.first[owner]) << 8) | 1
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(doc[owner]), pa.array(moved)], names=["packed", "doc", "place"])
+            moved = ((batch.column(3).to_numpy()[owner] >> 8) + (at - w.first[owner])) << 8 | 1
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).take(of), batch.column(2).take(of), pa.array(moved)], names=["packed", "doc", "ord", "place"])
 
     return run
 
 
-def _first_places(width: int):
-    """A bucket of (packed, doc, place) -> doc, place with the bits of windows seen there first."""
+FIRSTS = "doc long, ord long, first long, bits long"
 
-    def bucket(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
-        order = np.lexsort((place, doc))
-        table, doc, place = table.take(pa.array(order)), doc[order], place[order]
-        bits = np.zeros(len(doc), np.int64)
-        w = tw.split(table.column("packed"))
+
+def _first_places(width: int):
+    """(low, packed, doc, ord, place) sorted by low -> FIRSTS: first word and the bits of the windows seen there first."""
+
+    def firsts(t: pa.Table) -> pa.RecordBatch:
+        doc, ord, place = (t.column(c).to_numpy() for c in ("doc", "ord", "place"))
+        order = np.lexsort((place, ord, doc))
+        packed = t.column("packed").take(pa.array(order)).combine_chunks()
+        doc, ord, place = doc[order], ord[order], place[order]
+        w = tw.split(packed)
         at = np.flatnonzero(tw.inner(w, width))
         owner = np.searchsorted(w.first, at, side="right") - 1
         data = w.raw()
         window = [data[i:j] for i, j in zip(w.start[at].tolist(), w.end[at + width - 1].tolist(), strict=True)]
-        ranked = sorted(range(len(window)), key=window.__getitem__)  # stable: equal windows stay in document order
-        first, last = [], None
-        for i in ranked:
-            if window[i] != last:
-                first.append(i)
-                last = window[i]
-        first = np.array(first, dtype=np.int64)
-        np.bitwise_or.at(bits, owner[first], 1 << (at[first] - w.first[owner[first]]))
+        first: dict[bytes, int] = {}
+        for i in sorted(range(len(window)), key=window.__getitem__):  # stable: equal windows stay in document order
+            first.setdefault(window[i], i)
+        seen = np.fromiter(first.values(), np.int64, len(first))
+        bits = np.zeros(len(doc), np.int64)
+        np.bitwise_or.at(bits, owner[seen], 1 << (at[seen] - w.first[owner[seen]]))
         some = np.flatnonzero(bits)
-        return pa.table({"doc": doc[some], "place": place[some] >> 8, "bits": bits[some]})
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (doc, ord, place >> 8, bits)], names=["doc", "ord", "first", "bits"])
 
-    return bucket
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in tw.slices(batch, "packed", SORT_BYTES):
+                low = part.column(0)
+                if size >= SORT_BYTES and held:
+                    # whole minimisers go; the last one may go on in the next part
+                    t = pa.Table.from_batches([*held, part]).combine_chunks()
+                    key = t.column("low").to_numpy()
+                    upto = int(np.searchsorted(key, key[-1]))
+                    if upto:
+                        yield firsts(t.slice(0, upto))
+                    held, size = t.slice(upto).to_batches(), t.slice(upto).nbytes
+                elif len(low):
+                    held.append(part)
+                    size += part.nbytes
+        if held:
+            yield firsts(pa.Table.from_batches(held))
+
+    return run
 
 
-def _removed(width: int, counts: np.ndarray, first: np.ndarray, places, ords, firsts) -> np.ndarray:
+def _removed(width: int, counts: np.ndarray, first: np.ndarray, places, firsts) -> np.ndarray:
     """Which words go: those under windows of travelled super-k-mers that are not first places."""
     edge = np.zeros(int(first[-1]) + 1, np.int64)
-    for i, own in enumerate(_own(places, ords)):
+    for i, own in enumerate(_own(places)):
         if not len(own):
             continue
-        windows = max(0, int(counts[i]) - width + 1)
-        copy = np.zeros(windows, bool)
-        start, n = own >> 8, own & 255
+        copy = np.zeros(max(0, int(counts[i]) - width + 1), bool)
+        start, n = own >> 8, own & _WINDOWS
         for k in range(int(n.max())):
             copy[start[n > k] + k] = True
-        mine = [(f["place"] & ((1 << 32) - 1), f["bits"]) for f in firsts[i].as_py() or () if f["place"] >> 32 == ords[i]]
+        mine = firsts[i].as_py()
         if mine:
-            at, bits = np.array(mine, dtype=np.int64).T
+            at, bits = np.array([(f["first"], f["bits"]) for f in mine], dtype=np.int64).T
             for k in range(int(bits.max()).bit_length()):
                 copy[at[bits >> k & 1 > 0] + k] = False
         at = np.flatnonzero(copy)
@@ -226,41 +225,37 @@ def _joined(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: li
     """(doc, ord, zip, size, _row) of each row, with its travelled places and first places.
 
     One plan in which the zipped texts, the places and the folded super-k-mers are each
-    shuffled once and read again where they are used again (the same exchange).
+    shuffled once and read again where they are used again (the same exchange). Texts that share
+    an id are told apart by ord, the hash of their text; of other rows it is 0.
     """
-    spark = docs.sparkSession
-    rows = docs.select(solid_id(id).alias("doc"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(quoted(c) for c in keep)).alias("_row"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
+    rows = docs.select(solid_id(id).alias("doc"), quoted(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(quoted(c) for c in keep)).alias("_row"))
     again = saved(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
     if again.isEmpty():
         rows = rows.withColumn("ord", F.lit(0).cast("long"))
     else:
-        ords = rows.join(again, "doc", "left_semi").select("doc", "mark").distinct()
-        ords = ords.withColumn("ord", (F.row_number().over(Window.partitionBy("doc").orderBy("mark")) - 1).cast("long"))
-        rows = rows.join(saved(ords, "ords"), ["doc", "mark"], "left").withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
-    rows = rows.select("doc", "ord", "text", "_row")
-    texts = rows.select("doc", "ord", "text")
-    shared = texts.mapInArrow(_scan(width, gram, False), "low long").groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
+        rows = rows.join(again.withColumn("again", F.lit(True)), "doc", "left").withColumn("ord", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    node = ["doc", "ord"]
+    rows = rows.select(*node, "text", "_row")
+    texts = rows.select(*node, "text")
+    shared = texts.mapInArrow(_scan(width, gram, False), "low long").groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low", F.when(F.col("n") >= HOT_ROWS, _HOT).otherwise(0).cast("long").alias("hot"))
     shared = saved(shared, "shared")  # a plain side, so that AQE can split the join where a hash is hot
-    places = texts.mapInArrow(_scan(width, gram, True), "low long, doc long, place long").join(shared, "low", "left_semi")
-    places = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    zip_schema = StructType([*rows.select("doc", "ord").schema, StructField("zip", BinaryType()), StructField("size", LongType()), rows.schema["_row"]])
-    zipped = rows.mapInArrow(_zip, zip_schema).join(places, "doc", "left").select("doc", "ord", "zip", "size", "_row", "places")
-    packed = zipped.mapInArrow(_pack(width, gram), "low long, packed binary, doc long, place long")
-    earliest = F.min(F.struct("doc", "place")).alias("at")
-    folded = packed.groupBy("low", "packed").agg(earliest)
-    hot = folded.groupBy("low").agg(F.count("at").alias("n")).where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "low").limit(HOT_KEYS).select("low", F.lit(True).alias("hot"))
-    folded = folded.join(F.broadcast(hot), "low", "left")  # HOT_KEYS rows at most
-    n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = folded.where("hot is null").select(F.pmod(F.xxhash64("low"), F.lit(n_buckets)).alias("bucket"), "packed", "at.doc", "at.place")
-    single = folded.select("packed", "at.doc", "at.place", "hot").mapInArrow(_cut(width), "packed binary, doc long, place long")
-    single = single.groupBy("packed").agg(earliest).select(F.pmod(F.xxhash64("packed"), F.lit(n_buckets)).alias("bucket"), "packed", "at.doc", "at.place")
-    firsts = whole.unionByName(single).groupBy("bucket").applyInArrow(_first_places(width), "doc long, place long, bits long")
-    firsts = firsts.groupBy("doc").agg(F.collect_list(F.struct("place", "bits")).alias("firsts"))
-    return zipped.join(firsts, "doc", "left").select("doc", "ord", "zip", "size", "_row", "places", "firsts")
+    places = texts.mapInArrow(_scan(width, gram, True), "low long, doc long, ord long, place long").join(shared, "low")
+    places = places.groupBy(*node).agg(F.collect_list(F.col("place").bitwiseOR(F.col("hot"))).alias("places"))
+    zip_schema = StructType([*rows.select(*node).schema, StructField("zip", BinaryType()), StructField("size", LongType()), rows.schema["_row"]])
+    zipped = rows.mapInArrow(_zip, zip_schema).join(places, node, "left").select(*node, "zip", "size", "_row", "places")
+    packed = zipped.mapInArrow(_pack(width, gram), "low long, packed binary, doc long, ord long, place long")
+    earliest = F.min(F.struct(*node, "place")).alias("at")
+    folded = packed.groupBy("low", "packed").agg(earliest).select("low", "packed", "at.*")
+    hot = F.col("place").bitwiseAND(F.lit(_HOT)) > 0
+    whole = folded.where(~hot).repartition("low").sortWithinPartitions("low").mapInArrow(_first_places(width), FIRSTS)
+    single = folded.where(hot).select("packed", *node, "place").mapInArrow(_cut(width), "packed binary, doc long, ord long, place long").groupBy("packed").agg(earliest)
+    single = single.select("at.doc", "at.ord", F.shiftright("at.place", 8).alias("first"), F.lit(1).cast("long").alias("bits"))
+    firsts = whole.unionByName(single).groupBy(*node).agg(F.collect_list(F.struct("first", "bits")).alias("firsts"))
+    return zipped.join(firsts, node, "left").select(*node, "zip", "size", "_row", "places", "firsts")
 
 
 def _apply(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: list[str], columns: dict[str, str], measure) -> DataFrame:
+    """(_row, columns): _row holds keep."""
     found = _joined(docs, id, text, width, gram, keep)
     schema = StructType([found.schema["_row"]])
     for c, kind in columns.items():
@@ -269,11 +264,11 @@ def _apply(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: lis
     def run(batches):
         for batch, texts in _unzipped(batches):
             w = tw.split(texts)
-            gone = _removed(width, w.counts, w.first, batch.column(5), batch.column(1).to_numpy(), batch.column(6))
+            gone = _removed(width, w.counts, w.first, batch.column(5), batch.column(6))
             made = measure(w, gone, texts)
             yield pa.RecordBatch.from_arrays([batch.column(4), *(pa.array(x) for x in made)], names=["_row", *columns])
 
-    return found.mapInArrow(run, schema).select(*(F.col("_row").getField(c).alias(c) for c in keep), *columns)
+    return found.mapInArrow(run, schema)
 
 
 def _kept_words(w: tw.Words, gone: np.ndarray) -> list[bytes]:
@@ -301,7 +296,8 @@ def removal_report(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     def measure(w, gone, _):
         return w.counts.astype(np.int64), tw.per_text(gone, w.first), [hashlib.sha256(x).hexdigest() for x in _kept_words(w, gone)]
 
-    return _apply(docs, id, text, width, gram, [id], {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}, measure)
+    columns = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}
+    return _apply(docs, id, text, width, gram, [id], columns, measure).select(F.col("_row").getField(id).alias(id), *columns)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -314,12 +310,12 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
     def measure(w, gone, column):
         lost = tw.per_text(gone, w.first)
-        texts = [(k if n else t).decode() for t, n, k in zip(column.to_pylist(), lost, _kept_words(w, gone), strict=True)]
-        return texts, lost, w.counts.astype(np.int64)
+        texts = [(k if n else t).decode() if t is not None else None for t, n, k in zip(column.to_pylist(), lost, _kept_words(w, gone), strict=True)]
+        return pa.array(texts, pa.string()), lost, w.counts.astype(np.int64)
 
     out = _apply(docs, id, text, width, gram, keep, {"_text": "string", "_lost": "long", "_words": "long"}, measure)
     out = out.where("_lost = 0 or _lost < _words")
-    if "n_chars" in keep and text != "n_chars":
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_lost") == 0, F.col("n_chars")).otherwise(F.length("_text").cast(kind)))
-    return out.select(*(F.col("_text").alias(c) if c == text else quoted(c) for c in docs.columns))
+    made = {c: F.col("_row").getField(c) for c in keep} | {text: F.col("_text")}
+    if "n_chars" in keep:
+        made["n_chars"] = F.when(F.col("_lost") == 0, made["n_chars"]).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(made[c].alias(c) for c in docs.columns))

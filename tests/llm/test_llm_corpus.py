@@ -30,19 +30,30 @@ def brute_removal(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_substring_dedup(docs, rows, no_docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sort_bytes"), [(2048, 4 << 20), (2048, 500), (2, 4 << 20)])
+def test_substring_dedup(docs, rows, no_docs, monkeypatch, hot, sort_bytes):
     monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring_dedup, "SORT_BYTES", sort_bytes)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removal_report(docs).collect()}
     assert got == brute_removal([r[:2] for r in rows])
     kept = substring_dedup.without_repeats(docs)
     assert kept.columns == docs.columns
     for r in kept.collect():
         n, gone, sha = got[r.doc_id]
-        assert (r.text == rows[r.doc_id][1] or r.text is not None) if not gone else hashlib.sha256(r.text.encode()).hexdigest() == sha
+        assert r.text == rows[r.doc_id][1] if not gone else hashlib.sha256(r.text.encode()).hexdigest() == sha
+    clash = docs.withColumnsRenamed({"kept": "_text", "lang": "_lost", "source": "_row"})
+    assert sorted(map(repr, substring_dedup.without_repeats(clash).collect())) == sorted(map(repr, kept.withColumnsRenamed({"kept": "_text", "lang": "_lost", "source": "_row"}).collect()))
     assert substring_dedup.without_repeats(no_docs).count() == 0
 
 
+def test_substring_dedup_of_many_rows_without_id(spark):
+    """10,000 texts of null id: grouped by id and text, each row meets its own places only."""
+    base = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.concat(F.lit("w"), (F.col("id") % 5_000 * 100 + k).cast("string"))), " ")
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(base, F.when(F.col("id") < 5_000, "").otherwise(" end")).alias("text"))
+    got = substring_dedup.removal_report(df).agg(F.count("*").alias("rows"), F.sum("n_words").alias("words"), F.sum("n_removed").alias("gone")).first()
+    assert tuple(got) == (10_000, 305_000, 150_000)  # of each text and its copy with an end, one loses thirty words
+
+
 def test_substring_dedup_of_repeated_ids(spark, rows):
     long = rows[0][1]
     data = [(1, long), (1, long), (1, rows[1][1]), (None, rows[1][1]), (2, rows[1][1] + " end"), (3, None)]
