@@ -13,8 +13,9 @@
    copies are permuted by md5 of seed, block, id and pass. So every block holds the sources
    at their weights.
 
-Sums along a source run over 4096 parts of each pass first and inside a part then, so a hot
-source is not one task's work. Edge cases: null or blank texts have no tokens and come along
+Sums along a source run over 4096 parts of each pass first and inside a part then, and places in
+a block over 256 parts of it, so neither a hot source nor a corpus of blank texts (one block) is one
+task's work. Edge cases: null or blank texts have no tokens and come along
 where their order puts them; sources without tokens come once; a null source is a source; equal rows are copies of
 their own; null ids sort first; an empty table gives an empty mix; other columns are not read.
 """
@@ -33,6 +34,8 @@ from .shared import quoted, saved
 GRID, ROUNDS, UNIT = 16, 5, 10**12
 #: Parts of a pass (hex digits of the md5 order): 16 ** 3.
 PART_DIGITS = 3
+#: Parts of a block, in which its copies are numbered: 16 ** 2.
+SEAT_DIGITS = 2
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ def _power(share: Column, a: float) -> Column:
 
 def exponent(sources: DataFrame, mix: Mix) -> float:
     """The exponent for sources(share, tokens > 0)."""
-    low, high, n = 0.0, 1.0, None
+    low, high, both, n = 0.0, 1.0, False, None
     for _ in range(ROUNDS):
         tried = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         sums = [F.sum(_power(F.col("share"), a)).alias(f"z{i}") for i, a in enumerate(tried)]
@@ -73,14 +76,13 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
         flat = [e >= mix.target_entropy * math.log(n) - 1e-9 for e in entropy]
         rare = [r <= mix.most_repeats + 1e-9 for r in repeats]
         # entropy holds up to some exponent, the repetition limit from some exponent on; the limit comes first
-        wanted = [not f and r for f, r in zip(flat, rare, strict=True)]
-        if True not in wanted:
+        beyond = [not f and r for f, r in zip(flat, rare, strict=True)]
+        if True not in beyond:
             return 1.0
-        first = wanted.index(True)
-        if first == 0:
-            return round(tried[0], 6)
-        low, high = tried[first - 1], tried[first]
-    return round(high, 6)
+        i = max(1, beyond.index(True))
+        low, high = tried[i - 1], tried[i]
+        both = flat[i - 1] and rare[i - 1]
+    return low if both else high
 
 
 def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -114,7 +116,10 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str
     block = F.when(F.col("quota") > 0, F.least(F.lit(blocks - 1), F.floor(F.col("_before") * F.lit(blocks) / F.col("quota")))).otherwise(F.floor(F.conv("_part", 16, 10).cast("long") * blocks / 16**PART_DIGITS)).cast("long")
     taken = taken.withColumn("block", block)
     mark = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("block").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("pass").cast("string")))
-    # a block holds block_tokens tokens and so that many texts with a token at most
-    seat = Window.partitionBy("block").orderBy("_mark", "_id", "pass", "n_tokens")
-    out = taken.withColumn("_mark", mark).withColumn("position", (F.row_number().over(seat) - 1).cast("long"))
+    taken = saved(taken.withColumn("_mark", mark).withColumn("_seat", F.substring("_mark", 1, SEAT_DIGITS)).select("_id", "_source", "n_tokens", "weight", "pass", "block", "_mark", "_seat"), "taken")
+    seats = taken.groupBy("block", "_seat").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("block").orderBy("_seat").rowsBetween(Window.unboundedPreceding, -1)
+    seats = seats.select("block", "_seat", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))
+    order = Window.partitionBy("block", "_seat").orderBy("_mark", "_id", "pass", "n_tokens")
+    out = taken.join(seats, ["block", "_seat"]).withColumn("position", (F.col("_ahead") + F.row_number().over(order) - 1).cast("long"))
     return out.select(F.col("_id").alias(id), F.col("_source").alias(source), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), "block", "position")

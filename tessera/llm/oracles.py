@@ -59,7 +59,7 @@ def _mixing() -> str:
   grid AS (SELECT k, CAST(k AS DOUBLE) / {steps} AS a FROM range({steps + 1}) r(k)),
   state AS (SELECT k, sum({power("a")}) AS z, sum(CAST(round(pow(share, a) * ln(share) * {UNIT}) AS HUGEINT)) AS l, max(pow(share, a - 1)) AS r, any_value(a) AS a FROM grid, alive GROUP BY k),
   ok AS (SELECT k, ln(CAST(z AS DOUBLE) / {UNIT}) - a * CAST(l AS DOUBLE) / CAST(z AS DOUBLE) >= {m.target_entropy} * ln((SELECT count(*) FROM alive)) - 1e-9 AS flat, {m.budget} * r / (CAST(z AS DOUBLE) / {UNIT}) <= {m.most_repeats} + 1e-9 AS rare FROM state),
-  pick AS (SELECT CASE WHEN (SELECT count(*) FROM alive) < 2 THEN 1.0 ELSE coalesce(round((SELECT min(k) FROM ok WHERE NOT flat AND rare) / {float(steps)}, 6), 1.0) END AS a),
+  pick AS (SELECT CASE WHEN (SELECT count(*) FROM alive) < 2 THEN 1.0 ELSE greatest((SELECT max(k) FROM ok WHERE flat), coalesce((SELECT min(k) FROM ok WHERE rare), {steps})) / {float(steps)} END AS a),
   z AS (SELECT sum({power("(SELECT a FROM pick)")}) AS z FROM alive),
   q0 AS (SELECT source, tokens, round(CASE WHEN tokens > 0 THEN CAST({power("(SELECT a FROM pick)")} AS DOUBLE) / CAST((SELECT z FROM z) AS DOUBLE) ELSE 0 END, 9) AS weight FROM src),
   q AS (SELECT source, tokens, weight, CAST(floor(weight * (SELECT floor({m.budget} * whole) FROM total)) AS BIGINT) AS quota FROM q0),

@@ -426,7 +426,7 @@ def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash.
+    """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash, then the smallest hash of other columns.
 
     Texts are linked if their sets of five-word shingles have a similarity (shared of all) of 0.8
     or more; groups are what links connect. Texts without words are one group.
@@ -436,5 +436,7 @@ def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     found = similar_groups(rows, shingle, least)
     first = found.groupBy("_group").agg(F.min(F.struct("_id", "_mark")).alias("first"))
     first = first.select(F.coalesce(F.col("first._id").cast("long"), F.lit(NO_ID)).alias("_key"), F.col("first._mark").alias("_mark"))
-    marked = docs.withColumns({"_key": solid_id(id), "_mark": mark})
-    return marked.join(first, ["_key", "_mark"], "left_semi").dropDuplicates(["_key", "_mark"]).drop("_key", "_mark")
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *(quoted(c) for c in docs.columns if c not in (id, text)))))
+    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias("_in"), solid_id(id).alias("_key"), mark.alias("_mark"), rest.alias("_rest"))
+    # rows of one id and text: one stays, by its other columns
+    return marked.join(first, ["_key", "_mark"], "left_semi").groupBy("_key", "_mark").agg(F.min_by("_in", "_rest").alias("_in")).select("_in.*")

@@ -118,6 +118,9 @@ def test_one_of_each_group(spark, docs, rows, no_docs):
     assert {3, 5, 7} <= ids and not {40, 41, 42} & ids  # copies go, the first stays
     assert set(range(40)) <= ids
     data = [(1, rows[0][1]), (1, rows[0][1]), (1, rows[1][1]), (None, rows[2][1]), (None, None), (4, "")]
+    ties = spark.createDataFrame([(1, rows[0][1], k) for k in range(9)], "doc_id long, text string, _key int")
+    first, second = (simhash.one_of_each_group(ties.repartition(n)) for n in (1, 5))
+    assert first.columns == ties.columns and first.collect() == second.collect()
     odd = simhash.one_of_each_group(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted(r.text or "" for r in odd.collect()) == sorted([rows[0][1], rows[1][1], rows[2][1], ""])
     assert simhash.one_of_each_group(no_docs).count() == 0
@@ -270,6 +273,29 @@ def test_decontamination_of_exact_runs_around_a_gap(spark):
     assert got == {(1, 0): (0, 40, 40), (1, 5): (0, 40, 40), (2, 0): (0, 20, 20), (2, 5): (0, 20, 20)}
 
 
+@pytest.mark.parametrize(("tokens", "mix"), [([900, 50, 30, 20], mixing.Mix()), ([900, 50, 30, 20], mixing.Mix(target_entropy=0.5, most_repeats=1.2)), ([5, 5], mixing.Mix()), ([10**6, 1], mixing.Mix(most_repeats=50.0))])
+def test_exponent_is_the_greatest_that_meets_the_target(spark, tokens, mix):
+    from math import log
+
+    df = spark.createDataFrame([(t / sum(tokens), t) for t in tokens], "share double, tokens long")
+    a, step = mixing.exponent(df, mix), mixing.GRID**-mixing.ROUNDS
+    p = [t / sum(tokens) for t in tokens]
+
+    def state(a):
+        z = sum(x**a for x in p)
+        w = [x**a / z for x in p]
+        return -sum(x * log(x) for x in w) >= mix.target_entropy * log(len(p)) - 1e-9, max(mix.budget * x / y for x, y in zip(w, p)) <= mix.most_repeats + 1e-9
+
+    assert state(a)[1] and (a == 1 or not all(state(a + step)))  # the limit holds, and no greater one meets both
+    assert state(a)[0] or not state(a - step)[1]  # below the entropy only where the limit asks for it
+
+
+def test_mixing_of_blank_texts_is_dealt_over_parts(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(" ").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    got = mixing.mixed(df).collect()
+    assert sorted(r.position for r in got) == list(range(3000)) and {r.block for r in got} == {0}
+
+
 def brute_exponent(tokens, mix):
     from math import log
 

@@ -159,6 +159,24 @@ def test_segments_are_the_maximal_ones():
         mine = [(int(s - first[k]), int(e - first[k]), float(x)) for t, s, e, x in zip(text, start, end, score) if t == k]
         want = brute_segments(v.tolist())
         assert len(mine) == len(want) and all(m[2] == pytest.approx(w[2]) for m, w in zip(mine, want)), (mine, want)
+        alone = list(zip(*(x.tolist() for x in toxicity.stacked(v, 1e-6))))
+        assert [(a, b) for a, b, _ in alone] == [(a, b) for a, b, _ in want] and [x[2] for x in alone] == pytest.approx([x[2] for x in want])
+
+
+def test_nested_segments_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        v = np.tile([1.0, -1.5], n) * np.repeat(np.linspace(2, 1, n), 2)  # each peak lower than the one before
+        v[1::2] = -0.5 * v[0::2] - 1e-3
+        v = np.concatenate([v, -np.abs(v), v[::-1]])
+        began = time.time()
+        text, start, end, score = toxicity.excursions(v, np.array([0, len(v)]), 1e-6)
+        took.append(time.time() - began)
+        a, b, s = toxicity.stacked(v, 1e-6)
+        assert len(text) == len(a) and (start == a).all() and (end == b).all()
+    assert took[1] < 16 * max(took[0], 0.05)
 
 
 def test_toxicity_finds_passages_and_survives_odd_input(spark, rows, no_docs):
