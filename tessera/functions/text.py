@@ -14,19 +14,16 @@ MENTION = "struct<start:int,end:int,kind:string,text:string>"
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of one pattern with offsets: gaps come from split, matches from regexp_extract_all."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: x["m"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MENTION}>").alias("out"))
+    """Matches of one pattern with offsets: one scan puts a mark around each, then every second part is a match."""
+    marked = F.regexp_replace(F.translate(text, "\x01", "\x03"), F.lit(pattern), F.lit("\x01$0\x01"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{MENTION}>").alias("out"))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = acc["at"] + F.length(x)
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("text"))
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.split(marked, "\x01", -1), zero, step, lambda acc: acc["out"])
 
 
 def mentions(text: Column, patterns: dict[str, str] | None = None) -> Column:
@@ -37,9 +34,9 @@ def mentions(text: Column, patterns: dict[str, str] | None = None) -> Column:
 
 def mentions_by_kind(text: Column) -> Column:
     """map kind -> distinct mention texts in order of place; kinds without mentions are absent."""
-    found = mentions(text)
-    kinds = F.array_distinct(F.transform(found, lambda m: m["kind"]))
-    return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.array_distinct(F.transform(F.filter(found, lambda m: m["kind"] == k), lambda m: m["text"])))))
+    text = F.coalesce(text, F.lit(""))
+    entries = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(F.transform(_matches(text, p, k), lambda m: m["text"])).alias("texts")) for k, p in PATTERNS.items()))
+    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["texts"]) > 0))
 
 
 def _dashes(x: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 SPACE = r"[ \t\n\r\f]+"
 #: Query terms that are broadcast at most; with more, Spark chooses the join.
 MOST_TERMS = 1_000_000
@@ -17,17 +19,54 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE), lambda t: t != "")
 
 
-def ranked(scores: DataFrame, query: list[str], order: str = "ord") -> DataFrame:
-    """rank from 1 by score, then order; equal candidate ids keep their best rank (and greatest score)."""
+def ranked(scores: DataFrame, query: list[str], order: str = "ord", unique: bool = False) -> DataFrame:
+    """rank from 1 by score, then order; equal candidate ids keep their best rank (and greatest score).
+
+    unique says that a query has each candidate id once: then a limit on the rank reaches each task before rows are shuffled.
+    """
     place = Window.partitionBy(*query).orderBy(F.desc("score"), order)
-    first = F.row_number().over(Window.partitionBy(*query, "cand_id").orderBy(F.desc("score"), order))
-    return scores.withColumn("_first", first).where("_first = 1").drop("_first").withColumn("rank", F.row_number().over(place))
+    if not unique:
+        first = F.row_number().over(Window.partitionBy(*query, "cand_id").orderBy(F.desc("score"), order))
+        scores = scores.withColumn("_first", first).where("_first = 1").drop("_first")
+    return scores.withColumn("rank", F.row_number().over(place))
 
 
 def top_k(ranking: DataFrame, k: int) -> DataFrame:
     return ranking.where(F.col("rank") <= k)
 
 
+def decisive(scores: DataFrame, query: list[str], k: int) -> DataFrame:
+    """(query, cand_id, gold, rank) of the top k and of each query's best gold candidate: all that hits, recall up to k and reciprocal ranks need.
+
+    scores(query, cand_id, ord, score, gold) has each candidate id of a query once. The best gold's rank is one more than
+    the count of better rows, so no ranking of all rows is made.
+    """
+    best = scores.where("gold").groupBy(*query).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o"), "cand_id")).alias("b"))
+    best = saved(best.select(*query, "b"), "best-gold")  # a row a query, of known size
+    ahead = (F.col("score") > -F.col("b.s")) | (F.col("score") == -F.col("b.s")) & (F.col("ord") < F.col("b.o"))
+    placed = scores.join(best, query).groupBy(*query).agg((F.count_if(ahead) + 1).alias("rank"), F.first("b.cand_id").alias("cand_id"))
+    top = top_k(ranked(scores, query, unique=True), k).select(*query, "cand_id", "gold", F.col("rank").cast("long").alias("rank"))
+    return top.unionByName(placed.where(F.col("rank") > k).select(*query, "cand_id", F.lit(True).alias("gold"), "rank"))
+
+
+def holding(candidates: DataFrame, passages: DataFrame, id: str) -> DataFrame:
+    """(id, cand_id) of the candidates(cand_id, text) that hold a passage(id, text) as it is.
+
+    A passage's inner words are whole words of a text that holds it, so pairs meet under the one
+    that fewest candidates have; passages of under three words meet every candidate.
+    """
+    words = candidates.select("cand_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    inner = passages.select(id, F.col("text").alias("_passage"), terms(F.col("text")).alias("t"))
+    long = inner.where(F.size("t") > 2).select(id, "_passage", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    n = words.join(long.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    seed = long.join(n, "term", "left").groupBy(id, "_passage").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    pairs = words.join(seed, "term").select(id, "_passage", "cand_id")
+    short = inner.where(F.size("t") <= 2).select(id, "_passage")
+    texts = candidates.select("cand_id", "text")
+    held = pairs.join(texts, "cand_id").where(F.col("text").contains(F.col("_passage"))).select(id, "cand_id")
+    return held.unionByName(texts.join(short, F.col("text").contains(F.col("_passage"))).select(id, "cand_id")).distinct()
+
+
 def bm25(queries: DataFrame, candidates: DataFrame, corpus: list[str], query: list[str], k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(corpus, query, cand_id, ord, score) of candidates that share a term with the query, each corpus on its own.
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Hex digits of an md5 order that part a stratum.
+PART_DIGITS = 3
+
+
 def shuffled(id: Column, seed: str) -> Column:
     return F.md5(F.concat(id.cast("string"), F.lit(":" + seed)))
 
@@ -29,17 +33,21 @@ def stratified(df: DataFrame, stratum: str, id: str, seed: str = "42", train: fl
 
     at_least_one gives strata of three or more rows a dev and a test row each.
     """
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(F.col(id), seed), id))
-    size = F.count("*").over(Window.partitionBy(stratum))
+    # a stratum is numbered in parts of its md5 order, so a hot one is not one task's work
+    marked = df.withColumn("_o", shuffled(F.col(id), seed)).withColumn("_p", F.substring("_o", 1, PART_DIGITS)).withColumn("_s", F.struct(F.col(stratum)))
+    sizes = marked.groupBy("_s", "_p").agg(F.count("*").alias("_k"))
+    whole, before = Window.partitionBy("_s"), Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_s", "_p", F.sum("_k").over(whole).alias("_n"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_ahead"))
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_o", id))
     share = lambda f: F.bround(F.col("_n") * F.lit(f), 0)
     if at_least_one:
         n_dev = F.when(F.col("_n") >= 3, F.greatest(F.lit(1), share(dev))).otherwise(0)
         n_train = F.col("_n") - n_dev - F.when(F.col("_n") >= 3, F.greatest(F.lit(1), share(1 - train - dev))).otherwise(0)
     else:
         n_train, n_dev = share(train), share(dev)
-    marked = df.withColumns({"_r": place, "_n": size})
+    marked = marked.join(sizes, ["_s", "_p"]).withColumn("_r", place)
     split = F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_dev, "dev").otherwise("test")
-    return marked.withColumn("split", split).drop("_r", "_n")
+    return marked.withColumn("split", split).select(*df.columns, "split")
 
 
 def share_pivot(df: DataFrame, category: str, by: str, values: list[str]) -> DataFrame:

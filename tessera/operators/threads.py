@@ -1,10 +1,16 @@
-"""Reply forests: depth, order and ancestors, by recursive SQL over an adjacency list."""
+"""Reply forests: depth, order and ancestors, by pointer doubling over an adjacency list.
+
+Each round joins every open pointer with the row that it points to, so a thread of depth d takes
+about log2(d) rounds. A round's table is written to the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
+
 
 def last_of_each(notes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row of each key: that with the greatest order value."""
@@ -13,36 +19,43 @@ def last_of_each(notes: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, "_r.*").select(*notes.columns)
 
 
-def flattened(notes: DataFrame, group: str = "paper_id", note: str = "note_id", parent: str = "replyto", most_depth: int = 100) -> DataFrame:
+def flattened(notes: DataFrame, group: str = "paper_id", note: str = "note_id", parent: str = "replyto") -> DataFrame:
     """notes reachable from a root (no parent), with depth and path, the note ids from the root on.
 
     Replies that no root reaches, cycles included, are dropped. Sorting by path gives pre-order.
     """
-    return notes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(g, n, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-              SELECT {group}, {note}, 0, array({note}) FROM {{notes}} WHERE {parent} IS NULL
-              UNION ALL
-              SELECT c.{group}, c.{note}, w.depth + 1, concat(w.path, array(c.{note}))
-              FROM walk w JOIN {{notes}} c ON c.{group} = w.g AND c.{parent} = w.n)
-            SELECT a.*, w.depth, w.path FROM {{notes}} a JOIN walk w ON a.{group} = w.g AND a.{note} = w.n""",
-        notes=notes,
-    )
+    kept = saved(notes.select(F.col(group).alias("_g"), F.col(note).alias("_n"), F.col(parent).alias("_up"), F.array(F.col(note)).alias("_path")).distinct(), "thread-edges")
+    left = None
+    while True:
+        still = kept.where("_up IS NOT NULL").count()
+        if still == left or not still:  # those left lead into a cycle
+            break
+        left = still
+        over = kept.select("_g", F.col("_n").alias("_up"), F.col("_up").alias("_up2"), F.col("_path").alias("_head"))
+        walked = kept.where("_up IS NOT NULL").join(over, ["_g", "_up"]).select("_g", "_n", F.col("_up2").alias("_up"), F.concat("_head", "_path").alias("_path"))
+        # a path that comes to its own note again is in a cycle, and so is what hangs on it
+        walked = walked.where("size(_path) = size(array_distinct(_path))")
+        kept = saved(kept.where("_up IS NULL").unionByName(walked), "thread-paths")
+    paths = kept.where("_up IS NULL").select(F.col("_g").alias(group), F.col("_n").alias(note), (F.size("_path") - 1).alias("depth"), F.col("_path").alias("path"))
+    return notes.join(paths, [group, note]).select(*notes.columns, "depth", "path")
 
 
-def ancestor_of_other_role(notes: DataFrame, group: str = "paper_id", note: str = "note_id", parent: str = "replyto", role: str = "from_role", most_depth: int = 100) -> DataFrame:
-    """(group, note, ancestor): the nearest ancestor whose role differs from its child's on the way; null if none.
-
-    The walk goes on while roles are equal, so a path visits a note once; cycles end at most_depth.
-    """
-    return notes.sparkSession.sql(
-        f"""WITH RECURSIVE up(g, n, at, at_role, found, depth) MAX RECURSION LEVEL {most_depth + 1} AS (
-              SELECT {group}, {note}, {parent}, {role}, CAST(NULL AS STRING), 0 FROM {{notes}}
-              UNION ALL
-              SELECT u.g, u.n, p.{parent}, p.{role}, CASE WHEN p.{role} <> u.at_role THEN CAST(p.{note} AS STRING) END, u.depth + 1
-              FROM up u JOIN {{notes}} p ON p.{group} = u.g AND p.{note} = u.at WHERE u.found IS NULL AND u.depth < {most_depth})
-            SELECT g AS {group}, n AS {note}, max(found) AS ancestor FROM up GROUP BY g, n""",
-        notes=notes,
-    )
+def ancestor_of_other_role(notes: DataFrame, group: str = "paper_id", note: str = "note_id", parent: str = "replyto", role: str = "from_role") -> DataFrame:
+    """(group, note, ancestor): the nearest ancestor whose role differs from its child's on the way; null if none, cycles included."""
+    own = notes.select(F.col(group).alias("_g"), F.col(note).alias("_n"), F.col(parent).alias("_up"), F.col(role).alias("_role"))
+    above = own.select("_g", F.col("_n").alias("_up"), F.col("_role").alias("_role2"), F.lit(True).alias("_there"))
+    other = F.col("_role") != F.col("_role2")
+    first = own.join(above, ["_g", "_up"], "left").select("_g", "_n", F.when(other, F.col("_up").cast("string")).alias("found"), F.when(F.col("_there") & ~F.coalesce(other, F.lit(False)), F.col("_up")).alias("_up"))
+    at, left = saved(first, "ancestors"), None
+    while True:
+        still = at.where("_up IS NOT NULL").count()
+        if still == left or not still:  # those left go round in a cycle of one role
+            break
+        left = still
+        over = at.select("_g", F.col("_n").alias("_up"), F.col("found").alias("_found"), F.col("_up").alias("_up2"))
+        moved = at.where("_up IS NOT NULL").drop("found").join(over, ["_g", "_up"]).select("_g", "_n", F.col("_found").alias("found"), F.col("_up2").alias("_up"))
+        at = saved(at.where("_up IS NULL").unionByName(moved), "ancestors")
+    return at.groupBy("_g", "_n").agg(F.max("found").alias("ancestor")).select(F.col("_g").alias(group), F.col("_n").alias(note), "ancestor")
 
 
 def with_reply_from(notes: DataFrame, role: str, group: str = "paper_id", note: str = "note_id", parent: str = "replyto", role_col: str = "from_role") -> DataFrame:

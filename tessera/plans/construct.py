@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.sentences import sentences
 from ..operators import fuzzy, intervals, providers, threads
+from ..storage import saved
 
 
 def notes(reviews: DataFrame, comments: DataFrame) -> DataFrame:
@@ -64,9 +65,12 @@ def reviewer_spans(reviews: DataFrame, keys: list[str], review: str = "review")
 
 def spans_of_ids(rows: DataFrame, spans: DataFrame, keys: list[str], ids: str = "ids") -> DataFrame:
     """rows with review_spans, the texts of their span ids in order; unknown ids are dropped, reason says why none is left."""
-    one = rows.withColumn("_row", F.struct(*rows.columns)).select("_row", *keys, F.explode_outer(ids).alias("span_id")).join(spans, [*keys, "span_id"], "left")
-    texts = one.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))), lambda x: x["text"]).alias("review_spans"))
-    return texts.select("_row.*", "review_spans", F.when(F.size("review_spans") == 0, "no known span").alias("reason"))
+    numbered = rows.select(F.struct(*rows.columns).alias("_row"), F.expr("uuid()").alias("_u"))  # equal rows stay apart
+    numbered = saved(numbered, "spans")
+    one = numbered.select("_u", *(F.col("_row").getField(k).alias(k) for k in keys), F.explode(F.col("_row").getField(ids)).alias("span_id")).join(spans, [*keys, "span_id"])
+    texts = one.groupBy("_u").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("review_spans"))
+    out = numbered.join(texts, "_u", "left").withColumn("review_spans", F.coalesce("review_spans", F.array().cast("array<string>")))
+    return out.select("_row.*", "review_spans", F.when(F.size("review_spans") == 0, "no known span").alias("reason"))
 
 
 def rebuttal_window(texts, sentence, around: int = 2):

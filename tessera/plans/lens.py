@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def referring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): a document's first line and a sentence that names a section, tables and lines."""
+    """(doc_id, text): a document's whole text and a line with a sentence that names a section, tables and lines."""
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        "concat(split(text, '\\n')[0], ' We refer to Section ', doc_id % 9 + 1, '.', doc_id % 4 + 1, ', Tables ', doc_id % 5 + 1, '-', doc_id % 5 + 1 + doc_id % 3, ' and lines ', doc_id % 200 + 10, '-', doc_id % 200 + 10 + doc_id % 7, ' for details.') AS text",
+        "concat(text, '\\n', 'We refer to Section ', doc_id % 9 + 1, '.', doc_id % 4 + 1, ', Tables ', doc_id % 5 + 1, '-', doc_id % 5 + 1 + doc_id % 3, ' and lines ', doc_id % 200 + 10, '-', doc_id % 200 + 10 + doc_id % 7, ' for details.') AS text",
     )
 
 
@@ -50,7 +50,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # DuckDB twins, as common table expressions
 LENS = r"""
-referring AS (SELECT doc_id, concat(string_split(text, chr(10))[1], ' We refer to Section ', doc_id % 9 + 1, '.', doc_id % 4 + 1, ', Tables ', doc_id % 5 + 1, '-', doc_id % 5 + 1 + doc_id % 3,
+referring AS (SELECT doc_id, concat(text, chr(10), 'We refer to Section ', doc_id % 9 + 1, '.', doc_id % 4 + 1, ', Tables ', doc_id % 5 + 1, '-', doc_id % 5 + 1 + doc_id % 3,
   ' and lines ', doc_id % 200 + 10, '-', doc_id % 200 + 10 + doc_id % 7, ' for details.') AS text FROM documents),
 lines AS (SELECT doc_id AS paper_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents),
 paragraphs AS (SELECT paper_id, (line_no - 1) // 3 + 1 AS paragraph_id, string_agg(text, ' ' ORDER BY line_no) AS text, min(line_no) AS start_line, max(line_no) AS end_line FROM lines GROUP BY ALL),

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import documents as dc
 from ..operators import fuzzy, metrics, ranking
 from ..sources import io
+from ..storage import saved
 from . import lens
 from .lens import LENS
 
@@ -155,13 +156,12 @@ _BM25 = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lowe
 
 def _bm25(spark, sf_dir):
     docs = lens.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), F.col("doc_id").alias("ord"), "text")
-    scores = ranking.bm25(lens.table(spark, sf_dir, "benchmark"), docs, [], ["item_id"]).withColumn("score", F.round("score", 6))
-    return ranking.ranked(scores, ["item_id"])
+    return docs, ranking.bm25(lens.table(spark, sf_dir, "benchmark"), docs, [], ["item_id"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, rank, round(s, 6) AS score FROM ranking WHERE rank <= 10")
 def bm25_rank_top10(spark, sf_dir):
-    top = ranking.top_k(_bm25(spark, sf_dir), 10)
+    top = ranking.top_k(ranking.ranked(_bm25(spark, sf_dir)[1], ["item_id"], unique=True), 10)
     return top.select("item_id", F.col("cand_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
@@ -173,10 +173,11 @@ def bm25_rank_top10(spark, sf_dir):
 )
 def bm25_recall_mrr(spark, sf_dir):
     """Retrieval of benchmark passages: the documents that hold a passage are its gold."""
-    docs, items = lens.table(spark, sf_dir, "documents"), lens.table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
-    # every stated query (the items) against all documents; the items are the small side
-    gold = docs.join(items, F.col("text").contains(F.col("passage"))).select("item_id", F.col("doc_id").alias("slot"), F.col("doc_id").alias("unit"))
-    scores = metrics.query_scores(metrics.slot_ranks(_bm25(spark, sf_dir), gold, ["item_id"]), ["item_id"], [1, 2, 10])
+    docs, scores = _bm25(spark, sf_dir)
+    gold = saved(ranking.holding(docs, lens.table(spark, sf_dir, "benchmark"), "item_id"), "gold")
+    scores = saved(scores, "scores").join(gold.withColumn("gold", F.lit(True)), ["item_id", "cand_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
+    slots = gold.select("item_id", F.col("cand_id").alias("slot"), F.col("cand_id").alias("unit"))
+    scores = metrics.query_scores(metrics.slot_ranks(ranking.decisive(scores, ["item_id"], 10), slots, ["item_id"]), ["item_id"], [1, 2, 10])
     return metrics.means(scores, [], ["recall_1", "recall_2", "recall_10", "rr"])
 
 
@@ -188,18 +189,18 @@ def _dense(spark, sf_dir):
     rows = lens.table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("label").alias("gold_label"), F.col("embedding").alias("qvec"))
     there = rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), "label", F.col("embedding").alias("vec"))
-    scores = ranking.dense(asked, there, []).where("vec_id <> cand_id").withColumn("score", F.round("score", 6))
-    return ranking.ranked(scores, ["vec_id"])
+    return ranking.dense(asked, there, []).where("vec_id <> cand_id").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_DENSE} SELECT vec_id, cand_id, rank, score FROM ranking WHERE rank <= 10")
 def dense_cosine_top10(spark, sf_dir):
-    return ranking.top_k(_dense(spark, sf_dir), 10).select("vec_id", "cand_id", F.col("rank").cast("long").alias("rank"), "score")
+    return ranking.top_k(ranking.ranked(_dense(spark, sf_dir), ["vec_id"], unique=True), 10).select("vec_id", "cand_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query(f"WITH {_DENSE}, per AS (SELECT vec_id, max(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS hit_1, max(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS hit_10, coalesce(max(1.0 / rank), 0) AS rr FROM ranking WHERE ql = cl GROUP BY vec_id) SELECT count(*) AS n, round(avg(hit_1), 6) AS hit_1, round(avg(hit_10), 6) AS hit_10, round(avg(rr), 6) AS rr FROM per")
 def dense_recall_mrr(spark, sf_dir):
-    same = _dense(spark, sf_dir).where("gold_label = label").select("vec_id", "rank")
+    scores = _dense(spark, sf_dir).select("vec_id", "cand_id", "ord", "score", (F.col("gold_label") == F.col("label")).alias("gold"))
+    same = ranking.decisive(scores, ["vec_id"], 10).where("gold").select("vec_id", "rank")
     return metrics.means(metrics.query_scores(same, ["vec_id"], [1, 10]), [], ["hit_1", "hit_10", "rr"])
 
 
@@ -215,7 +216,7 @@ def maxsim_rank(spark, sf_dir):
     asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("parts").alias("q"))
     pairs = asked.crossJoin(rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), "parts"))  # the stated queries against all rows
     scores = pairs.select("vec_id", "cand_id", "ord", F.round(ranking.max_sim(F.col("q"), F.col("parts")), 6).alias("score"))
-    return ranking.top_k(ranking.ranked(scores, ["vec_id"]), 5).select("vec_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
+    return ranking.top_k(ranking.ranked(scores, ["vec_id"], unique=True), 5).select("vec_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0")

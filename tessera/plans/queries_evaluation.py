@@ -195,7 +195,7 @@ def evidence_combinations(spark, sf_dir):
 @query(
     """WITH notes AS (SELECT conv_id AS paper_id, turn AS note_id, CASE WHEN turn > 0 THEN turn - 1 END AS replyto, CASE WHEN turn % 2 = 0 THEN 'Reviewer' ELSE 'Authors' END AS r FROM conversations),
   s AS (SELECT conv_id AS paper_id, turn AS note_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS n FROM conversations WHERE turn % 2 = 0),
-  q AS (SELECT DISTINCT conv_id AS paper_id, lower(trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS q FROM conversations WHERE turn % 4 = 0),
+  q AS (SELECT DISTINCT conv_id AS paper_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS q FROM conversations WHERE turn % 4 = 0),
   m AS (SELECT s.*, EXISTS (SELECT 1 FROM q WHERE q.paper_id = s.paper_id AND q.q <> '' AND (contains(s.n, q.q) OR contains(q.q, s.n))) AS i, EXISTS (SELECT 1 FROM notes r WHERE r.paper_id = s.paper_id AND r.replyto = s.note_id AND r.r = 'Authors') AS a FROM s WHERE n <> ''),
   c AS (SELECT count(*) AS spans, count(*) FILTER (a) AS answered, count(*) FILTER (i) AS included, count(*) FILTER (i AND a) AS included_answered, count(*) FILTER (a AND NOT i) AS excluded_answered FROM m)
   SELECT *, round(100 * included / nullif(spans, 0), 6) AS included_pct, round(100 * answered / nullif(spans, 0), 6) AS answered_pct FROM c"""
@@ -203,7 +203,7 @@ def evidence_combinations(spark, sf_dir):
 def coverage_report(spark, sf_dir):
     conversations = lens.table(spark, sf_dir, "conversations")
     fields = conversations.where("turn % 2 = 0").selectExpr("conv_id AS paper_id", "turn AS note_id", "text")
-    retained = conversations.where("turn % 4 = 0").select(F.col("conv_id").alias("paper_id"), F.split("text", "\n")[0].alias("query"))
+    retained = conversations.where("turn % 4 = 0").select(F.col("conv_id").alias("paper_id"), F.col("text").alias("query"))
     report = construct.coverage(lens.notes(spark, sf_dir), retained, fields)
     return report.select("spans", "answered", "included", "included_answered", "excluded_answered", "included_pct", "answered_pct")
 

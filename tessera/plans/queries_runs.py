@@ -24,10 +24,10 @@ def query(sql: str | None = None):
     return put
 
 
-@query(f"WITH {LENS}, k AS (SELECT paper_id, line_no, 100 + line_no % 7 AS n, left(text, 20) AS t, max(line_no) OVER (PARTITION BY paper_id, line_no % 7) AS last_no FROM lines) SELECT paper_id, CAST(n AS BIGINT) AS line_no, md5(trim(t || ' end')) AS text_md5 FROM k WHERE line_no = last_no")
+@query(f"WITH {LENS}, k AS (SELECT paper_id, line_no, 100 + line_no % 7 AS n, text AS t, max(line_no) OVER (PARTITION BY paper_id, line_no % 7) AS last_no FROM lines) SELECT paper_id, CAST(n AS BIGINT) AS line_no, md5(trim(t || ' end')) AS text_md5 FROM k WHERE line_no = last_no")
 def numbered_lines(spark, sf_dir):
     """Page rows that end in a number; of equal numbers the last row stays."""
-    rows = lens.lines(spark, sf_dir).select("paper_id", F.col("line_no").alias("ord"), F.concat(F.substring("text", 1, 20), F.lit(" end "), (100 + F.col("line_no") % 7).cast("string")).alias("text"))
+    rows = lens.lines(spark, sf_dir).select("paper_id", F.col("line_no").alias("ord"), F.concat("text", F.lit(" end "), (100 + F.col("line_no") % 7).cast("string")).alias("text"))
     return dc.numbered_lines(rows).select("paper_id", F.col("line_no").cast("long").alias("line_no"), F.md5("text").alias("text_md5"))
 
 
@@ -89,10 +89,10 @@ def exclusion_reasons(spark, sf_dir):
     return retrieval.exclusions(queries, docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 11 <> 0")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (1, 3)")
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (1, 3) AND text IS NOT NULL")
 def figure_table_queries(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ["Section 2", "Table 3", "lines 3-4", "Fig. 1"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = lens.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("See "), kind, F.lit(" please.")).alias("rebuttal_sentence"))
+    rows = lens.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nSee "), kind, F.lit(" please.")).alias("rebuttal_sentence"))
     return retrieval.on_figures_and_tables(retrieval.with_gold(rows)).select("doc_id")
 
 
@@ -101,10 +101,13 @@ def entire_texts(spark, sf_dir):
     return dc.entire_texts(lens.paragraphs(spark, sf_dir), lens.lines(spark, sf_dir)).select("paper_id", F.md5("text").alias("text_md5"))
 
 
-@query(f"WITH {LENS}, p AS (SELECT paper_id, (line_no - 1) // 4 AS page, line_no, left(text, 9) AS t FROM lines) SELECT paper_id, page, md5(trim(string_agg(CASE WHEN trim(t) = '' THEN '' ELSE trim(t) || ' ' END, '' ORDER BY line_no))) AS text_md5 FROM p WHERE NOT rtrim(t) LIKE '%-' GROUP BY paper_id, page")
+@query(
+    f"""WITH {LENS}, p AS (SELECT paper_id, (line_no - 1) // 4 AS page, line_no, trim(text) AS t, max(line_no) OVER (PARTITION BY paper_id, (line_no - 1) // 4) AS last_no FROM lines)
+  SELECT paper_id, page, md5(trim(string_agg(CASE WHEN t = '' THEN '' WHEN t LIKE '%-' AND line_no < last_no THEN regexp_replace(t, '-$', '') ELSE t || ' ' END, '' ORDER BY line_no))) AS text_md5 FROM p GROUP BY paper_id, page"""
+)
 def page_texts(spark, sf_dir):
-    """Pages of four lines, of the first letters of each line."""
-    rows = lens.lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 9)).where("NOT rtrim(text) LIKE '%-'")
+    """Pages of four lines."""
+    rows = lens.lines(spark, sf_dir)
     pages = rows.groupBy("paper_id", F.expr("(line_no - 1) DIV 4").alias("page")).agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"))
     return dc.page_texts(pages, rows).select("paper_id", "page", F.md5("text").alias("text_md5"))
 
@@ -116,19 +119,24 @@ def numeric_order(spark, sf_dir):
     return ids.withColumn("place", F.row_number().over(Window.partitionBy("nation").orderBy(*ranking.numeric_first("id"))).cast("long"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS x FROM conversations WHERE conv_id % 2 = 1),
+  s AS (SELECT q.conv_id, c.turn, (len(list_intersect(q.x, c.x)) + 0.5) / (len(list_distinct(q.x)) + 1) AS s FROM w q JOIN w c ON c.conv_id = q.conv_id AND q.turn = 0 AND c.turn > 0)
+  SELECT conv_id, 0 AS q_idx, 'Turn ' || turn AS cand_id, CAST(turn AS BIGINT) AS ord, round(s, 6) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn) AS rank FROM s"""
+)
 def scored_run(spark, sf_dir):
     """A registered scorer over each conversation's first turn against its other turns; half of the queries are done already."""
     turns = lens.table(spark, sf_dir, "conversations")
     asked = turns.where("turn = 0").select("conv_id", F.lit(0).alias("q_idx"), "text")
     pool = turns.where("turn > 0").select("conv_id", F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("cand_id"), F.col("turn").alias("ord"), "text")
-    return retrieval.scored(asked, pool, ["conv_id"], ["q_idx"], "lexical", asked.where("conv_id % 2 = 0").select("conv_id", "q_idx"))
+    run = retrieval.scored(asked, pool, ["conv_id"], ["q_idx"], "lexical", asked.where("conv_id % 2 = 0").select("conv_id", "q_idx"))
+    return run.select("conv_id", "q_idx", "cand_id", F.col("ord").cast("long").alias("ord"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT count(*) AS comments, count(*) FILTER (doc_id % 3 <> 0) AS referring, CAST(sum(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 3 ELSE 0 END) AS BIGINT) AS mentions, round(100 * count(*) FILTER (doc_id % 3 <> 0) / count(*), 6) AS referring_pct FROM documents")
 def reference_counts(spark, sf_dir):
     """How many comments refer to something, and how often."""
-    said = F.when(F.col("doc_id") % 3 == 1, "see Table 4 here").when(F.col("doc_id") % 3 == 2, "Table 4; Figure 2").otherwise("nothing")
+    said = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 1, "see Table 4 here").when(F.col("doc_id") % 3 == 2, "Table 4; Figure 2").otherwise("nothing"))
     n = lens.table(spark, sf_dir, "documents").select(F.size(tx.mentions(said)).alias("n"))
     counts = n.agg(F.count("*").alias("comments"), F.count_if(F.col("n") > 0).alias("referring"), F.sum("n").alias("mentions"))
     return counts.withColumn("referring_pct", F.round(100 * metrics.ratio(F.col("referring"), F.col("comments")), 6))

@@ -101,13 +101,11 @@ def merge_intervals(spark, sf_dir):
 
 @query(
     _FOUND
-    + """, cut AS (SELECT doc_id, kind, mention, string_split(t, '. ') AS parts FROM found)
-  SELECT doc_id, kind, mention, 'We refer to Section ' || split_part(t, ' We refer to Section ', 2) AS context FROM found WHERE regexp_matches(string_split(t, ' We refer')[1], '[.!?]$')"""
+    + """ SELECT doc_id, kind, mention, 'We refer to Section ' || split_part(t, 'We refer to Section ', 2) AS context FROM found"""
 )
 def mention_to_sentence(spark, sf_dir):
-    """The sentence of each reference, for texts whose first line ends a sentence."""
-    rows = lens.referring(spark, sf_dir).where(F.split("text", " We refer")[0].rlike("[.!?]$"))
-    return construct.contexts(rows, ["doc_id"], "text").select("doc_id", "kind", "mention", "context")
+    """The sentence of each reference."""
+    return construct.contexts(lens.referring(spark, sf_dir), ["doc_id"], "text").select("doc_id", "kind", "mention", "context")
 
 
 @query()
@@ -144,24 +142,24 @@ def notes_with_author_reply(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NOTES}, said AS (SELECT paper_id, note_id, 'See Table ' || (note_id + 1) || ' for the numbers.' AS added FROM notes WHERE from_role = 'Authors')
+    f"""WITH {_NOTES}, said AS (SELECT paper_id, note_id, 'See Table ' || (note_id + 1) || ' for the numbers.' AS added FROM notes WHERE from_role = 'Authors' AND comment IS NOT NULL)
   SELECT paper_id, note_id, 'table' AS kind, 'Table ' || (note_id + 1) AS mention FROM said"""
 )
 def author_reference_comments(spark, sf_dir):
     """References in what authors say (each comment gets a sentence that names a table)."""
-    rows = lens.notes(spark, sf_dir, 2).where("from_role = 'Authors'").select("paper_id", "note_id", F.concat(F.lit("See Table "), F.col("note_id") + 1, F.lit(" for the numbers.")).alias("comment"))
+    rows = lens.notes(spark, sf_dir, 2).where("from_role = 'Authors'").select("paper_id", "note_id", F.concat("comment", F.lit("\nSee Table "), F.col("note_id") + 1, F.lit(" for the numbers.")).alias("comment"))
     found = rows.select("paper_id", "note_id", F.explode(tx.mentions(F.col("comment"))).alias("m"))
     return found.select("paper_id", "note_id", "m.kind", F.col("m.text").alias("mention"))
 
 
-_SAID = """said AS (SELECT a.conv_id, a.turn, string_split(a.text, chr(10))[1] AS sentence, u.text AS review_sentence FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
+_SAID = """said AS (SELECT a.conv_id, a.turn, a.text AS sentence, u.text AS review_sentence FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
   n AS (SELECT *, lower(trim(regexp_replace(sentence, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS s, lower(trim(regexp_replace(review_sentence, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS r FROM said)"""
 
 
 def _said(spark, sf_dir):
     rows = lens.table(spark, sf_dir, "conversations")
     user = rows.selectExpr("conv_id", "turn + 1 AS turn", "text AS review_sentence")
-    return rows.where("role = 'assistant'").select("conv_id", "turn", F.split("text", "\n")[0].alias("sentence")).join(user, ["conv_id", "turn"])
+    return rows.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("sentence")).join(user, ["conv_id", "turn"])
 
 
 @query(f"WITH {_SAID} SELECT conv_id, turn, sentence FROM n WHERE NOT (starts_with(trim(sentence), '>') OR starts_with(trim(sentence), '#')) AND NOT (s <> '' AND r <> '' AND (contains(s, r) OR contains(r, s)))")
@@ -172,17 +170,19 @@ def quote_filter_cheap(spark, sf_dir):
 
 @query()
 def quote_filter_fuzzy(spark, sf_dir):
+    """Sentences of what an assistant says that quote no sentence of the turn before."""
     rows = _said(spark, sf_dir)
     said = rows.select("conv_id", "turn", F.explode(sentences(F.col("review_sentence"))).alias("s")).select("conv_id", "turn", F.col("s.text").alias("review_sentence"))
-    return fuzzy.without_quotes(rows.select("conv_id", "turn", "sentence"), said, ["conv_id", "turn"])
+    own = rows.select("conv_id", "turn", F.explode(sentences(F.col("sentence"))).alias("s")).select("conv_id", "turn", F.col("s.text").alias("sentence"))
+    return fuzzy.without_quotes(own, said, ["conv_id", "turn"])
 
 
 @query(
-    """WITH p AS (SELECT doc_id, doc_id % 4 + 1 AS a, doc_id % 4 + 1 + doc_id % 3 AS b, doc_id % 5 + 1 AS c FROM documents)
-  SELECT doc_id, concat('As Tables ', a, '-', b, ' show, it holds.') AS context FROM p WHERE NOT c BETWEEN a AND b"""
+    """WITH p AS (SELECT doc_id, text, doc_id % 4 + 1 AS a, doc_id % 4 + 1 + doc_id % 3 AS b, doc_id % 5 + 1 AS c FROM documents)
+  SELECT doc_id, concat(text, chr(10), 'As Tables ', a, '-', b, ' show, it holds.') AS context FROM p WHERE NOT c BETWEEN a AND b"""
 )
 def trivial_ref_filter(spark, sf_dir):
-    rows = lens.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('As Tables ', doc_id % 4 + 1, '-', doc_id % 4 + 1 + doc_id % 3, ' show, it holds.') AS context", "array(concat('Table ', doc_id % 5 + 1, ' is unclear')) AS review_spans")
+    rows = lens.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(text, '\\n', 'As Tables ', doc_id % 4 + 1, '-', doc_id % 4 + 1 + doc_id % 3, ' show, it holds.') AS context", "array(concat('Table ', doc_id % 5 + 1, ' is unclear')) AS review_spans")
     return construct.nontrivial(rows).select("doc_id", "context")
 
 
@@ -209,10 +209,12 @@ def normalize_labels(spark, sf_dir):
     return lens.table(spark, sf_dir, "labels").select("doc_id", F.array_join(tx.normalize_labels(raw, "text3"), ",").alias("labels"))
 
 
-@query("SELECT conv_id, concat('user:', chr(10), max(CASE WHEN turn = 0 THEN text END), chr(10), chr(10), 'assistant:', chr(10), max(CASE WHEN turn = 1 THEN text END)) AS review FROM conversations WHERE turn < 2 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 1) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(concat(role, ' ', turn, ':', chr(10), text), chr(10) || chr(10) ORDER BY turn) AS review FROM conversations GROUP BY conv_id")
 def review_flatten(spark, sf_dir):
-    two = lens.table(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("user"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("assistant"))
-    return two.where("assistant is not null").select("conv_id", tx.flatten_review(F.to_json(F.struct("user", "assistant"))).alias("review"))
+    """All turns of a conversation as the fields of one report."""
+    field = F.struct("turn", F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("name"), "text")
+    fields = F.map_from_entries(F.transform(F.array_sort(F.collect_list(field)), lambda x: F.struct(x["name"], x["text"])))
+    return lens.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(fields).alias("report")).select("conv_id", tx.flatten_review(F.col("report")).alias("review"))
 
 
 @query(
@@ -226,9 +228,14 @@ def html_paragraphs(spark, sf_dir):
     return io.html_paragraphs(lens.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.col("ord").cast("long").alias("ord"), "paragraph")
 
 
-@query()
+_SCORED = """said AS (SELECT a.conv_id, a.turn, a.text AS a, u.text AS b FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'),
+  w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(a), '\\s+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(lower(b), '\\s+'), lambda x: x <> '') AS y FROM said),
+  s AS (SELECT conv_id, turn, len(x) + len(y) + 1 AS n, (len(list_intersect(x, y)) + 0.5) / (len(list_distinct(x)) + 1) AS s FROM w)"""
+
+
+@query(f"WITH {_SCORED} SELECT conv_id, turn, true AS ok, CAST(n AS BIGINT) AS prompt_tokens, CAST(1 AS BIGINT) AS completion_tokens, round(ln(s), 6) AS yes, round(ln(1 - s), 6) AS no FROM s")
 def model_scores(spark, sf_dir):
     """A registered scorer over (assistant turn, user turn) pairs, with probabilities and cost."""
     rows = _said(spark, sf_dir).withColumn("prompt", providers.pointwise_prompt(F.col("sentence"), F.col("review_sentence")))
     out = providers.answered(rows, "prompt", providers.scorer("lexical"), "yes double, no double, prompt_tokens long, completion_tokens long")
-    return out.select("conv_id", "turn", F.expr("error IS NULL").alias("ok"), "prompt_tokens", "completion_tokens", "yes", "no")
+    return out.select("conv_id", "turn", F.expr("error IS NULL").alias("ok"), "prompt_tokens", "completion_tokens", F.round("yes", 6).alias("yes"), F.round("no", 6).alias("no"))

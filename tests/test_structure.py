@@ -14,8 +14,14 @@ NOTES = [("p", "r1", None, "Reviewer"), ("p", "c1", "r1", "Authors"), ("p", "c2"
 def test_threads(spark):
     df = spark.createDataFrame(NOTES, "paper_id string, note_id string, replyto string, from_role string")
     assert {r.note_id: r.depth for r in threads.flattened(df).collect()} == {"r1": 0, "c1": 1, "c2": 2, "c3": 3}
-    up = {r.note_id: r.ancestor for r in threads.ancestor_of_other_role(df, most_depth=20).collect()}
+    up = {r.note_id: r.ancestor for r in threads.ancestor_of_other_role(df).collect()}
     assert (up["c1"], up["c2"], up["c3"], up["r1"]) == ("r1", "r1", "c2", None)
+    deep = spark.createDataFrame([("q", f"n{k}", f"n{k - 1}" if k else None, "A" if k else "B") for k in range(300)], df.schema)
+    flat = {r.note_id: (r.depth, r.path[-2:]) for r in threads.flattened(deep).collect()}
+    assert len(flat) == 300 and flat["n299"] == (299, ["n298", "n299"])
+    assert {r.ancestor for r in threads.ancestor_of_other_role(deep).collect()} == {None, "n0"}
+    ring = spark.createDataFrame([("q", f"n{k}", f"n{(k + 1) % 3}", "A") for k in range(3)] + [("q", "out", "n0", "A")], df.schema)
+    assert threads.flattened(ring).count() == 0 and {r.ancestor for r in threads.ancestor_of_other_role(ring).collect()} == {None}
     assert [r.note_id for r in threads.with_reply_from(df, "Reviewer").collect()] == ["c2"]
     twice = spark.createDataFrame([("p", "a", 1, "old"), ("p", "a", 2, "new")], "paper_id string, note_id string, ord int, comment string")
     assert threads.last_of_each(twice, ["paper_id", "note_id"], "ord").first().comment == "new"
@@ -119,8 +125,9 @@ def test_construction(spark):
     assert links.first().review_spans == ["The claim in Table 3 is unclear to me."]
     keep = spark.createDataFrame([("See Tables 2-4", ["Table 3 is unclear"]), ("See Tables 2-4", ["Figure 3 is unclear"])], "context string, review_spans array<string>")
     assert [r.review_spans for r in construct.nontrivial(keep).collect()] == [["Figure 3 is unclear"]]
-    ids = spark.createDataFrame([("p", ["rev_sent_1", "nope"]), ("p", ["nope"])], "paper_id string, ids array<string>")
-    assert {(tuple(r.review_spans), r.reason) for r in construct.spans_of_ids(ids, spans, ["paper_id"]).collect()} == {(("Yes.",), None), ((), "no known span")}
+    ids = spark.createDataFrame([("p", ["rev_sent_1", "nope"]), ("p", ["nope"]), ("p", ["rev_sent_0", "rev_sent_1"]), ("p", ["rev_sent_0", "rev_sent_1"])], "paper_id string, ids array<string>")
+    assert [len(r.review_spans) for r in construct.spans_of_ids(ids, spans, ["paper_id"]).collect()].count(2) == 2
+    assert {(tuple(r.review_spans), r.reason) for r in construct.spans_of_ids(ids, spans, ["paper_id"]).collect()} == {(("Yes.",), None), ((), "no known span"), (("The claim in Table 3 is unclear to me.", "Yes."), None)}
 
 
 def test_providers_report_failures(spark):
