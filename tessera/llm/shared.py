@@ -1,47 +1,23 @@
-"""The folder that driver and executors share, and id columns without nulls."""
+"""Id columns without nulls, and measures of texts in Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from ..storage import new_folder, saved, shared_dir
 from . import words as tw
 
+__all__ = ["NO_ID", "map_texts", "new_folder", "quoted", "saved", "shared_dir", "solid_id"]
+
 #: Stands in for a null id inside joins and orderings, where it sorts first.
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: a later task's loss recomputes nothing before it.
-
-    (A reliable checkpoint() computes its last stage twice, once to count and once to write.)
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def solid_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
