@@ -13,10 +13,12 @@
    meeting in one. A tile returns a spanning forest of its links, never all pairs.
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
-one_of_each_group links by the similarity of shingle sets itself. Fingerprints (of the different
-shingles, LANES lanes) only name its candidates: rows that agree in KEY_BITS bits of a lane in one
-of TABLES fixed choices, and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits. The
-sets of each candidate pair are then compared, so a link never depends on other rows.
+one_of_each_group links by the similarity of shingle sets itself, in two tiled steps. Fingerprints
+(of the different shingles, LANES lanes) give clusters: rows that agree in KEY_BITS bits of a lane in one
+of TABLES fixed choices and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits are in one,
+and a tile returns a spanning forest. Inside a cluster, parts of TILE_SETS rows meet in tiles that
+hold their sets: all pairs within CLOSE_ALL bits of all lanes that are not linked yet are compared
+exactly. No list of pairs is made, and a link never depends on other rows.
 
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
 than a shingle is one shingle; a null id is never the smallest, and the component is null if no
@@ -43,11 +45,11 @@ from .shared import NO_ID, map_texts, quoted, saved, solid_id
 PART = 1 << 16
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
-#: Candidates of one_of_each_group: lanes of 64 bits, choices of KEY_BITS bits of a lane, and the
+#: Clusters of one_of_each_group: lanes of 64 bits, choices of KEY_BITS bits of a lane, and the
 #: bits of the first FILTER_LANES lanes that may differ. At a similarity of 0.8 0.15 of bits do.
 LANES, TABLES, KEY_BITS, FILTER_LANES, CLOSE = 8, 64, 14, 2, 32
-#: Tables whose nearest pairs are compared first: pairs inside the groups that those make are not listed.
-FEW_TABLES = 8
+#: Bits of all lanes that a compared pair may differ in (at 0.8: 78 of 512, 8 up or down), and rows of a part of a cluster.
+CLOSE_ALL, TILE_SETS = 112, 256
 #: Stand-in ids, of fingerprints with null or taken ids only, begin here; real ids are smaller.
 NO_ID_FROM = 1 << 62
 
@@ -195,55 +197,79 @@ def _link_tiles(near: int, radius: int, lanes: int):
     return _by_tiles(link)
 
 
-def _candidate_tiles(close: int, lanes: int, nearest: bool):
-    """Pairs of rows of a tile within close bits over the lanes and of different groups, or for each row the nearest before it."""
+def _close_tiles(close: int, lanes: int):
+    """Edges that span the rows of a tile within close bits over the lanes."""
 
     def find(own: list[tuple[int, int]], key, t: pa.Table, few):
-        ids, group, fp = t.column("id").to_numpy(), t.column("grp").to_numpy(), _stacked(t, lanes)
-        out, small, s = [], np.flatnonzero(few), 1
-        while s < len(small):
-            i, j = small[:-s], small[s:]
-            same = key[i] == key[j]
-            if not same.any():
-                break
-            i, j = i[same], j[same]
-            apart = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
-            hit = (group[i] != group[j]) & (apart <= close)
-            out.append((i[hit], j[hit], apart[hit]))
-            s += 1
-        if nearest:
-            out = _nearest(out)
-        for a, b in own:
-            pairs = [_nearest([p]) for p in _close_pairs(fp[a:b], group[a:b], close)] if nearest else [_close_pairs(fp[a:b], group[a:b], close)]
-            pairs = _nearest([p for ps in pairs for p in ps]) if nearest else pairs[0]
-            out += [(a + i, a + j, d) for i, j, d in pairs]
-        return [(ids[i], ids[j]) for i, j, _ in out]
-
-    return _by_tiles(find)
+        ids, fp = t.column("id").to_numpy(), _stacked(t, lanes)
+
+        def pairs():
+            small, s = np.flatnonzero(few), 1
+            while s < len(small):
+                i, j = small[:-s], small[s:]
+                same = key[i] == key[j]
+                if not same.any():
+                    break
+                i, j = i[same], j[same]
+                hit = _distance(fp, i, j) <= close
+                yield i[hit], j[hit]
+                s += 1
+            for a, b in own:
+                for i, j in _close_pairs(fp[a:b], close):
+                    yield a + i, a + j
 
+        root = _forest(len(ids), pairs())
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        return [(ids[at], ids[root[at]])]
 
-def _nearest(found):
-    """Of pairs (i, j, bits apart), the nearest i of each j."""
-    if not found:
-        return []
-    i, j, apart = (np.concatenate([x[k] for x in found]) for k in range(3))
-    order = np.lexsort((i, apart, j))
-    i, j, apart = i[order], j[order], apart[order]
-    new = np.ones(len(j), bool)
-    new[1:] = j[1:] != j[:-1]
-    return [(i[new], j[new], apart[new])]
+    return _by_tiles(find)
 
 
-def _close_pairs(fp: np.ndarray, group: np.ndarray, close: int):
+def _close_pairs(fp: np.ndarray, close: int):
     n = len(fp)
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
-            apart = sum(np.bitwise_count(fp[a : a + BLOCK, k, None] ^ fp[None, b : b + BLOCK, k]) for k in range(fp.shape[1]))
+            apart = sum(np.bitwise_count(fp[a : a + BLOCK, k, None] ^ fp[None, b : b + BLOCK, k]).astype(np.int16) for k in range(fp.shape[1]))
             i, j = np.nonzero(apart <= close)
-            apart = apart[i, j]
             i, j = i + a, j + b
-            hit = (i < j) & (group[i] != group[j])
-            yield i[hit], j[hit], apart[hit].astype(np.int64)
+            yield i[i < j], j[i < j]
+
+
+def _similar_tiles(close: int, lanes: int, least: float):
+    """Edges that span the rows of a tile whose shingle sets have a similarity (shared of all) of least or more."""
+
+    def tile(fp: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """For each row the first row of its group."""
+        size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+        for i in range(1, len(sets)):
+            near = np.bitwise_count(fp[:i] ^ fp[i]).sum(axis=1, dtype=np.int64) <= close
+            near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
+            for j in np.flatnonzero(near).reshape(-1, 1) if near.sum() < 4 else np.array_split(np.flatnonzero(near), -(-near.sum() // 64)):
+                j = j[label[j] != label[i]]
+                if not len(j):
+                    continue
+                other = np.concatenate([sets[k] for k in j])
+                at = np.minimum(np.searchsorted(sets[i], other), size[i] - 1)
+                both = np.add.reduceat((sets[i][at] == other).astype(np.int64), np.cumsum(size[j]) - size[j])
+                for k in j[both >= least * (size[i] + size[j] - both) - 1e-9]:
+                    low, high = sorted((label[i], label[k]))
+                    label[label == high] = low
+        return label
+
+    def find(own, key, t: pa.Table, few):
+        ids, fp = t.column("id").to_numpy(), _stacked(t, lanes)
+        column = t.column("shingles").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        values, o = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        edge, out = [*np.flatnonzero(np.diff(key, prepend=key[0] - 1)).tolist(), len(key)], []
+        for a, b in zip(edge, edge[1:]):
+            if b - a > 1:
+                label = tile(fp[a:b], [values[o[k] : o[k + 1]] for k in range(a, b)])
+                at = np.flatnonzero(label != np.arange(b - a))
+                out.append((ids[a + at], ids[a + label[at]]))
+        return out
+
+    return _by_tiles(find)
 
 
 def _stacked(t: pa.Table, lanes: int) -> np.ndarray:
@@ -294,10 +320,11 @@ def links(prints: DataFrame, radius: int, near: int, lanes: int, rows: int) -> D
     return _dealt(keyed, ["lane", *fps]).mapInArrow(_link_tiles(near, radius, lanes), "u long, v long")
 
 
-def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """(tile, id, columns) sorted by tile: rows of a key, or parts of it of which each two meet."""
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS).select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("parts"))
-    crowded = saved(crowded, "crowded")  # a key of over TILE_ROWS rows each: a small table, or a join that AQE can split
+def _dealt(keyed: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """(tile, id, columns) sorted by tile: rows of a key, or parts of `most` rows of it of which each two meet."""
+    most = most or TILE_ROWS
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    crowded = saved(crowded, "crowded")  # a key of over `most` rows each: a small table, or a join that AQE can split
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiled = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -313,50 +340,13 @@ def _bit_choices() -> list[tuple[int, int]]:
     return [(t % LANES, signed(sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)))) for t in range(TABLES)]
 
 
-def candidates(prints: DataFrame, tables: int, close: int, nearest: bool) -> DataFrame:
-    """Pairs u > v of prints (id, grp, fp0, ...) that agree in a table and differ in close bits or fewer, groups apart."""
+def clusters(prints: DataFrame) -> DataFrame:
+    """(id, component) of prints (id, fp0, ...) that are close to others."""
     fps = [f"fp{i}" for i in range(FILTER_LANES)]
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices()[:tables])))
-    keyed = prints.select("id", "grp", *fps, F.explode(keys).alias("key"))
-    return _dealt(keyed, ["grp", *fps]).mapInArrow(_candidate_tiles(close, FILTER_LANES, nearest), "u long, v long").distinct()
-
-
-def _similar(least: float):
-    """(u, v, shingle sets of both) -> the pairs of a similarity of least or more."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = a[k].values.to_numpy(), b[k].values.to_numpy()
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    return run
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have a similarity (shared of all shingles) of least or more, saved.
-
-    nodes is (id, _mark, ...), texts is (_mark, _text); only texts of a pair are read into sets.
-    """
-    pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    marks = saved(nodes.join(ids, "id", "left_semi").select("id", "_mark"), "marks")
-    rows = texts.join(marks, "_mark").dropDuplicates(["id"])
-
-    def sets(column):
-        h, count = shingle_sets(column, shingle)
-        return {"shingles": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), h.view(np.int64))}
-
-    found = saved(map_texts(rows, "_text", sets, {"shingles": "array<long>"}, ["id"], most=1 << 20), "sets")
-    sides = pairs.join(found.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    return saved(sides.select("u", "v", "a", "b").mapInArrow(_similar(least), "u long, v long"), "verified")
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices())))
+    keyed = prints.select("id", *fps, F.explode(keys).alias("key"))
+    linked = components(_dealt(keyed, fps).mapInArrow(_close_tiles(CLOSE, FILTER_LANES), "u long, v long"))
+    return saved(linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()), "clusters")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -416,12 +406,18 @@ def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
         return {"id": node.view(np.int64)} | {f: p.view(np.int64) for f, p in zip(fps, majorities(h, count, LANES), strict=True)}
 
     marked = saved(map_texts(rows, "_text", prints, dict.fromkeys(["id", *fps], "long"), ["_id", "_mark"], most=1 << 20), "fingerprints")
-    nodes = saved(marked.groupBy("id", *fps).agg(F.min("_mark").alias("_mark")).where("id <> 0"), "distinct")  # equal sets are one node; 0: no words
-    texts = rows.select("_mark", "_text")
-    near = verified(candidates(nodes.withColumn("grp", F.col("id")), FEW_TABLES, CLOSE, True), nodes, texts, shingle, least)
-    joined = nodes.join(components(near), "id", "left").withColumn("grp", F.coalesce("component", "id"))
-    far = verified(candidates(saved(joined.select("id", "grp", *fps), "joined"), TABLES, CLOSE, False), nodes, texts, shingle, least)
-    linked = components(near.unionByName(far))
+    key = F.struct("_mark", solid_id("_id").alias("_key"))
+    nodes = saved(marked.groupBy("id", *fps).agg(F.min(key).alias("k")).select("id", *fps, "k.*").where("id <> 0"), "distinct")  # equal sets are one node; 0: no words
+    members = saved(nodes.join(clusters(nodes), "id"), "members")  # its size is then known: texts are shuffled only if it is too large to broadcast
+
+    def sets(column):
+        h, count = shingle_sets(column, shingle)
+        return {"shingles": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), h.view(np.int64))}
+
+    texts = rows.select("_mark", solid_id("_id").alias("_key"), "_text").join(members, ["_mark", "_key"])
+    held = saved(map_texts(texts, "_text", sets, {"shingles": "array<long>"}, ["id", "component", *fps], most=1 << 20).withColumnRenamed("component", "key"), "sets")
+    edges = _dealt(held, [*fps, "shingles"], TILE_SETS).mapInArrow(_similar_tiles(CLOSE_ALL, LANES, least), "u long, v long").where("u <> v")
+    linked = components(edges)
     return marked.join(linked, "id", "left").select("_id", "_mark", F.coalesce("component", "id").alias("_group"))
 
 

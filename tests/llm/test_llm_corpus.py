@@ -148,6 +148,7 @@ def test_one_of_each_group_is_the_similarity_of_pairs(spark, monkeypatch, tile):
 
     rng = random.Random(11)
     monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    monkeypatch.setattr(simhash, "TILE_SETS", min(tile, 256))
     text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
 
     def changed(words, n):
