@@ -44,7 +44,7 @@ STAGES = [
     ("mixing sources", mixed_sources),
 ]
 
-#: Fingerprints (XXH64), spaced seeds and md5 block orders over them are not expressed in SQL; tests hold run() to a brute-force version.
+#: Fingerprints (XXH64), spaced seeds and md5 block orders over them are not expressed in SQL; a test holds the first four stages to brute force and the mix to their rows.
 ORACLE_SQL = None
 
 
