@@ -365,3 +365,57 @@ def test_pipeline_stage_by_stage(spark, tmp_path, rows):
     left = {r.doc_id: r.text for r in kept.select("doc_id", F.col("text")).collect()}
     assert set(range(40)) - {20} <= set(left)
     assert all(left[i] == rows[i][1] for i in range(40) if i in left)
+
+
+def brute_kept(t):
+    """The quality verdict by its rules: shares of word characters under repeated n-grams and in repeated lines."""
+    w = re.findall(WORD, t or "")
+    chars = max(1, sum(map(len, w)))
+
+    def under(n):
+        places = defaultdict(list)
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i : i + n])].append(i)
+        return {x for p in places.values() if len(p) > 1 for i in p for x in range(i, i + n)}
+
+    share = {n: sum(len(w[i]) for i in under(n)) / chars for n in range(5, 11)}
+    seen, again = set(), 0
+    for line in (t or "").split("\n"):
+        again += sum(map(len, re.findall(WORD, line))) * (line in seen)
+        seen.add(line)
+    limits = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
+    return len(w) >= 20 and 100 * len(under(8)) <= 30 * len(w) and all(share[n] <= x for n, x in limits.items()) and again / chars <= 0.30
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    item = rows[20][1].split()[3:40]
+    item[5] = "changed"
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    left = {i: t for i, t, *_ in rows if brute_kept(t)}
+    ids = sorted(left)
+    left = {i: left[i] for i, g in zip(ids, brute_similar_groups([left[i] for i in ids])) if ids[g] == i}
+    seen = set()
+    for i in sorted(left):
+        w = re.findall(WORD, left[i])
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if (x := tuple(w[k : k + 20])) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(x)
+        if all(gone):
+            del left[i]
+        elif any(gone):
+            left[i] = " ".join(x for x, g in zip(w, gone) if not g)
+    said = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", t.translate(LOWER))
+    left = {i: t for i, t in left.items() if not brute_overlap(said(" ".join(item)), said(t))}
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, folder)
+    assert {r.doc_id: r.text for r in kept.collect()} == left and 20 not in left
+    mix = corpus_pipeline.run(spark, folder).collect()
+    want = mixing.mixed(spark.createDataFrame([(i, t, rows[i][3]) for i, t in left.items()], "doc_id long, text string, source string")).collect()
+    assert sorted(map(repr, mix)) == sorted(map(repr, want)) and {r.doc_id for r in mix} <= set(left)
