@@ -150,6 +150,45 @@ def paragraphs_of_lines(wanted: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return intervals.overlapping(wanted, p, ["paper_id"], ("lo", "hi"), ("_a", "_b")).drop("_a", "_b")
 
 
+def gold_texts(gold: DataFrame, paragraphs: DataFrame, sections: DataFrame, captions: DataFrame, lines: DataFrame) -> DataFrame:
+    """gold(paper_id, kind, label, ...) with texts, what the label points to.
+
+    Line: the paragraphs that its lines touch, in order; Section: its text (sections as of with_paragraphs);
+    Figure and Table: the caption of exactly that name. Nothing found gives no texts, another kind null.
+    """
+    keys = ["paper_id", "kind", "label"]
+    asked = gold.select(*keys).distinct()
+    ranges = asked.where("kind = 'Line'").withColumn("_b", tx.label_bounds(F.col("label"))).select(*keys, F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"))
+    touched = paragraphs_of_lines(ranges, paragraphs).select(*keys, "paragraph_id").join(paragraphs.select("paper_id", "paragraph_id", "text"), ["paper_id", "paragraph_id"])
+    by_line = touched.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_id", "text"))), lambda x: x["text"]).alias("texts"))
+    numbers = asked.where("kind = 'Section'").select("paper_id", F.col("label").alias("number"))
+    by_section = section_text(numbers, sections, paragraphs, lines).where("text is not null").select("paper_id", F.lit("Section").alias("kind"), F.col("number").alias("label"), F.array("text").alias("texts"))
+    named = asked.where("kind in ('Figure', 'Table')").withColumn("caption_id", F.concat_ws(" ", "kind", "label"))
+    by_caption = named.join(captions.select("paper_id", "caption_id", "text"), ["paper_id", "caption_id"]).groupBy(*keys).agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    found = by_line.unionByName(by_section).unionByName(by_caption)
+    none = F.when(F.col("kind").isin("Line", "Section", "Figure", "Table"), F.array().cast("array<string>"))
+    return gold.join(found, keys, "left").withColumn("texts", F.coalesce("texts", none)).select(*gold.columns, "texts")
+
+
+def without_line_numbers(rows: DataFrame, author: str = "AnonymousACLsubmission") -> DataFrame:
+    """Text operations of pages (paper_id, ord, text), ord the place in the paper, without running line numbers and the anonymous author's mark.
+
+    A text of three or four digits is a line number if it is one more than the line number before it; the count
+    starts after 0, and zeros before the first are line numbers too. Other numbers stay, as do null texts.
+    At most 9,999 texts of a paper are line numbers; only its numbers are gathered.
+    """
+    numbers = rows.where(F.col("text").rlike(r"^[0-9]{3,4}$")).select("paper_id", "ord", F.col("text").cast("int").alias("n"))
+    gathered = numbers.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ord", "n"))).alias("x"))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{rows.schema['ord'].dataType.simpleString()}>").alias("at"))
+
+    def step(acc, x):
+        zero, following = (x["n"] == 0) & (acc["last"] == 0), x["n"] == acc["last"] + 1
+        return F.struct(F.when(following, x["n"]).otherwise(acc["last"]).alias("last"), F.when(zero | following, F.array_append(acc["at"], x["ord"])).otherwise(acc["at"]).alias("at"))
+
+    running = gathered.select("paper_id", F.explode(F.aggregate("x", start, step)["at"]).alias("ord"))
+    return rows.where(F.coalesce(F.col("text") != author, F.lit(True))).join(running, ["paper_id", "ord"], "left_anti").select(*rows.columns)
+
+
 def paragraph_sections(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     """(paper_id, paragraph_id, number): every section that contains a paragraph."""
     p = paragraphs.select("paper_id", "paragraph_id", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))

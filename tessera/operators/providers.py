@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -26,11 +27,14 @@ def wait_seconds(attempt: int, base: float = 1.0, most: float = 60.0, jitter: Ca
     return min(most, base * 2**attempt) * (0.5 + jitter() / 2)
 
 
-def _attempt(call, prompt: str, fields: list[str], tries: int, base: float) -> dict:
+def _attempt(call, prompt: str, fields: list[str], allowed: Mapping[str, Sequence[str]], tries: int, base: float) -> dict:
     error = None
     for k in range(tries):
         try:
             answer = call([prompt])[0]
+            for f, known in allowed.items():
+                if answer.get(f) not in known:
+                    raise ValueError(f"unexpected {f}: {answer.get(f)!r}")
             return {f: answer.get(f) for f in fields} | {"error": None}
         except Exception as e:  # noqa: BLE001  any failure of the service becomes the row's error
             error = f"{type(e).__name__}: {e}"
@@ -39,9 +43,10 @@ def _attempt(call, prompt: str, fields: list[str], tries: int, base: float) -> d
     return dict.fromkeys(fields) | {"error": error}
 
 
-def answered(df: DataFrame, prompt: str, provider: Provider, schema: str, workers: int = 8, tries: int = 3, backoff: float = 0.0) -> DataFrame:
+def answered(df: DataFrame, prompt: str, provider: Provider, schema: str, workers: int = 8, tries: int = 3, backoff: float = 0.0, allowed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """df with the answer fields of schema and error; up to `workers` prompts of a task are under way at once.
 
+    allowed lists the values that a field may have: an answer with another value is a failure, and asked again.
     Use df.repartition(n) before it to bound how many tasks call the service.
     """
     fields = _parse_datatype_string(schema)
@@ -52,7 +57,7 @@ def answered(df: DataFrame, prompt: str, provider: Provider, schema: str, worker
         call = provider()
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
-                found = list(pool.map(lambda p: _attempt(call, p, names, tries, backoff), batch[prompt]))
+                found = list(pool.map(lambda p: _attempt(call, p, names, allowed or {}, tries, backoff), batch[prompt]))
                 yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=[*names, "error"], dtype=object)], axis=1)
 
     return df.mapInPandas(run, out)
@@ -74,6 +79,19 @@ def lexical() -> Callable[[list[str]], list[dict]]:
     return call
 
 
+def keywords(fields: Mapping[str, Mapping[str, Sequence[str]]]) -> Callable[[list[str]], list[dict]]:
+    """For each field the value whose words stand most often in the prompt's last part (after a line ':'-head), the first of equals."""
+
+    def call(prompts: list[str]) -> list[dict]:
+        out = []
+        for p in prompts:
+            seen = Counter(p.rpartition(":\n")[2].lower().split())
+            out.append({f: max(values, key=lambda v, values=values: sum(seen[w] for w in values[v])) for f, values in fields.items()})
+        return out
+
+    return call
+
+
 SCORERS: dict[str, Provider] = {"lexical": lambda: lexical()}
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,13 +105,56 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tei_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """TEI files -> (path, head_ord, head, ord, text): paragraphs of each headed division, white space folded, empty ones out."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r'\sxmlns(:\w+)?="[^"]*"', "").alias("x"))
-    # xpath() cannot pair nodes, so each division is cut out as text first
-    divs = rows.select("path", F.posexplode(F.regexp_extract_all("x", F.lit(r"(?s)<div[^>]*>\s*<head[^>]*>.*?</div>"), F.lit(0))).alias("head_ord", "d"))
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
-    pars = divs.select("path", "head_ord", strip(F.regexp_extract("d", r"(?s)<head[^>]*>(.*?)</head>", 1)).alias("head"), F.posexplode(F.regexp_extract_all("d", F.lit(r"(?s)<p[ >].*?</p>|<p>.*?</p>"), F.lit(0))).alias("ord", "p"))
-    return pars.select("path", "head_ord", "head", "ord", strip(F.col("p")).alias("text")).where("text <> ''")
+    """TEI files -> (path, head_ord, head, ord, text): the body's paragraphs, white space folded, empty ones out.
+
+    head is that of the nearest division around a paragraph that has one ('' and -1 if none has), head_ord counts
+    divisions in the file and ord its paragraphs. A file that is not well-formed XML gives no rows.
+    """
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_tei_rows, "path string, head_ord int, head string, ord int, text string")
+
+
+def _tei_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    fold = lambda e, gap: " ".join(gap.join(e.itertext()).split())
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.path, batch.content, strict=True):
+            try:
+                root = ElementTree.fromstring(content)
+            except ElementTree.ParseError:
+                continue
+            divisions, place = 0, 0
+            open_ = [(x, -1, "") for top in root.iter() if local(top) == "text" for x in top if local(x) == "body"][::-1]
+            while open_:  # in document order; no recursion, however deep the file
+                node, number, head = open_.pop()
+                if local(node) == "div":
+                    own = next((c for c in node if local(c) == "head"), None)
+                    number, head = (number, head) if own is None else (divisions, fold(own, ""))
+                    divisions += 1
+                elif local(node) == "p" and (text := fold(node, " ")):
+                    out.append((path, number, head, place, text))
+                    place += 1
+                open_.extend((c, number, head) for c in reversed(node))
+        yield pd.DataFrame(out, columns=["path", "head_ord", "head", "ord", "text"])
+
+
+#: An assembled document as JSON, as operators.documents.assembled writes it.
+SDR = "struct<metadata:struct<venue:string,title:string,paper_id:string>,lines:map<string,string>,paragraphs:array<struct<paragraph_id:long,section:string,text:string,start_line:long,end_line:long>>,sections:array<struct<start_line:long,number:string,name:string,level:long,end_line:long>>,captions:map<string,string>>"
+
+
+def parsed_documents(rows: DataFrame, column: str) -> DataFrame:
+    """rows with column, JSON text of an assembled document, as a struct; rows that do not parse or have no lines are left out."""
+    return rows.withColumn(column, F.from_json(column, SDR)).where(F.col(column)["lines"].isNotNull())
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """root/<venue>/<paper>/v1/paper.sdr.json -> (venue, paper_id, sdr), names as in the path; unreadable ones are left out.
+
+    An inner join on (venue, paper_id) skips the papers that have none.
+    """
+    raw = spark.read.option("wholetext", True).text(f"{root}/*/*/v1/paper.sdr.json").select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("sdr"))
+    part = lambda i: F.url_decode(F.replace(F.regexp_extract("_path", r"([^/]+)/([^/]+)/v1/[^/]+$", i), F.lit("+"), F.lit("%2B")))
+    return parsed_documents(raw.select(part(1).alias("venue"), part(2).alias("paper_id"), "sdr"), "sdr")
 
 
 def html_paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -85,9 +85,9 @@ def test_sources(spark, tmp_path):
         (tmp_path / "results" / venue / "m.json").write_text(json.dumps({"p": {"0": {"query": "q", "gold": [{"type": "Table", "label": "1"}], "scores": {"B": 2.0, "A": 1.0}}}}))
     got = io.rankings(spark, str(tmp_path / "results"))
     assert [(r.venue, r.cand_id, r["rank"]) for r in got.orderBy("rank").collect()] == [("V", "B", 1), ("V", "A", 2)]
-    tei = '<TEI xmlns="x"><div><head>Intro</head><p>One  <b>two</b></p><p> </p></div><div><p>no head</p></div></TEI>'
+    tei = '<TEI xmlns="x"><text><body><div><head>Intro</head><p>One  <b>two</b></p><p> </p></div><div><p>no head</p></div></body></text></TEI>'
     (tmp_path / "t.tei").write_text(tei)
-    assert [(r.head, r.text) for r in io.tei_paragraphs(spark, str(tmp_path / "t.tei")).collect()] == [("Intro", "One two")]
+    assert [(r.head, r.text) for r in io.tei_paragraphs(spark, str(tmp_path / "t.tei")).collect()] == [("Intro", "One two"), ("", "no head")]
     html = spark.createDataFrame([("<p>a <i>b</i><p class=x>c</div><script>'<p>no'</script><pre>d",)], "html string")
     assert [r.paragraph for r in io.html_paragraphs(html).collect()] == ["a b", "c"]
 
