@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, simhash, substring_dedup, token_counts, toxicity, warc
+from . import chat, decontaminate, licenses, mixing, prefix_trie, quality, resampling, sentencepiece_bpe, simhash, substring_dedup, token_counts, toxicity, warc
 from .oracles import ORACLE
 
 
@@ -60,6 +60,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash, op9_token_counts, op10_licenses)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(_read(spark, sf_dir, "conversations"))))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_bpe.Model.read()
+    ids = sentencepiece_bpe.encoded(_read(spark, sf_dir, "documents"), model=model, keep=["doc_id"])
+    return sentencepiece_bpe.digests(sentencepiece_bpe.decoded(ids, model=model), keep=["doc_id"])
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_ALL = (
+    op1_quality, op2_chat, op3_mixing, op4_substring_dedup, op5_decontaminate, op6_toxicity, op7_warc, op8_simhash, op9_token_counts, op10_licenses, op11_prefix_trie, op12_sentencepiece,
+    op13_resampling,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLE", "QUERIES"]
