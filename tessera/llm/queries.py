@@ -65,9 +65,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = sentencepiece_bpe.Model.read()
-    ids = sentencepiece_bpe.encoded(_read(spark, sf_dir, "documents"), model=model, keep=["doc_id"])
-    return sentencepiece_bpe.digests(sentencepiece_bpe.decoded(ids, model=model), keep=["doc_id"])
+    return sentencepiece_bpe.digests(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

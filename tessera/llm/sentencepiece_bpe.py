@@ -41,7 +41,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words as tw
 from .shared import map_arrow, map_texts, quoted
@@ -238,6 +237,10 @@ class Model:
     def encode(self, text: str) -> list[int]:
         return [i for part in self.segments(text) for i in self.encode_part(part)] if text else []
 
+    @cached_property
+    def decimals(self) -> list[str]:
+        return list(map(str, range(len(self.pieces))))
+
     @cached_property
     def surfaces(self) -> list[bytes]:
         out = [b"" if p is None else p.replace(MARK, " ").encode() for p in self.pieces]
@@ -305,19 +308,19 @@ def decoded(rows: DataFrame, ids: str = "ids", model: Model | None = None, keep:
     return map_arrow(rows, quoted(ids).cast("array<int>"), lambda column: {"decoded": map(held.value.decode, _lists(column))}, {"decoded": "string"}, keep)
 
 
-def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of rows, n_tokens, ids_sha256 (decimal ids with commas between) and decoded_sha256."""
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    decimal = [str(i) for i in range(1 << 17)]
-    write = lambda ids: ",".join(map(decimal.__getitem__, ids) if not ids or max(ids) < len(decimal) else map(str, ids))
+def digests(docs: DataFrame, text: str = "text", model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs, n_tokens, ids_sha256 (decimal ids with commas between) and decoded_sha256: texts encoded and decoded again in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model or Model.read())
+    key = uuid.uuid4().hex
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def measure(column):
-        found, text = column.field(0), column.field(1)
-        return {
-            "n_tokens": pc.fill_null(pc.list_value_length(found), 0).cast(pa.int64()),
-            "ids_sha256": [sha(write(x).encode()) for x in _lists(found)],
-            "decoded_sha256": [sha(x.as_buffer() or b"") if x.is_valid else sha(b"") for x in text.cast(pa.large_binary())],
-        }
-
-    both = F.struct(quoted(ids).cast("array<int>").alias("ids"), quoted(decoded).alias("decoded"))
-    return map_arrow(rows, both, measure, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, keep)
+        model = held.value
+        decimal, n, ids_sha, text_sha = model.decimals, [], [], []
+        for ids in _lists(_encode_block(column, model, key)["ids"]):
+            n.append(len(ids))
+            ids_sha.append(sha(",".join(map(decimal.__getitem__, ids))))
+            text_sha.append(sha(model.decode(ids)))
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+
+    return map_texts(docs, text, measure, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, keep)
