@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import Template
 from .mixing import GRID, ROUNDS, UNIT, Mix
 from .quality import SYMBOLS, RepetitionRules
+from .resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), [])"
 
@@ -82,4 +83,55 @@ _SUBSTRING = f"""WITH w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
 _WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS s FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS last_id FROM p)
   SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN n >= 1000 AND last_id > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND last_id > page_id THEN last_id END AS refers_to FROM m"""
 
-ORACLE = {"op1_quality": _quality(), "op2_chat": _chat(), "op3_mixing": _mixing(), "op4_substring_dedup": _SUBSTRING, "op7_warc": _WARC}
+def _crc32(bytes_: str) -> str:
+    """The CRC-32 of a list of bytes, four bits at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = lambda x: f"xor({x} >> 4, ({table})[CAST({x} & 15 AS INT) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: {step(step('xor(c, b)'))}), CAST(4294967295 AS BIGINT))"
+
+
+_HEX = "CAST(strpos('0123456789abcdef', lower({})) - 1 AS BIGINT)"
+
+
+def _utf8(text: str) -> str:
+    """The bytes of a text."""
+    raw = f"hex(encode({text}))"
+    return f"list_transform(range(CAST(length({raw}) / 2 AS BIGINT)), lambda i: 16 * {_HEX.format(f'{raw}[2 * i + 1]')} + {_HEX.format(f'{raw}[2 * i + 2]')})"
+
+
+def _trie(group: int = 5, most: int = 8) -> str:
+    return f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, {_crc32(_utf8("CAST(conv_id AS VARCHAR)"))} % {most + 1} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+  parts AS (SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {group} AND t.i <= c.h UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+  pre AS (SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), '/') OVER w AS p, strlen(text) AS b FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, i) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+  sizes AS (SELECT conv_id, max(d) AS d FROM pre GROUP BY conv_id),
+  node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b FROM pre GROUP BY p, d),
+  child AS (SELECT a.p, count(*) AS n FROM node u JOIN pre a ON a.conv_id = u.conv_id AND a.d = u.d - 1 GROUP BY a.p),
+  sub AS (SELECT a.p, sum((u.n - 1) * u.b) AS saved, count(*) FILTER (child.n IS NULL) AS leaves FROM node u JOIN pre a ON a.conv_id = u.conv_id AND a.d <= u.d LEFT JOIN child ON child.p = u.p GROUP BY a.p),
+  over AS (SELECT u.p, o.conv_id FROM node u JOIN pre a ON a.conv_id = u.conv_id AND a.d = u.d - 1 JOIN node o ON o.p = a.p),
+  ends AS (SELECT p, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM pre JOIN sizes USING (conv_id, d) GROUP BY p)
+  SELECT node.conv_id, node.d AS depth, over.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+  FROM node JOIN sub USING (p) LEFT JOIN child USING (p) LEFT JOIN over USING (p) LEFT JOIN ends USING (p)"""
+
+
+def _resampling() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = lambda table: f"unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS word FROM {table}"
+    sums = lambda table, n: f"SELECT bucket, count(*) AS {n} FROM {table} JOIN hashed USING (word) GROUP BY bucket"
+    digest = f"list_reduce(list_transform(range(1, 9), lambda i: {_HEX.format(f'sha256({chr(39)}{SEED}:{chr(39)} || doc_id)[i]')}), lambda a, b: 16 * a + b)"
+    return f"""WITH w AS MATERIALIZED (SELECT doc_id, {word("documents")}), x AS MATERIALIZED (SELECT {word("benchmark")}),
+  hashed AS MATERIALIZED (SELECT word, {_crc32(_utf8("word"))} % {BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM w UNION ALL SELECT word FROM x))),
+  s AS ({sums("w", "s")}), t AS ({sums("x", "t")}),
+  whole AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM w) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM x) AS t),
+  gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.t, 0) + 1.0::DOUBLE) * (whole.s + {BUCKETS}) / ((coalesce(s.s, 0) + 1.0::DOUBLE) * (whole.t + {BUCKETS})))) AS g FROM s FULL JOIN t USING (bucket), whole),
+  found AS (SELECT doc_id, count(*) AS n, floor(sum(g) / count(*)) AS weight FROM w JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+  scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(({digest} + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN found USING (doc_id)),
+  placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM scored WHERE n_features >= {LEAST_WORDS})
+  SELECT doc_id, n_features, weight, score, CASE WHEN k <= {PERCENT} * (SELECT count(*) FROM placed) // 100 THEN k END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+ORACLE = {"op1_quality": _quality(), "op2_chat": _chat(), "op3_mixing": _mixing(), "op4_substring_dedup": _SUBSTRING, "op7_warc": _WARC, "op11_prefix_trie": _trie(), "op13_resampling": _resampling()}
