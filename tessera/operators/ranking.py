@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..storage import saved
 
 SPACE = r"[ \t\n\r\f]+"
-#: Query terms that are broadcast at most; with more, Spark chooses the join.
-MOST_TERMS = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -49,47 +47,46 @@ def decisive(scores: DataFrame, query: list[str], k: int) -> DataFrame:
     return top.unionByName(placed.where(F.col("rank") > k).select(*query, "cand_id", F.lit(True).alias("gold"), "rank"))
 
 
-def holding(candidates: DataFrame, passages: DataFrame, id: str) -> DataFrame:
+def holding(candidates: DataFrame, passages: DataFrame, id: str, postings: DataFrame | None = None) -> DataFrame:
     """(id, cand_id) of the candidates(cand_id, text) that hold a passage(id, text) as it is.
 
     A passage's inner words are whole words of a text that holds it, so pairs meet under the one
-    that fewest candidates have; passages of under three words meet every candidate.
+    that fewest candidates have. The words of a passage of one or two may be parts of words: they are looked for in
+    the list of different words. A passage without words meets every candidate. postings: as postings.count_terms gives them.
     """
-    words = candidates.select("cand_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    words = candidates.select("cand_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")) if postings is None else postings.where("term IS NOT NULL").select("cand_id", "term")
     inner = passages.select(id, F.col("text").alias("_passage"), terms(F.col("text")).alias("t"))
     long = inner.where(F.size("t") > 2).select(id, "_passage", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
     n = words.join(long.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     seed = long.join(n, "term", "left").groupBy(id, "_passage").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    pairs = words.join(seed, "term").select(id, "_passage", "cand_id")
-    short = inner.where(F.size("t") <= 2).select(id, "_passage")
+    part = inner.where(F.size("t").isin(1, 2)).select(id, "_passage", F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("_part"))
+    met = words.select("term").distinct().join(part, F.col("term").contains(F.col("_part"))).select(id, "_passage", "term")
+    pairs = words.join(seed.unionByName(met), "term").select(id, "_passage", "cand_id").distinct()
     texts = candidates.select("cand_id", "text")
     held = pairs.join(texts, "cand_id").where(F.col("text").contains(F.col("_passage"))).select(id, "cand_id")
-    return held.unionByName(texts.join(short, F.col("text").contains(F.col("_passage"))).select(id, "cand_id")).distinct()
+    blank = inner.where(F.size("t") == 0).select(id, "_passage")
+    return held.unionByName(texts.join(blank, F.col("text").contains(F.col("_passage"))).select(id, "cand_id")).distinct()
 
 
-def bm25(queries: DataFrame, candidates: DataFrame, corpus: list[str], query: list[str], k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, corpus: list[str], query: list[str], k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(corpus, query, cand_id, ord, score) of candidates that share a term with the query, each corpus on its own.
 
-    queries(corpus, query, text); candidates(corpus, cand_id, ord, text). A negative idf becomes floor times the mean
-    idf of the corpus's terms; repeated query terms count each time. Candidates without a shared term score 0 and
-    have no row. Document frequencies are summed before they are shuffled. Only tokens that are query terms are
-    counted for each document: in the scan, where the terms are few enough to broadcast (MOST_TERMS), else after a join.
+    queries(corpus, query, text); postings(corpus, term, cand_id, ord, len, tf) as postings.count_terms saves them. A negative
+    idf becomes floor times the mean idf of the corpus's terms; repeated query terms count each time. Candidates without
+    a shared term score 0 and have no row. Document frequencies are summed before they are shuffled, and only the lists
+    of query terms meet the queries.
     """
-    docs = candidates.select(*corpus, "cand_id", "ord", terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms").cast("long"))
-    size = docs.groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = docs.select(*corpus, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*corpus, "term").agg(F.count("*").alias("df"))
+    known = postings.where("term IS NOT NULL")
+    size = postings.where("term IS NULL").groupBy(*corpus).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = known.groupBy(*corpus, "term").agg(F.count("*").alias("df"))
     on = lambda a, c: a.join(c, corpus) if corpus else a.crossJoin(F.broadcast(c))  # noqa: E731  without a corpus key, c is one row
     idf = on(df, size).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.groupBy(*corpus).agg(F.avg("idf").alias("mean_idf"))
     idf = on(idf, mean).withColumn("idf", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")))
     asked = queries.select(*corpus, *query, F.explode(terms(F.col("text"))).alias("term")).groupBy(*corpus, *query, "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select(*corpus, "term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
-    tokens = docs.select(*corpus, "cand_id", "ord", "len", F.explode("terms").alias("term")).join(wanted, [*corpus, "term"], "left_semi")
-    tf = tokens.groupBy(*corpus, "cand_id", "ord", "len", "term").agg(F.count("*").alias("tf"))
-    weight = asked.join(idf.select(*corpus, "term", "idf", "avg_len"), [*corpus, "term"])
+    weight = saved(asked.join(idf.select(*corpus, "term", "idf", "avg_len"), [*corpus, "term"]), "query-terms")  # a row per term of a query, of known size
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weight.join(tf, [*corpus, "term"]).groupBy(*corpus, *query, "cand_id", "ord").agg(F.sum(gain).alias("score"))
+    return known.join(weight, [*corpus, "term"]).groupBy(*corpus, *query, "cand_id", "ord").agg(F.sum(gain).alias("score"))
 
 
 def numeric_first(c: str) -> list[Column]:

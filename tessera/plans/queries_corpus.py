@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import documents as dc
-from ..operators import fuzzy, metrics, ranking
+from ..operators import fuzzy, metrics, postings, ranking
 from ..sources import io
 from ..storage import saved
 from . import lens
@@ -156,12 +156,13 @@ _BM25 = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lowe
 
 def _bm25(spark, sf_dir):
     docs = lens.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), F.col("doc_id").alias("ord"), "text")
-    return docs, ranking.bm25(lens.table(spark, sf_dir, "benchmark"), docs, [], ["item_id"]).withColumn("score", F.round("score", 6))
+    held = postings.count_terms(docs, [])
+    return docs, held, ranking.bm25(lens.table(spark, sf_dir, "benchmark"), held, [], ["item_id"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, rank, round(s, 6) AS score FROM ranking WHERE rank <= 10")
 def bm25_rank_top10(spark, sf_dir):
-    top = ranking.top_k(ranking.ranked(_bm25(spark, sf_dir)[1], ["item_id"], unique=True), 10)
+    top = ranking.top_k(ranking.ranked(_bm25(spark, sf_dir)[2], ["item_id"], unique=True), 10)
     return top.select("item_id", F.col("cand_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
@@ -173,14 +174,30 @@ def bm25_rank_top10(spark, sf_dir):
 )
 def bm25_recall_mrr(spark, sf_dir):
     """Retrieval of benchmark passages: the documents that hold a passage are its gold."""
-    docs, scores = _bm25(spark, sf_dir)
-    gold = saved(ranking.holding(docs, lens.table(spark, sf_dir, "benchmark"), "item_id"), "gold")
+    docs, held, scores = _bm25(spark, sf_dir)
+    gold = saved(ranking.holding(docs, lens.table(spark, sf_dir, "benchmark"), "item_id", held), "gold")
     scores = saved(scores, "scores").join(gold.withColumn("gold", F.lit(True)), ["item_id", "cand_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
     slots = gold.select("item_id", F.col("cand_id").alias("slot"), F.col("cand_id").alias("unit"))
     scores = metrics.query_scores(metrics.slot_ranks(ranking.decisive(scores, ["item_id"], 10), slots, ["item_id"]), ["item_id"], [1, 2, 10])
     return metrics.means(scores, [], ["recall_1", "recall_2", "recall_10", "rr"])
 
 
+_SPARSE = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')) AS term FROM documents),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  d AS (SELECT doc_id, term, ln(1 + tf) * ln(1 + (SELECT count(*) FROM documents) / df) AS w FROM tf JOIN df USING (term)),
+  q AS (SELECT item_id, term, ln(1 + count(*)) AS w FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+  ranking AS (SELECT item_id, doc_id, round(sum(q.w * d.w), 9) AS s, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 9) DESC, doc_id) AS rank FROM q JOIN d USING (term) GROUP BY item_id, doc_id)"""
+
+
+@query(f"WITH {_SPARSE} SELECT item_id, doc_id, rank, round(s, 6) AS score FROM ranking WHERE rank <= 10")
+def sparse_top10(spark, sf_dir):
+    """Documents and benchmark passages as sparse vectors of term weights, ranked by dot product."""
+    docs = lens.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), F.col("doc_id").alias("ord"), "text")
+    asked = lens.table(spark, sf_dir, "benchmark").select("item_id", F.explode(ranking.terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.log1p(F.count("*")).alias("weight"))
+    top = postings.sparse_top(asked, postings.weighted(postings.count_terms(docs, [])), ["item_id"], 10)
+    return top.select("item_id", F.col("cand_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 _DENSE = """c AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT * FROM c WHERE vec_id % 100 = 0),
   ranking AS (SELECT q.vec_id, c.vec_id AS cand_id, q.label AS ql, c.label AS cl, round(list_dot_product(q.v, c.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, c.v), 6) DESC, c.vec_id) AS rank FROM q, c WHERE q.vec_id <> c.vec_id)"""
 

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, ranking, sampling
+from tessera.operators import postings, metrics, ranking, sampling
 from tessera.plans import classify
 from tessera.sources import io
 from tessera.streaming.resume import incremental
@@ -43,7 +43,7 @@ def test_combinations(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, 1, "a b b"), (2, 2, "a c"), (3, 3, "d")], "cand_id int, ord int, text string")
     q = spark.createDataFrame([(7, "b b d")], "q int, text string")
-    got = {r.cand_id: r.score for r in ranking.bm25(q, docs, [], ["q"]).collect()}
+    got = {r.cand_id: r.score for r in ranking.bm25(q, postings.count_terms(docs, []), [], ["q"]).collect()}
     idf = {t: math.log((3 - n + 0.5) / (n + 0.5)) for t, n in {"a": 2, "b": 1, "c": 1, "d": 1}.items()}
     idf["a"] = 0.25 * sum(idf.values()) / 4
     part = lambda t, tf, n: idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2))
