@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import answers, metrics, providers
 from ..operators import documents as dc
 from ..sources import io
-from . import classify, lens
+from . import classify, hidden, lens
 from .lens import LENS
 
 QUERIES, ORACLE = {}, {}
@@ -149,3 +149,16 @@ def embedding_classifier(spark, sf_dir):
     counts = metrics.threshold_counts(classify.probabilities(model, rows.where("vec_id % 4 = 2"), labels, "embedding"), labels)
     found = classify.predict(classify.probabilities(model, rows.where("vec_id % 2 = 1"), labels, "embedding"), metrics.best_thresholds(counts, True), labels)
     return metrics.label_report(found, labels)
+
+
+@query()
+def hidden_classifier(spark, sf_dir):
+    """Whether the first two numbers of a vector have one sign, which no linear head can tell: linear and hidden heads, trained on even rows, tested on odd ones."""
+    same = F.col("embedding")[0] * F.col("embedding")[1] > 0
+    rows = lens.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"), F.array(F.when(same, "same").otherwise("other")).alias("gold"))
+    train, test, labels = rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), ["same", "other"]
+    head, _ = hidden.fit(train, labels, hidden=32, epochs=30, batches=2, rate=0.05)
+    linear = hidden.predict(classify.probabilities(classify.fit_on_embeddings(train, labels), test, labels, "embedding"), labels)
+    told = linear.withColumn("head", F.lit("linear")).unionByName(hidden.predict(hidden.probabilities(head, test), labels).withColumn("head", F.lit("hidden")))
+    right = (F.array_join("prediction", ",") == F.array_join("gold", ",")).cast("int")
+    return told.groupBy("head").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
