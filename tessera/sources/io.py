@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import nested
+
 IMAGES = "*.{png,jpg,jpeg,webp,bmp}"
 NOTE = "struct<note_id:string,replyto:string,rid:string,comment:string>"
 ALIGNED = "struct<rebuttal_sentence:string,review_spans:array<string>,labels:struct<future_changes:boolean,new_experiments:boolean,external_references:boolean,grounded_in_paper:boolean,filter_out:boolean>>"
-DATASET = f"map<string,map<string,map<string,struct<review:string,rebuttal:string,aligned:array<{ALIGNED}>>>>>"
+REVIEWED = f"struct<review:string,rebuttal:string,aligned:array<{ALIGNED}>>"
+DATASET = f"map<string,map<string,map<string,{REVIEWED}>>>"
 
 
 def whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,8 +44,15 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("venue", "paper_id", "review_id", "r.review", "r.rebuttal", F.posexplode_outer("r.aligned").alias("pos", "aligned"))
 
 
+def dataset_in_parts(spark: SparkSession, path: str) -> DataFrame:
+    """As dataset, for files of any size: papers are cut out of byte ranges, and one that is not of that form raises."""
+    papers = nested.parsed(nested.members(spark, path), f"map<string,{REVIEWED}>")
+    rows = papers.select(F.col("outer").alias("venue"), F.col("key").alias("paper_id"), F.explode("value").alias("review_id", "r"))
+    return rows.select("venue", "paper_id", "review_id", "r.review", "r.rebuttal", F.posexplode_outer("r.aligned").alias("pos", "aligned"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """JSONL; blank lines are skipped, a bad line fails the read."""
+    """JSONL; blank lines are skipped, a bad line fails the read (nested.numbered_json_lines names it)."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
