@@ -1,6 +1,6 @@
 """Reference patterns in Java syntax, compact (no comment mode), case-insensitive, Unicode-aware."""
 
-# The grammar of numbers, ranges and series, and a pattern for each kind of reference.
+# The grammar of numbers, ranges and series, and a pattern for each kind of reference. The order of kinds is free: mentions are sorted afterwards.
 NUM = r"\d+(?:\.\d+)*[A-Za-z]?"
 RANGE = rf"{NUM}(?:\s*[-–—]\s*{NUM})?"
 SERIES = rf"{RANGE}(?:\s*(?:,|and|&|to)\s*{RANGE})*"
@@ -21,6 +21,10 @@ PREFIX = rf"{FLAGS}^\s*(?:section|sec|§|table|tab|figure|fig|appendix|equation|
 SAFE_PREFIX = PREFIX.replace("|l|", r"|l(?=\.?\s*\(?\d)|")
 STAT_PREFIX = rf"{FLAGS}^(?:lines?|l\.?|sections?|secs?\.?|§|tables?|tabs?\.?|figures?|figs?\.?|appendix|equations?|eqs?\.?|pages?|pp?\.?|footnote)\s*"
 ABBREVIATIONS = r"\b(?:e\.g\.|i\.e\.|etc\.|vs\.|et al\.)"
+HEADING = r"(?m)^\s{0,3}#{1,6}\s+"
+LIST_ITEM = r"(?m)^\s*(?:>\s*)?(?:[*\-+]|\d+[.)])\s+"
+QUOTE = r"(?m)^\s*>\s+"
+LIST_NUMBER = r"^\s*(?:>\s*)?\d+\.$"
 STAT_TYPES = {"line": "paragraph"}
 MAIN_TYPES = ("paragraph", "section", "figure", "table")
 SECTION_HEADER = r"^\s*(?:(\d{1,2}(?:\.\d{1,2})*)\s+([A-Z][^\n]{0,120})|Appendix\s+([A-Z])(?:\s+([A-Z][^\n]{0,120}))?)\s*$"

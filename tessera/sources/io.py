@@ -19,10 +19,13 @@ REVIEWED = f"struct<review:string,rebuttal:string,aligned:array<{ALIGNED}>>"
 DATASET = f"map<string,map<string,map<string,{REVIEWED}>>>"
 
 
-def whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(path, value) of each JSON file under path; files that do not parse are left out."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("value"))
-    return raw.where("value is not null")
+def whole_json(spark: SparkSession, path: str, schema: str, blank_ok: bool = False) -> DataFrame:
+    """(path, value) of each JSON file under path. A file that is no JSON of that form raises with its name; blank ones too, or they are left out."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", schema).alias("made"))
+    blank = F.trim(F.translate("value", "\t\r\n", "   ")) == ""
+    fail = F.raise_error(F.concat("path", F.lit(": no JSON of the form "), F.lit(schema))).cast("boolean")
+    known = F.when(F.col("made").isNotNull(), True).when(F.trim("value") == "null", False)
+    return raw.where((known.when(blank, False) if blank_ok else known).otherwise(fail)).select("path", F.col("made").alias("value"))
 
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +36,7 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def comments(spark: SparkSession, path: str) -> DataFrame:
     """comments.json files (id -> note) -> (path, note_id, replyto, rid, comment); empty files give no rows."""
-    rows = whole_json(spark, path, f"map<string,{NOTE}>")
+    rows = whole_json(spark, path, f"map<string,{NOTE}>", blank_ok=True)
     return rows.select("path", F.explode("value").alias("k", "n")).select("path", F.coalesce("n.note_id", "k").alias("note_id"), "n.replyto", "n.rid", "n.comment")
 
 
