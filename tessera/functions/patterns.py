@@ -15,6 +15,9 @@ PATTERNS = {
     "section": rf"{FLAGS}(?:\bsections?|\bsecs?\.?|§)[ \t]*{SERIES}|\b(?:introduction|related\s+work|method(?:s|ology)?|approach|experiments?|results?|analysis|discussion|limitations?|conclusion|ablation|future\s+work)\s+section\b",
     "table": rf"{FLAGS}\b(?:tables?|tabs?\.?)[ \t]*{SERIES}",
 }
+#: What a text has to hold in folded case for a pattern to match; all kinds but those of NO_DIGIT need a digit as well.
+NEEDS = {"appendix": ("appendix",), "equation": ("eq",), "figure": ("fig",), "footnote": ("footnote", "fn"), "line": ("l",), "page": ("p",), "section": ("sec", "§"), "table": ("tab",)}
+NO_DIGIT = ("appendix", "section")
 # Words before a label, abbreviations, starts of headings, list items and quotes.
 PREFIX = rf"{FLAGS}^\s*(?:section|sec|§|table|tab|figure|fig|appendix|equation|eq|lines?|l|page|pp?|footnote|fn)s?\.?\s*"
 #: As PREFIX, but a bare "l" is a prefix before a digit only (PREFIX turns "Limitations" into "imitations").

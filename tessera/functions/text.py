@@ -5,25 +5,38 @@ All stay in the JVM. Offsets count code points and are half-open.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import FLAGS, NUM, PATTERNS, PREFIX, RANGE, SAFE_PREFIX, STAT_PREFIX
+from .patterns import FLAGS, NEEDS, NO_DIGIT, NUM, PATTERNS, PREFIX, RANGE, SAFE_PREFIX, STAT_PREFIX
 
 MENTION = "struct<start:int,end:int,kind:string,text:string>"
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of one pattern with offsets: one scan puts a mark around each, then every second part is a match."""
+    """Matches of one pattern with offsets: one scan puts a mark around each, then every second part is a match.
+
+    Texts that lack what every match of the kind holds (NEEDS, a digit) are not scanned.
+    """
+    none = F.array().cast(f"array<{MENTION}>")
     marked = F.regexp_replace(F.translate(text, "\x01", "\x03"), F.lit(pattern), F.lit("\x01$0\x01"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{MENTION}>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
 
     def step(acc, x):
         end = acc["at"] + F.length(x)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("text"))
+        said = F.substring(text, acc["at"] + 1, F.length(x))
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), said.alias("text"))
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.split(marked, "\x01", -1), zero, step, lambda acc: acc["out"])
+    found = F.aggregate(F.split(marked, "\x01", -1), zero, step, lambda acc: acc["out"])
+    if PATTERNS.get(kind) != pattern:
+        return found
+    folded = F.lower(F.upper(text))
+    may = reduce(or_, (folded.contains(x) for x in NEEDS[kind]))
+    return F.when(may if kind in NO_DIGIT else may & text.rlike(r"(?U)\d"), found).otherwise(none)
 
 
 def mentions(text: Column, patterns: dict[str, str] | None = None) -> Column:

@@ -114,3 +114,11 @@ def test_intervals(spark):
     for r in arr.collect():
         mine = [(a, b) for x, a, b in data if x == r.k]
         assert [tuple(m) for m in r.m] == merge(mine) and r.h == any(a <= 30 < b for a, b in mine)
+
+
+def test_mentions_keep_control_characters_and_are_found_without_digits(spark):
+    rows = [(2, "no digits: appendix B, results section"), (3, "l12 \u2013 Fig\x01 3"), (4, "eq. \u0663")]
+    got = {r.i: [m.text for m in r.m] for r in spark.createDataFrame(rows, "i int, t string").select("i", tx.mentions(F.col("t")).alias("m")).collect()}
+    assert got[2] == ["appendix B", "results section"] and got[4] == ["eq. \u0663"]
+    held = spark.createDataFrame([(1, "Table 1\x01 Table 2")], "i int, t string").select(tx.mentions(F.col("t")).alias("m")).first().m
+    assert [(m.start, m.end, m.text) for m in held] == [(0, 7, "Table 1"), (9, 16, "Table 2")]
