@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import documents as dc
-from ..operators import fuzzy, metrics, postings, ranking
+from ..operators import fuzzy, metrics, postings, ranking, vectors
 from ..sources import io
 from ..storage import saved
 from . import lens
@@ -205,18 +205,20 @@ _DENSE = """c AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST
 def _dense(spark, sf_dir):
     rows = lens.table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("label").alias("gold_label"), F.col("embedding").alias("qvec"))
-    there = rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), "label", F.col("embedding").alias("vec"))
-    return ranking.dense(asked, there, []).where("vec_id <> cand_id").withColumn("score", F.round("score", 6))
+    return asked, rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), "label", F.col("embedding").alias("vec"))
 
 
 @query(f"WITH {_DENSE} SELECT vec_id, cand_id, rank, score FROM ranking WHERE rank <= 10")
 def dense_cosine_top10(spark, sf_dir):
-    return ranking.top_k(ranking.ranked(_dense(spark, sf_dir), ["vec_id"], unique=True), 10).select("vec_id", "cand_id", F.col("rank").cast("long").alias("rank"), "score")
+    top = vectors.top(*_dense(spark, sf_dir), ["vec_id"], 10, skip="vec_id", digits=6)
+    return top.select("vec_id", "cand_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query(f"WITH {_DENSE}, per AS (SELECT vec_id, max(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS hit_1, max(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS hit_10, coalesce(max(1.0 / rank), 0) AS rr FROM ranking WHERE ql = cl GROUP BY vec_id) SELECT count(*) AS n, round(avg(hit_1), 6) AS hit_1, round(avg(hit_10), 6) AS hit_10, round(avg(rr), 6) AS rr FROM per")
 def dense_recall_mrr(spark, sf_dir):
-    scores = _dense(spark, sf_dir).select("vec_id", "cand_id", "ord", "score", (F.col("gold_label") == F.col("label")).alias("gold"))
+    asked, there = _dense(spark, sf_dir)
+    scores = vectors.scores(asked, there, ["vec_id"], skip="vec_id", digits=6).join(there.select("cand_id", "label"), "cand_id")
+    scores = scores.select("vec_id", "cand_id", "ord", "score", (F.col("gold_label") == F.col("label")).alias("gold"))
     same = ranking.decisive(scores, ["vec_id"], 10).where("gold").select("vec_id", "rank")
     return metrics.means(metrics.query_scores(same, ["vec_id"], [1, 10]), [], ["hit_1", "hit_10", "rr"])
 
@@ -230,10 +232,9 @@ def maxsim_rank(spark, sf_dir):
     """Late interaction over vectors cut into four parts."""
     parts = F.array(*(F.slice("embedding", i, 16) for i in (1, 17, 33, 49)))
     rows = lens.table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("parts"))
-    asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("parts").alias("q"))
-    pairs = asked.crossJoin(rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), "parts"))  # the stated queries against all rows
-    scores = pairs.select("vec_id", "cand_id", "ord", F.round(ranking.max_sim(F.col("q"), F.col("parts")), 6).alias("score"))
-    return ranking.top_k(ranking.ranked(scores, ["vec_id"], unique=True), 5).select("vec_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
+    asked = rows.where("vec_id % 100 = 0").select("vec_id", F.col("parts").alias("qvec"))
+    top = vectors.top(asked, rows.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("ord"), F.col("parts").alias("vec")), ["vec_id"], 5, digits=6)
+    return top.select("vec_id", "cand_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0")
