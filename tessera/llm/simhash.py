@@ -14,8 +14,8 @@
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
 one_of_each_group links by the similarity of shingle sets itself, in two tiled steps. Fingerprints
-(of the different shingles, LANES lanes) give clusters: rows that agree in KEY_BITS bits of a lane in one
-of TABLES fixed choices and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits are in one,
+(of the different shingles, LANES lanes) give clusters: rows that agree in some bits of a lane in one
+of several fixed choices (key_plan derives both numbers from the row count) and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits are in one,
 and a tile returns a spanning forest. Inside a cluster, parts of TILE_SETS rows meet in tiles that
 hold their sets: all pairs within CLOSE_ALL bits of all lanes that are not linked yet are compared
 exactly. No list of pairs is made, and a link never depends on other rows.
@@ -30,7 +30,7 @@ its shingles, with under 20 bytes of memory for each of its bytes.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log1p, log2
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,12 @@ from .shared import NO_ID, map_texts, quoted, saved, solid_id
 PART = 1 << 16
 #: Rows of a key beyond which it is dealt over several tiles; side of a compared block.
 TILE_ROWS, BLOCK = 8192, 512
-#: Clusters of one_of_each_group: lanes of 64 bits, choices of KEY_BITS bits of a lane, and the
-#: bits of the first FILTER_LANES lanes that may differ. At a similarity of 0.8 0.15 of bits do.
-LANES, TABLES, KEY_BITS, FILTER_LANES, CLOSE = 8, 64, 14, 2, 32
+#: Clusters of one_of_each_group: lanes of 64 bits, and the bits of the first FILTER_LANES lanes that may differ.
+LANES, FILTER_LANES, CLOSE = 8, 2, 32
+#: At the least similarity of those clusters so many bits agree. Keys have KEY_BITS bits up to KEY_ROWS
+#: texts and one more for each doubling, so that the rows of a key do not grow with the corpus; there are
+#: as many choices of bits as let MISSED pairs of that similarity share no key.
+LEAST, AGREE, KEY_BITS, KEY_ROWS, MISSED = 0.8, 0.85, 14, 1 << 20, 0.001
 #: Bits of all lanes that a compared pair may differ in (at 0.8: 78 of 512, 8 up or down), and rows of a part of a cluster.
 CLOSE_ALL, TILE_SETS = 112, 256
 #: Stand-in ids, of fingerprints with null or taken ids only, begin here; real ids are smaller.
@@ -333,17 +336,23 @@ def _dealt(keyed: DataFrame, columns: list[str], most: int | None = None) -> Dat
     return tiled.select("tile", "id", *columns).repartition("tile").sortWithinPartitions("tile")
 
 
-def _bit_choices() -> list[tuple[int, int]]:
-    """(lane, mask of KEY_BITS bits) of each table, the same in every process."""
+def key_plan(rows: int) -> tuple[int, int]:
+    """Bits of a key and the number of choices for so many different texts."""
+    bits = KEY_BITS + max(0, ceil(log2(max(1, rows) / KEY_ROWS)))
+    return bits, ceil(log(MISSED) / log1p(-(AGREE**bits)))
+
+
+def _bit_choices(bits: int, tables: int) -> list[tuple[int, int]]:
+    """(lane, mask of so many bits) of each table, the same in every process."""
     rng = np.random.default_rng(42)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [(t % LANES, signed(sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)))) for t in range(TABLES)]
+    return [(t % LANES, signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))) for t in range(tables)]
 
 
 def clusters(prints: DataFrame) -> DataFrame:
     """(id, component) of prints (id, fp0, ...) that are close to others."""
     fps = [f"fp{i}" for i in range(FILTER_LANES)]
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices())))
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices(*key_plan(prints.count())))))
     keyed = prints.select("id", *fps, F.explode(keys).alias("key"))
     linked = components(_dealt(keyed, fps).mapInArrow(_close_tiles(CLOSE, FILTER_LANES), "u long, v long"))
     return saved(linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()), "clusters")
@@ -394,8 +403,12 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     return found.select(F.col("_id").alias(id), hexed.alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
-def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """_id, _mark and _group of rows (_id, _text, _mark): links are pairs of shingle sets of a similarity of least or more."""
+def similar_groups(rows: DataFrame, shingle: int, least: float, exact: bool = False) -> DataFrame:
+    """_id, _mark and _group of rows (_id, _text, _mark): links are pairs of shingle sets of a similarity of least or more.
+
+    exact: pairs meet under one of the smallest hashes of their sets. Of a set of n, any that is so similar shares one of the
+    n - ceil(least n) + 1 smallest, so no link is lost; each copy of a row carries its set.
+    """
     fps = [f"fp{i}" for i in range(LANES)]
 
     def prints(column):
@@ -408,7 +421,7 @@ def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
     marked = saved(map_texts(rows, "_text", prints, dict.fromkeys(["id", *fps], "long"), ["_id", "_mark"], most=1 << 20), "fingerprints")
     key = F.struct("_mark", solid_id("_id").alias("_key"))
     nodes = saved(marked.groupBy("id", *fps).agg(F.min(key).alias("k")).select("id", *fps, "k.*").where("id <> 0"), "distinct")  # equal sets are one node; 0: no words
-    members = saved(nodes.join(clusters(nodes), "id"), "members")  # its size is then known: texts are shuffled only if it is too large to broadcast
+    members = nodes.withColumn("component", F.lit(None).cast("long")) if exact else saved(nodes.join(clusters(nodes), "id"), "members")  # its size is then known: texts are shuffled only if it is too large to broadcast
 
     def sets(column):
         h, count = shingle_sets(column, shingle)
@@ -416,20 +429,27 @@ def similar_groups(rows: DataFrame, shingle: int, least: float) -> DataFrame:
 
     texts = rows.select("_mark", solid_id("_id").alias("_key"), "_text").join(members, ["_mark", "_key"])
     held = saved(map_texts(texts, "_text", sets, {"shingles": "array<long>"}, ["id", "component", *fps], most=1 << 20).withColumnRenamed("component", "key"), "sets")
-    edges = _dealt(held, [*fps, "shingles"], TILE_SETS).mapInArrow(_similar_tiles(CLOSE_ALL, LANES, least), "u long, v long").where("u <> v")
+    if exact:
+        first = F.slice("shingles", F.lit(1), (F.size("shingles") - F.ceil(F.lit(least) * F.size("shingles") - 1e-9) + 1).cast("int"))
+        held = held.withColumn("key", F.explode(first))
+    edges = _dealt(held, [*fps, "shingles"], TILE_SETS).mapInArrow(_similar_tiles(64 * LANES if exact else CLOSE_ALL, LANES, least), "u long, v long").where("u <> v")
     linked = components(edges)
     return marked.join(linked, "id", "left").select("_id", "_mark", F.coalesce("component", "id").alias("_group"))
 
 
-def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = LEAST, exact: bool = False) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash, then the smallest hash of other columns.
 
     Texts are linked if their sets of five-word shingles have a similarity (shared of all) of 0.8
-    or more; groups are what links connect. Texts without words are one group.
+    or more; groups are what links connect. Texts without words are one group. Pairs of exactly that similarity are
+    found with a probability of 0.99 or more, closer ones almost surely; exact finds every pair, at a higher cost, and
+    is needed for a smaller least (ValueError without it).
     """
+    if not exact and least < LEAST:
+        raise ValueError(f"similarities under {LEAST} need exact=True: keys are made for {LEAST}")
     mark = F.xxhash64(quoted(text))
     rows = docs.select(quoted(id).alias("_id"), quoted(text).cast("string").alias("_text"), mark.alias("_mark"))
-    found = similar_groups(rows, shingle, least)
+    found = similar_groups(rows, shingle, least, exact)
     first = found.groupBy("_group").agg(F.min(F.struct("_id", "_mark")).alias("first"))
     first = first.select(F.coalesce(F.col("first._id").cast("long"), F.lit(NO_ID)).alias("_key"), F.col("first._mark").alias("_mark"))
     rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *(quoted(c) for c in docs.columns if c not in (id, text)))))

@@ -166,6 +166,41 @@ def test_one_of_each_group_is_the_similarity_of_pairs(spark, monkeypatch, tile):
     made = [" ".join(w) for w in made]
     kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups(made))
+    monkeypatch.setattr(simhash, "KEY_ROWS", 16)  # as if there were far more texts: keys of 18 bits
+    assert simhash.key_plan(len(made))[0] == 18
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups(made))
+
+
+def test_keys_grow_with_the_rows_and_keep_their_recall():
+    assert simhash.key_plan(1) == simhash.key_plan(simhash.KEY_ROWS) == (14, 64)
+    for rows in (1 << 21, 1 << 26, 1 << 33):
+        bits, tables = simhash.key_plan(rows)
+        assert rows / 2**bits <= simhash.KEY_ROWS / 2**14 and (1 - 0.85**bits) ** tables <= 0.001
+
+
+@pytest.mark.parametrize("least", [0.3, 0.55, 0.8])
+def test_the_exact_way_finds_every_pair_of_any_similarity(spark, least, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    monkeypatch.setattr(simhash, "TILE_SETS", 5)
+    made = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))]
+        made.append(words)
+        for k in range(rng.randint(0, 4)):
+            words = words.copy()
+            for _ in range(k):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            made.append(words)
+    made = [" ".join(w) for w in made] + ["", "one", "one"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = simhash.one_of_each_group(df, least=least, exact=True)
+    assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups(made, least))
+    if least < 0.8:
+        with pytest.raises(ValueError, match="exact"):
+            simhash.one_of_each_group(df, least=least)
 
 
 def test_components_of_long_chains_and_hubs(spark):
