@@ -230,20 +230,24 @@ def _joined(docs: DataFrame, id: str, text: str, width: int, gram: int, keep: li
     """
     rows = docs.select(solid_id(id).alias("doc"), quoted(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(quoted(c) for c in keep)).alias("_row"))
     again = saved(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
-    if again.isEmpty():
+    repeated = not again.isEmpty()
+    if not repeated:
         rows = rows.withColumn("ord", F.lit(0).cast("long"))
     else:
         rows = rows.join(again.withColumn("again", F.lit(True)), "doc", "left").withColumn("ord", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
     node = ["doc", "ord"]
     rows = rows.select(*node, "text", "_row")
     texts = rows.select(*node, "text")
+    if repeated:
+        texts = texts.dropDuplicates(node)  # rows of one id and text have the same places: they are looked for once, and each row gets them
     shared = texts.mapInArrow(_scan(width, gram, False), "low long").groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low", F.when(F.col("n") >= HOT_ROWS, _HOT).otherwise(0).cast("long").alias("hot"))
     shared = saved(shared, "shared")  # a plain side, so that AQE can split the join where a hash is hot
     places = texts.mapInArrow(_scan(width, gram, True), "low long, doc long, ord long, place long").join(shared, "low")
     places = places.groupBy(*node).agg(F.collect_list(F.col("place").bitwiseOR(F.col("hot"))).alias("places"))
     zip_schema = StructType([*rows.select(*node).schema, StructField("zip", BinaryType()), StructField("size", LongType()), rows.schema["_row"]])
     zipped = rows.mapInArrow(_zip, zip_schema).join(places, node, "left").select(*node, "zip", "size", "_row", "places")
-    packed = zipped.mapInArrow(_pack(width, gram), "low long, packed binary, doc long, ord long, place long")
+    once = zipped.dropDuplicates(node) if repeated else zipped
+    packed = once.mapInArrow(_pack(width, gram), "low long, packed binary, doc long, ord long, place long")
     earliest = F.min(F.struct(*node, "place")).alias("at")
     folded = packed.groupBy("low", "packed").agg(earliest).select("low", "packed", "at.*")
     hot = F.col("place").bitwiseAND(F.lit(_HOT)) > 0
