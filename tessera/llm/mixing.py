@@ -88,7 +88,8 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
 def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """id, source, n_tokens, weight, pass, block, position (in the block, from 0): a row for each copy in the mix."""
     mix = mix or Mix()
-    rows = docs.select(quoted(id).alias("_id"), quoted(source).cast("string").alias("_source"), n_words(quoted(text)).alias("n_tokens"))
+    key = F.coalesce(quoted(id).cast("string"), F.md5(quoted(text).cast("string")), F.lit(""))  # rows without an id are dealt by their texts
+    rows = docs.select(quoted(id).alias("_id"), quoted(source).cast("string").alias("_source"), n_words(quoted(text)).alias("n_tokens"), key.alias("_key"))
     rows = saved(rows, "tokens")
     totals = rows.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     totals = saved(totals, "sources")
@@ -105,7 +106,7 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str
     quotas = quotas.select("_source", "tokens", "weight", "quota", "passes")
     tagged = rows.withColumn("_s", F.coalesce("_source", F.lit("\0null"))).join(quotas.withColumn("_s", F.coalesce("_source", F.lit("\0null"))).drop("_source"), "_s")
     copies = tagged.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("pass").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("pass").cast("string"), "_key"))
     copies = copies.withColumn("_order", order).withColumn("_part", F.substring("_order", 1, PART_DIGITS))
     parts = copies.groupBy("_s", "pass", "_part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.partitionBy("_s", "pass").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +116,7 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id: str = "doc_id", text: str
     taken = placed.where((F.col("_before") < F.col("quota")) | (F.col("tokens") == 0))
     block = F.when(F.col("quota") > 0, F.least(F.lit(blocks - 1), F.floor(F.col("_before") * F.lit(blocks) / F.col("quota")))).otherwise(F.floor(F.conv("_part", 16, 10).cast("long") * blocks / 16**PART_DIGITS)).cast("long")
     taken = taken.withColumn("block", block)
-    mark = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("block").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("pass").cast("string")))
+    mark = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("block").cast("string"), "_key", F.col("pass").cast("string")))
     taken = saved(taken.withColumn("_mark", mark).withColumn("_seat", F.substring("_mark", 1, SEAT_DIGITS)).select("_id", "_source", "n_tokens", "weight", "pass", "block", "_mark", "_seat"), "taken")
     seats = taken.groupBy("block", "_seat").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("block").orderBy("_seat").rowsBetween(Window.unboundedPreceding, -1)
