@@ -220,18 +220,26 @@ def overlap(item: list[str], text: list[str], start: int, shift: int, least_word
 FOUND = "doc long, mark long, item long, item_words int, overlap_words int, equal_words int, start_word int, end_word int"
 
 
+#: Items whose words a task keeps at once.
+ITEMS_HELD = 4096
+
+
 def _verify(least_words: int, least_match: float):
-    """(doc, mark, item, shift, start, words, item_words) -> FOUND, a row for each diagonal whose overlap counts."""
+    """(doc, mark, item, shifts, start, words, item_words) -> FOUND, the best overlap that counts of an item in a piece of a text."""
 
     def run(batches):
+        items: dict[int, list[str]] = {}
         for batch in batches:
-            rows, items, last, have = [], {}, None, []
-            for d, m, i, s, at, text, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, last, have = [], None, []
+            for d, m, i, shifts, at, text, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text != last:
                     last, have = text, text.split(" ")
+                if len(items) > ITEMS_HELD:
+                    items.clear()
                 item = items[i] = items.get(i) or words.split(" ")
-                if found := overlap(item, have, at, s, least_words, least_match):
-                    rows.append((d, m, i, len(item), *found))
+                found = [x for s in shifts if (x := overlap(item, have, at, s, least_words, least_match))]
+                if found:
+                    rows.append((d, m, i, len(item), *max(found, key=lambda x: (x[1], x[0], x[2], x[3]))))
             kinds = [pa.int64()] * 3 + [pa.int32()] * 5
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in FOUND.split(", ")])
@@ -261,9 +269,10 @@ def contaminated(
     hits = saved(rows.mapInArrow(_scan(list(masks), table, filter_bits, longest), HITS), "hits")
     place = ["doc", "mark", "piece"]
     each = hits.select(*place, F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(*place, F.col("x.hashes").alias("h"), F.col("x.places").alias("at"))
-    diagonals = each.join(seeds, "h").select(*place, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    diagonals = each.join(seeds, "h").select(*place, "item", (F.col("at") - F.col("item_at")).alias("shift"))
+    diagonals = diagonals.groupBy(*place, "item").agg(F.collect_set("shift").alias("shifts"))  # a piece has fewer than its words and the item's; its text is joined once an item
     laid = diagonals.join(hits.select(*place, "start", F.col("words").alias("text")).dropDuplicates(place), place).join(items.select("item", "words"), "item")
-    found = laid.select("doc", "mark", "item", "shift", "start", "text", "words").mapInArrow(_verify(least_words, least_match), FOUND)
+    found = laid.select("doc", "mark", "item", "shifts", "start", "text", "words").mapInArrow(_verify(least_words, least_match), FOUND)
     best = found.groupBy("doc", "mark", "item", "item_words").agg(F.max(F.struct("equal_words", "overlap_words", "start_word", "end_word")).alias("b"))
     return best.join(items.select("item", "same_items"), "item").select("doc", "mark", F.when(F.col("item") != NO_ID, F.col("item")).alias("item_id"), "item_words", "same_items", "b.*")
 

@@ -454,3 +454,16 @@ def test_pipeline_against_brute_force(spark, tmp_path, rows):
     mix = corpus_pipeline.run(spark, folder).collect()
     want = mixing.mixed(spark.createDataFrame([(i, t, rows[i][3]) for i, t in left.items()], "doc_id long, text string, source string")).collect()
     assert sorted(map(repr, mix)) == sorted(map(repr, want)) and {r.doc_id for r in mix} <= set(left)
+
+
+def test_hot_items_ids_and_repeated_rows_stay_linear(spark):
+    """An item of one common word in long texts, rows without ids in many parts, and one row 2,000 times."""
+    texts = [(i, " ".join(f"the x{i} y{k} z{k % 7}" for k in range(2000))) for i in range(6)]
+    found = decontaminate.contamination_report(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, "the"), (2, "the x3")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted([(i, 1) for i in range(6)] + [(3, 2)])
+    null_ids = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mixed(null_ids)
+    assert mixed.count() == mixed.select("block", "position").distinct().count() > 0
+    same = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(" ".join(f"w{k}" for k in range(300))).alias("text"))
+    report = substring_dedup.removal_report(same)
+    assert report.groupBy("n_words", "n_removed").count().collect()[0][:] == (300, 0, 2000)
