@@ -223,13 +223,15 @@ class File:
         parts = [self.look(p) for p in parts] if isinstance(parts, list) else [parts]
         return b"\n".join(_decoded(p, self.look) for p in parts if isinstance(p, Stream))
 
-    def reader(self, font) -> tuple[int, dict[int, str]]:
-        """Bytes of a code, and the texts of codes."""
+    def reader(self, font) -> tuple[int, dict[int, str] | None]:
+        """Bytes of a code, and the texts of codes; None: codes are UTF-16 (the predefined character maps that say so)."""
         font = self.look(font)
         if not isinstance(font, dict):
             return 1, {}
         width, texts = 2 if font.get("Subtype") == "Type0" else 1, {}
         encoding = self.look(font.get("Encoding"))
+        if width == 2 and isinstance(encoding, Name) and encoding.endswith(("UTF16-H", "UTF16-V")) and "ToUnicode" not in font:
+            return width, None
         code = 0
         for x in (self.look(encoding.get("Differences")) or []) if isinstance(encoding, dict) else []:
             if isinstance(x, Name):
@@ -315,7 +317,9 @@ def shown(file: File, content: bytes, resources: dict, base: tuple = _ONE, depth
             parts, (width, texts) = given[-1] if isinstance(given[-1], list) else [given[-1]], state[1]
             said = []
             for p in parts:
-                if isinstance(p, bytes):
+                if isinstance(p, bytes) and texts is None:
+                    said.append(p.decode("utf-16-be", "replace"))
+                elif isinstance(p, bytes):
                     codes = [int.from_bytes(p[i : i + width], "big") for i in range(0, len(p), width)]
                     said.append("".join(texts[c] if c in texts else bytes([c]).decode("cp1252", "replace") if c < 256 and width == 1 else "" for c in codes))
                 elif isinstance(p, (int, float)) and p < -GAP and said:
