@@ -153,12 +153,14 @@ def no_soft_hyphens(x: Column) -> Column:
 
 def join_lines(lines: Column) -> Column:
     """Ordered lines as one text: a hyphen at a line's end is dropped with its break, but for the last line."""
-    n = F.size(lines)
-    pieces = F.transform(
-        lines,
-        lambda x, i: F.when(F.trim(x) == "", "").when(F.rtrim(x).endswith("-") & (i < n - 1), F.regexp_replace(F.trim(x), "-$", "")).otherwise(F.concat(F.trim(x), F.lit(" "))),
-    )
-    return F.trim(F.array_join(pieces, ""))
+
+    def joined(held: Column) -> Column:
+        """As a function of a bound variable, so that the lines are computed once and not for each of them."""
+        last = F.size(held) - 1
+        piece = lambda x, i: F.when(F.trim(x) == "", "").when(F.rtrim(x).endswith("-") & (i < last), F.regexp_replace(F.trim(x), "-$", "")).otherwise(F.concat(F.trim(x), F.lit(" ")))
+        return F.trim(F.array_join(F.transform(held, piece), ""))
+
+    return F.transform(F.array(lines), joined)[0]
 
 
 def n_tokens(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.patterns import SECTION_HEADER, UNNUMBERED
 from ..operators import documents as dc
 from ..operators import fuzzy, metrics, postings, ranking, vectors
 from ..sources import io
@@ -37,11 +38,15 @@ def lines_range_text(spark, sf_dir):
     return dc.line_texts(wanted, rows, [])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'concept' || doc_id || ' is multi-' ELSE 'con cept' || doc_id || ' is multi-' END AS text FROM documents")
+@query(
+    """WITH n AS (SELECT doc_id, text, greatest(length(text) - 1, 0) // 40 AS last FROM documents), c AS (SELECT doc_id, last, unnest(range(last + 1)) AS i, text FROM n)
+  SELECT doc_id, md5(trim(string_agg(CASE WHEN i < last THEN ltrim(text[40 * i + 1:40 * i + 40]) ELSE trim(text[40 * i + 1:]) END, '' ORDER BY i))) AS text_md5 FROM c GROUP BY doc_id"""
+)
 def dehyphenate(spark, sf_dir):
-    first = F.when(F.col("doc_id") % 2 == 0, "con-").otherwise("con")
-    rows = lens.table(spark, sf_dir, "documents").select("doc_id", F.array(first, F.concat(F.lit("cept"), F.col("doc_id").cast("string"), F.lit(" is")), F.lit(""), F.lit("multi-")).alias("l"))
-    return rows.select("doc_id", tx.join_lines(F.col("l")).alias("text"))
+    """Whole texts broken by hyphens into lines of forty letters, and joined again."""
+    parts = F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))
+    lines = F.transform(F.array(parts), lambda held: F.transform(held, lambda x, i: F.when(i < F.size(held) - 1, F.concat(x, F.lit("-"))).otherwise(x)))[0]
+    return lens.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.join_lines(lines)).alias("text_md5"))
 
 
 @query(f"WITH {LENS} SELECT d.doc_id AS paper_id, p.paragraph_id FROM documents d JOIN paragraphs p ON p.paper_id = d.doc_id AND p.start_line <= d.doc_id % 7 + 4 AND p.end_line >= d.doc_id % 7 + 1")
@@ -69,23 +74,26 @@ def section_tree_paragraphs(spark, sf_dir):
     return dc.section_tree_paragraphs(wanted, lens.paragraphs(spark, sf_dir), lens.sections(spark, sf_dir))
 
 
-_HEADED = """headed AS (SELECT paper_id, line_no, CASE WHEN line_no = 1 THEN 'Abstract' WHEN line_no = 3 THEN '1 Introduction' WHEN line_no = 5 THEN '1.1 Setup' WHEN line_no = 7 THEN '2 Method' WHEN line_no = 9 THEN 'Appendix A' WHEN line_no = 11 THEN 'Limitations' ELSE '-' END AS text FROM lines)"""
+_HEADS = ("Abstract", "1 Introduction", "1.1 Setup", "2 Method", "Appendix A", "Limitations")
+_HEADED = f"""headed AS (SELECT paper_id, 2 * line_no AS line_no, text FROM lines UNION ALL SELECT paper_id, 2 * line_no - 1, [{", ".join(f"'{h}'" for h in _HEADS)}][line_no] FROM lines WHERE line_no <= {len(_HEADS)}),
+  m AS (SELECT paper_id, line_no, trim(text) AS t, {", ".join(f"regexp_extract(trim(text), '{SECTION_HEADER}', {i}) AS {c}" for i, c in enumerate(("num", "name", "app", "app_name"), 1))} FROM headed),
+  w AS (SELECT *, max(line_no) OVER p AS last_line, max(CASE WHEN num <> '' OR app <> '' THEN line_no END) OVER p AS last_head FROM m WINDOW p AS (PARTITION BY paper_id))"""
 
 
 @query(
     f"""WITH {LENS}, {_HEADED}, heads AS (
-  SELECT paper_id, CASE line_no WHEN 1 THEN '0' WHEN 3 THEN '1' WHEN 5 THEN '1.1' WHEN 7 THEN '2' WHEN 9 THEN 'Appendix A' ELSE 'limitations' END AS number,
-    CASE line_no WHEN 1 THEN 'Abstract' WHEN 3 THEN 'Introduction' WHEN 5 THEN 'Setup' WHEN 7 THEN 'Method' WHEN 9 THEN 'Appendix A' ELSE 'Limitations' END AS name,
-    CASE line_no WHEN 1 THEN 0 WHEN 5 THEN 2 ELSE 1 END AS level, line_no AS start_line, max(line_no) OVER (PARTITION BY paper_id) AS here
-  FROM headed WHERE line_no IN (1, 3, 5, 7, 9, 11)),
-  ends AS (SELECT paper_id, max(line_no) AS last_line FROM lines GROUP BY paper_id),
-  cut AS (SELECT h.paper_id, h.number, h.name, h.level, h.start_line, min(o.start_line) AS next FROM heads h LEFT JOIN heads o ON o.paper_id = h.paper_id AND o.start_line > h.start_line AND o.level > 0 AND (h.level = 0 OR o.level <= h.level) GROUP BY ALL)
-  SELECT c.paper_id, number, name, CAST(level AS BIGINT) AS level, start_line, greatest(start_line, coalesce(next - 1, last_line)) AS end_line FROM cut c JOIN ends USING (paper_id)"""
+  SELECT paper_id, CASE WHEN num <> '' THEN num WHEN app <> '' THEN 'Appendix ' || app ELSE replace(lower(t), ' ', '_') END AS number,
+    CASE WHEN num <> '' THEN trim(name) WHEN app <> '' THEN coalesce(nullif(trim(app_name), ''), 'Appendix ' || app) ELSE t END AS name,
+    CASE WHEN num <> '' THEN len(string_split(num, '.')) ELSE 1 END AS level, line_no AS start_line, last_line FROM w WHERE num <> '' OR app <> '' OR (regexp_matches(t, '{UNNUMBERED}') AND line_no > coalesce(last_head, -1))
+  UNION ALL SELECT paper_id, '0', 'Abstract', 0, min(line_no), any_value(last_line) FROM w WHERE lower(t) = 'abstract' GROUP BY paper_id),
+  cut AS (SELECT h.paper_id, h.number, h.name, h.level, h.start_line, h.last_line, min(o.start_line) AS next FROM heads h LEFT JOIN heads o ON o.paper_id = h.paper_id AND o.start_line > h.start_line AND o.level > 0 AND (h.level = 0 OR o.level <= h.level) GROUP BY ALL)
+  SELECT paper_id, number, name, CAST(level AS BIGINT) AS level, start_line, CASE WHEN level = 0 THEN coalesce(next - 1, last_line) ELSE greatest(start_line, coalesce(next - 1, last_line)) END AS end_line FROM cut"""
 )
 def section_detect(spark, sf_dir):
-    n = F.col("line_no")
-    text = F.when(n == 1, "Abstract").when(n == 3, "1 Introduction").when(n == 5, "1.1 Setup").when(n == 7, "2 Method").when(n == 9, "Appendix A").when(n == 11, "Limitations").otherwise("-")
-    return dc.sections_of(lens.lines(spark, sf_dir).withColumn("text", text)).withColumn("level", F.col("level").cast("long"))
+    """Headings between the given lines of a text, found among all of them."""
+    rows = lens.lines(spark, sf_dir)
+    heads = rows.where(F.col("line_no") <= len(_HEADS)).select("paper_id", (2 * F.col("line_no") - 1).alias("line_no"), F.element_at(F.array(*map(F.lit, _HEADS)), F.col("line_no").cast("int")).alias("text"))
+    return dc.sections_of(rows.withColumn("line_no", 2 * F.col("line_no")).unionByName(heads)).withColumn("level", F.col("level").cast("long"))
 
 
 @query(

@@ -21,14 +21,15 @@ def on_figures_and_tables(queries: DataFrame) -> DataFrame:
 
 
 def scored(queries: DataFrame, candidates: DataFrame, corpus: list[str], query: list[str], model: str, done: DataFrame | None = None) -> DataFrame:
-    """(corpus, query, cand_id, score, rank) by a registered scorer; queries in done are skipped.
+    """(corpus, query, cand_id, score, rank, error) by a registered scorer; queries in done are skipped.
 
+    A pair without an answer has the score of no label and its error, by which it is told from an answer that names none.
     Every candidate of a query's corpus is one prompt, so the pairs are the work asked for.
     """
     todo = remaining(queries, done, [*corpus, *query]) if done is not None else queries
     pairs = todo.withColumnRenamed("text", "_q").join(candidates, corpus).withColumn("prompt", providers.pointwise_prompt(F.col("_q"), F.col("text")))
     out = providers.answered(pairs.select(*corpus, *query, "cand_id", "ord", "prompt"), "prompt", providers.scorer(model), "yes double, no double")
-    return ranking.ranked(out.withColumn("score", ranking.yes_probability(F.col("yes"), F.col("no"))).drop("yes", "no", "error", "prompt"), [*corpus, *query])
+    return ranking.ranked(out.withColumn("score", ranking.yes_probability(F.col("yes"), F.col("no"))).drop("yes", "no", "prompt"), [*corpus, *query])
 
 
 def decision(logprobs: Column, yes: tuple[str, ...] = ("A",), no: tuple[str, ...] = ("B",)) -> Column:
