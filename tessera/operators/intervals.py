@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,44 @@ def place_of(spans: Column, point: Column) -> Column:
     return F.array_min(at)
 
 
+#: Widths of bins as powers of two. An interval has the first that is not narrower than itself, so it touches two of its bins at most.
+LEVELS = (3, 7, 11, 15, 20, 26, 62)
+
+
+def _binned(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
+    """df with a row for each bin that an interval touches, at its own level and all wider ones; intervals with null or negative ends have none."""
+    low, high = F.least(*span).cast("long"), F.greatest(*span).cast("long")
+    own = F.lit(LEVELS[-1])
+    for k in reversed(LEVELS[:-1]):
+        own = F.when(high - low < 1 << k, k).otherwise(own)
+    bins = lambda k: F.array_distinct(F.array(F.struct(F.lit(k).alias("_level"), F.shiftright(low, k).alias("_bin")), F.struct(F.lit(k).alias("_level"), F.shiftright(high, k).alias("_bin"))))
+    every = F.flatten(F.filter(F.array(*(F.when(own <= k, bins(k)) for k in LEVELS)), lambda x: x.isNotNull()))
+    known = F.coalesce((F.col(span[0]) >= 0) & (F.col(span[1]) >= 0), F.lit(False))
+    made = df.where(known).withColumns({f"_{side}_low": low, f"_{side}_own": own})
+    return made.select("*", F.explode(every).alias("_at")).select(*made.columns, "_at.*")
+
+
+def _meeting(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
+    """Pairs with equal keys that touch a bin of the wider one's level, each once (in the first bin that both touch).
+
+    A key of any number of intervals is spread over its bins; a row is copied twice a level at most.
+    """
+    pairs = _binned(a, a_span, "a").join(_binned(b, b_span, "b"), [*keys, "_level", "_bin"])
+    level = F.greatest("_a_own", "_b_own")
+    first = reduce(lambda out, k: F.when(F.col("_level") == k, F.shiftright(F.greatest("_a_low", "_b_low"), k)).otherwise(out), LEVELS, F.lit(None).cast("long"))
+    return pairs.where((F.col("_level") == level) & (F.col("_bin") == first)).drop("_level", "_bin", "_a_low", "_b_low", "_a_own", "_b_own")
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
-    """Pairs with equal keys whose closed intervals meet; null or -1 ends meet nothing."""
+    """Pairs with equal keys whose closed intervals meet; null or -1 ends meet nothing. Joined by range bins."""
     a0, a1, b0, b1 = (F.col(c) for c in (*a_span, *b_span))
-    known = (b0 >= 0) & (b1 >= 0) & (a0 >= 0) & (a1 >= 0)
-    return a.join(b, keys).where(known & (b0 <= a1) & (a0 <= b1))
+    return _meeting(a, b, keys, a_span, b_span).where((b0 <= a1) & (a0 <= b1))
 
 
 def containing(inner: DataFrame, outer: DataFrame, keys: list[str], inner_span: tuple[str, str], outer_span: tuple[str, str]) -> DataFrame:
-    """Pairs with equal keys where the outer closed interval contains the inner one."""
+    """Pairs with equal keys where the outer closed interval contains the inner one. Joined by range bins."""
     i0, i1, o0, o1 = (F.col(c) for c in (*inner_span, *outer_span))
-    return inner.join(outer, keys).where((o0 >= 0) & (o1 >= 0) & (i0 >= 0) & (o0 <= i0) & (i1 <= o1))
+    return _meeting(inner, outer, keys, inner_span, outer_span).where((o0 <= i0) & (i1 <= o1))
 
 
 def window_text(sentences: Column, place: Column, around: int) -> Column:

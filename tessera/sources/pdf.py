@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.documents import numbered_lines, without_line_numbers
+from ..storage import saved
 
 # What counts as a line number, and the mark of an anonymous author as it is printed.
 LINE_NUMBER = re.compile(r"[0-9]{3,4}")
@@ -376,7 +377,7 @@ def pdf_lines(files: DataFrame, key: str = "path", strict: bool = True) -> DataF
 
     strict: a file that cannot be read or has no line numbers raises when it is reached; else it gives no rows.
     """
-    ops = text_operations(files, key)
+    ops = saved(text_operations(files, key), "operations")  # files are parsed once
     rows = printed_rows(ops, key).select(F.col(key).alias("paper_id"), "ord", "text")
     lines = numbered_lines(rows).withColumnRenamed("paper_id", key)
     if not strict:
@@ -389,6 +390,7 @@ def pdf_lines(files: DataFrame, key: str = "path", strict: bool = True) -> DataF
 
 def unnumbered_operations(operations: DataFrame, key: str = "path") -> DataFrame:
     """Text operations without running line numbers and the author's mark; errors stay."""
+    operations = saved(operations, "operations")
     bare = operations.where("error is null").select(F.col(key).alias("paper_id"), "ord", F.col("bare").alias("text"))
     kept = without_line_numbers(bare).select(F.col("paper_id").alias(key), "ord")
     return operations.join(kept, [key, "ord"], "left_semi").unionByName(operations.where("error is not null")).select(*operations.columns)
