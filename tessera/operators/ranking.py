@@ -47,25 +47,28 @@ def decisive(scores: DataFrame, query: list[str], k: int) -> DataFrame:
     return top.unionByName(placed.where(F.col("rank") > k).select(*query, "cand_id", F.lit(True).alias("gold"), "rank"))
 
 
-def holding(candidates: DataFrame, passages: DataFrame, id: str, postings: DataFrame | None = None) -> DataFrame:
-    """(id, cand_id) of the candidates(cand_id, text) that hold a passage(id, text) as it is.
+def holding(candidates: DataFrame, passages: DataFrame, id: str, postings: DataFrame | None = None, corpus: list[str] | None = None) -> DataFrame:
+    """(corpus, id, cand_id) of the candidates(corpus, cand_id, text) that hold a passage(corpus, id, text) of their corpus as it is.
 
     A passage's inner words are whole words of a text that holds it, so pairs meet under the one
     that fewest candidates have. The words of a passage of one or two may be parts of words: they are looked for in
     the list of different words. A passage without words meets every candidate. postings: as postings.count_terms gives them.
     """
-    words = candidates.select("cand_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")) if postings is None else postings.where("term IS NOT NULL").select("cand_id", "term")
-    inner = passages.select(id, F.col("text").alias("_passage"), terms(F.col("text")).alias("t"))
-    long = inner.where(F.size("t") > 2).select(id, "_passage", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
-    n = words.join(long.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    seed = long.join(n, "term", "left").groupBy(id, "_passage").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    part = inner.where(F.size("t").isin(1, 2)).select(id, "_passage", F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("_part"))
-    met = words.select("term").distinct().join(part, F.col("term").contains(F.col("_part"))).select(id, "_passage", "term")
-    pairs = words.join(seed.unionByName(met), "term").select(id, "_passage", "cand_id").distinct()
-    texts = candidates.select("cand_id", "text")
-    held = pairs.join(texts, "cand_id").where(F.col("text").contains(F.col("_passage"))).select(id, "cand_id")
-    blank = inner.where(F.size("t") == 0).select(id, "_passage")
-    return held.unionByName(texts.join(blank, F.col("text").contains(F.col("_passage"))).select(id, "cand_id")).distinct()
+    corpus = corpus or []
+    words = candidates.select(*corpus, "cand_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")) if postings is None else postings.where("term IS NOT NULL").select(*corpus, "cand_id", "term")
+    inner = passages.select(*corpus, id, F.col("text").alias("_passage"), terms(F.col("text")).alias("t"))
+    long = inner.where(F.size("t") > 2).select(*corpus, id, "_passage", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    n = words.join(long.select(*corpus, "term").distinct(), [*corpus, "term"], "left_semi").groupBy(*corpus, "term").agg(F.count("*").alias("n"))
+    seed = long.join(n, [*corpus, "term"], "left").groupBy(*corpus, id, "_passage").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    part = inner.where(F.size("t").isin(1, 2)).select(*corpus, id, "_passage", F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("_part"))
+    known = words.select(*corpus, "term").distinct()
+    met = (known.join(part, corpus) if corpus else known.join(part, F.col("term").contains(F.col("_part")))).where(F.col("term").contains(F.col("_part"))).select(*corpus, id, "_passage", "term")
+    pairs = words.join(seed.unionByName(met), [*corpus, "term"]).select(*corpus, id, "_passage", "cand_id").distinct()
+    texts = candidates.select(*corpus, "cand_id", "text")
+    held = pairs.join(texts, [*corpus, "cand_id"]).where(F.col("text").contains(F.col("_passage"))).select(*corpus, id, "cand_id")
+    blank = inner.where(F.size("t") == 0).select(*corpus, id, "_passage")
+    empty = (texts.join(blank, corpus) if corpus else texts.join(blank, F.col("text").contains(F.col("_passage")))).where(F.col("text").contains(F.col("_passage")))
+    return held.unionByName(empty.select(*corpus, id, "cand_id")).distinct()
 
 
 def bm25(queries: DataFrame, postings: DataFrame, corpus: list[str], query: list[str], k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:

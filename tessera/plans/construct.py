@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.sentences import sentences
-from ..operators import fuzzy, intervals, providers, threads
+from ..operators import fuzzy, intervals, providers, ranking, threads
 from ..storage import saved
 
 
@@ -85,11 +85,17 @@ def rebuttal_window(texts, sentence, around: int = 2):
 def coverage(notes: DataFrame, retained: DataFrame, fields: DataFrame) -> DataFrame:
     """fields(paper_id, note_id, text): review spans; retained(paper_id, query): how many are in the retained queries.
 
-    A span counts as included if it equals, holds or lies in a retained query of its paper.
+    A span counts as included if it equals, holds or lies in a retained query of its paper. Different texts of a
+    paper meet under a rare word that both have, not all with all.
     """
     spans = fields.withColumn("_n", tx.collapse(F.col("text"))).where("_n <> ''")
-    kept = retained.select("paper_id", tx.collapse(F.col("query")).alias("_q")).where("_q <> ''").distinct()
-    hit = spans.join(kept, (spans.paper_id == kept.paper_id) & fuzzy.contains_either(F.col("_n"), F.col("_q")), "left_semi").select("paper_id", "note_id", "_n").distinct().withColumn("included", F.lit(True))
+    named = lambda rows, id: rows.select("paper_id", F.sha2("text", 256).alias(id), "text").distinct()
+    said = named(spans.select("paper_id", F.col("_n").alias("text")), "cand_id")
+    kept = named(retained.select("paper_id", tx.collapse(F.col("query")).alias("text")).where("text <> ''"), "cand_id")
+    held = ranking.holding(said, kept.withColumnRenamed("cand_id", "id"), "id", corpus=["paper_id"]).select("paper_id", "cand_id")
+    held = held.unionByName(ranking.holding(kept, said.withColumnRenamed("cand_id", "id"), "id", corpus=["paper_id"]).select("paper_id", F.col("id").alias("cand_id")))
+    texts = said.join(held.distinct(), ["paper_id", "cand_id"], "left_semi").select("paper_id", F.col("text").alias("_n"))
+    hit = spans.join(texts, ["paper_id", "_n"], "left_semi").select("paper_id", "note_id", "_n").distinct().withColumn("included", F.lit(True))
     answered = threads.with_reply_from(notes, "Authors").select("paper_id", "note_id").distinct().withColumn("answered", F.lit(True))
     marked = spans.join(hit, ["paper_id", "note_id", "_n"], "left").join(answered, ["paper_id", "note_id"], "left")
     marked = marked.withColumns({"included": F.coalesce("included", F.lit(False)), "answered": F.coalesce("answered", F.lit(False)), "refers": F.size(tx.mentions(F.col("text"))) > 0})
