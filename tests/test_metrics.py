@@ -3,6 +3,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import postings, metrics, ranking, sampling
@@ -76,7 +77,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "v" / "bad.json").write_text("{nope")
     assert {r.note_id: r.comment for r in io.reviews(spark, str(paper / "reviews.json")).collect()} == {"r": '{"a":"x"}', "s": "text"}
     assert io.comments(spark, str(tmp_path / "v" / "*" / "comments.json")).first().comment == "hi"
-    assert io.comments(spark, str(tmp_path / "v" / "bad.json")).count() == 0
+    with pytest.raises(Exception, match="bad.json"):  # a file that is no JSON does not vanish
+        io.comments(spark, str(tmp_path / "v" / "bad.json")).collect()
+    (tmp_path / "v" / "blank.json").write_text(" \n")
+    assert io.comments(spark, str(tmp_path / "v" / "blank.json")).count() == 0  # an empty file has no notes
+    with pytest.raises(Exception, match="blank.json"):
+        io.dataset(spark, str(tmp_path / "v" / "blank.json")).collect()
     data = {"V": {"p": {"r": {"review": "a", "rebuttal": "b", "aligned": [{"rebuttal_sentence": "s", "review_spans": ["x"], "labels": None}]}, "e": {"review": "", "rebuttal": "", "aligned": []}}}}
     (tmp_path / "set.json").write_text(json.dumps(data))
     assert {(r.review_id, r.pos) for r in io.dataset(spark, str(tmp_path / "set.json")).collect()} == {("r", 0), ("e", None)}
