@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,21 +218,21 @@ def section_tree_paragraphs(wanted: DataFrame, paragraphs: DataFrame, sections:
 def aligned(paragraphs: DataFrame, lines: DataFrame, start: DataFrame, score: Callable[[str, str], float], at: float = 90, misses: int = 5, coverage: float = 0.35) -> DataFrame:
     """Greedy paragraph-to-line alignment of each paper, from the line in start(paper_id, line) on.
 
-    A paper is one group: its lines and paragraphs together are a document. score(a, b) is 0..100.
+    A paper is one row of arrays: its lines and paragraphs together are a document. score(a, b) is 0..100.
+    Python gets the normalised texts and returns a span a paragraph; the texts themselves stay in the JVM.
     """
-    schema = "paper_id string, paragraph_id int, section string, text string, start_line int, end_line int, status string"
 
-    def paper(key, pars: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, pars = rows.sort_values("line_no"), pars.sort_values("paragraph_id")
-        numbers, norm = rows.line_no.tolist(), rows.norm.tolist()
-        cursor = next((i for i, n in enumerate(numbers) if len(rows) and n >= rows.line.iloc[0]), 0)
+    def paper(pars: list[str], numbers: list[int], norm: list[str], begin: int | None) -> list[dict]:
+        cursor = next((i for i, n in enumerate(numbers) if n >= begin), 0)
         out = []
-        for p in pars.itertuples():
-            tokens = set(p.norm.split())
+        for text in pars:
+            tokens = set(text.split())
             need = 1 if len(tokens) < 30 else 2 if len(tokens) < 60 else 3
-            first, last, hits, missed, seen = None, None, 0, 0, set()
+            first, last, hits, missed, seen, known = None, None, 0, 0, set(), {}
             for i in range(cursor, len(norm)):
-                good = score(p.norm, norm[i]) >= at
+                if norm[i] not in known:  # equal lines are scored once a paragraph
+                    known[norm[i]] = score(text, norm[i]) >= at
+                good = known[norm[i]]
                 if first is None:
                     hits = hits + 1 if good else 0
                     if hits == need:
@@ -248,12 +248,20 @@ def aligned(paragraphs: DataFrame, lines: DataFrame, start: DataFrame, score: Ca
             state = "filled" if first is None else "matched" if len(seen & tokens) >= coverage * max(len(tokens), 1) else "weak_match"
             span = (numbers[first], numbers[last]) if state == "matched" else (-1, -1)
             cursor = last + 1 if state == "matched" else cursor
-            out.append((key[0], p.paragraph_id, p.section, p.text, *span, state))
-        return pd.DataFrame(out, columns=["paper_id", "paragraph_id", "section", "text", "start_line", "end_line", "status"])
-
-    left = paragraphs.select(F.col("paper_id").cast("string"), "paragraph_id", "section", "text", tx.plain(F.col("text")).alias("norm"))
-    right = lines.join(start, "paper_id").select(F.col("paper_id").cast("string"), "line_no", "line", tx.plain(F.col("text")).alias("norm"))
-    return left.groupBy("paper_id").cogroup(right.groupBy("paper_id")).applyInPandas(paper, schema)
+            out.append(dict(zip(("start_line", "end_line", "status"), (*span, state), strict=True)))
+        return out
+
+    @F.arrow_udf("array<struct<start_line:int,end_line:int,status:string>>")
+    def spans(pars: pa.Array, numbers: pa.Array, norm: pa.Array, begin: pa.Array) -> pa.Array:
+        made = [paper(*(x.as_py() or [] for x in row[:3]), row[3].as_py()) for row in zip(pars, numbers, norm, begin, strict=True)]
+        return pa.array(made, pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("status", pa.string())])))
+
+    norm = tx.plain(F.col("text")).alias("norm")
+    left = paragraphs.groupBy(F.col("paper_id").cast("string").alias("paper_id")).agg(F.array_sort(F.collect_list(F.struct("paragraph_id", "section", "text", norm))).alias("p"))
+    rows = lines.join(start, "paper_id").select(F.col("paper_id").cast("string"), "line_no", "line", norm)
+    right = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "norm"))).alias("l"), F.min_by("line", "line_no").alias("begin"))
+    placed = left.join(right, "paper_id", "left").withColumn("s", spans(F.col("p.norm"), F.col("l.line_no"), F.col("l.norm"), F.col("begin")))
+    return placed.select("paper_id", F.explode(F.arrays_zip("p", "s")).alias("x")).select("paper_id", F.col("x.p.paragraph_id").cast("int").alias("paragraph_id"), "x.p.section", "x.p.text", "x.s.*")
 
 
 def assembled(lines: DataFrame, paragraphs: DataFrame, sections: DataFrame, captions: DataFrame, meta: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import repeat
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +27,10 @@ def lcs(a: str, b: str, places: dict[str, int] | None = None) -> int:
     places = _places(a) if places is None else places
     full = (1 << len(a)) - 1
     row = full
-    for c in b:
-        u = row & places.get(c, 0)
-        row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
+    for held in map(places.get, b, repeat(0)):
+        u = row & held
+        row = row + u | row - u  # carries past the last place change none below it
+    return len(a) - (row & full).bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -34,20 +38,69 @@ def ratio(a: str, b: str) -> float:
     return 200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+#: Lengths of runs of letters that windows are judged by, and the hashed names that runs have.
+RUNS, RUN_NAMES = (4, 3), 1 << 16
+
+
+@lru_cache(maxsize=128)
+def _runs(text: str, size: int) -> np.ndarray:
+    """The hashed runs of so many letters of a text, by their starts."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    made = np.zeros(max(0, len(x) - size + 1), np.uint32)
+    for k in range(size):
+        made = made * np.uint32(0x9E3779B1) + x[k : k + len(made)]
+    return (made * np.uint32(0x85EBCA6B) >> 16).astype(np.uint16)
+
+
+def _hopeful(a: str, b: str, share: float) -> np.ndarray | None:
+    """Starts of b's windows (from 1 - |a| on) that may have 2 * lcs >= share * (|a| + |window|), in order; None for any.
+
+    No such window is lost. A letter of the window outside the common subsequence ends `size` of its runs at most, a gap in a
+    ends size - 1. The runs that are left are runs of a, so a window needs that many which a has; equal hashes let more through.
+    """
+    n, at = len(a), None
+    for size in RUNS:
+        factor = (2 * size - 1) * share / 2 - (size - 1)
+        if factor <= 0 or n < size:
+            continue
+        held = np.zeros(RUN_NAMES, bool)
+        held[_runs(a, size)] = True
+        total = np.concatenate([[0], np.cumsum(held[_runs(b, size)])])
+        least = share / (2 - share) * n  # letters of a window at the edge
+        if total[-1] < factor * (n + least) - size + 1 - 1e-6:
+            return np.zeros(0, np.int64)
+        at = np.arange(1 - n, len(b)) if at is None else at
+        low, high = np.maximum(at, 0), np.minimum(at + n, len(b))
+        last = len(total) - 1
+        inside = total[np.minimum(np.maximum(high - size + 1, low), last)] - total[np.minimum(low, last)]
+        at = at[(inside >= factor * (n + high - low) - size + 1 - 1e-6) & (high - low >= least - 1e-6)]
+        if not len(at):
+            break
+    return at
+
+
 def best_window(a: str, b: str, cutoff: float = 0.0) -> float:
     """The greatest ratio of the shorter string with any window of the longer, up to its length; 0 below the cutoff.
 
     A shift by one place changes the common subsequence by one at most, so windows that cannot
-    reach the best so far are skipped.
+    reach the best so far are skipped; so are those with too few of the shorter string's runs of letters to reach the cutoff.
     """
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    places = _places(a)
     n, best, i = len(a), max(cutoff - 1e-9, 0.0), 1 - len(a)
+    hopeful = _hopeful(a, b, best / 100)
+    if hopeful is not None and not len(hopeful):
+        return 0.0
+    places = _places(a)
     while i < len(b):
+        if hopeful is not None:
+            k = int(np.searchsorted(hopeful, i))
+            if k == len(hopeful):
+                break
+            i = int(hopeful[k])
         part = b[max(i, 0) : i + n]
         common = lcs(a, part, places)
         best = max(best, 200 * common / (n + len(part)))
