@@ -82,22 +82,43 @@ def rebuttal_window(texts, sentence, around: int = 2):
     return F.array_join(F.when(at > 0, F.slice(texts, first, at + around - first + 1)).otherwise(texts), " ")
 
 
+#: Different texts of a paper that are compared as one row; texts of larger papers meet under rare words.
+TEXTS_OF_A_PAPER = 64
+
+
+def _included(texts: DataFrame) -> DataFrame:
+    """(paper_id, id) of the asked texts that equal, hold or lie in a retained one of their paper: texts(paper_id, id, text, asked, retained), each once."""
+    n = texts.groupBy("paper_id").agg(F.count("*").alias("_texts"), F.count_if(F.col("asked") & ~F.col("retained")).alias("_open"))
+    open_papers = n.where("_open > 0 AND _open < _texts")
+    held = texts.where("asked AND retained").select("paper_id", "id")
+    few = texts.join(open_papers.where(F.col("_texts") <= TEXTS_OF_A_PAPER), "paper_id", "left_semi")
+    listed = lambda flag, x: F.collect_list(F.when(flag, x))
+    row = few.groupBy("paper_id").agg(listed(~F.col("retained"), F.struct("id", "text")).alias("a"), listed(F.col("retained"), F.col("text")).alias("b"))
+    met = F.filter("a", lambda x: F.exists("b", lambda q: x["text"].contains(q) | q.contains(x["text"])))
+    held = held.unionByName(row.select("paper_id", F.explode(met).alias("x")).select("paper_id", F.col("x.id").alias("id")))
+    many = texts.join(open_papers.where(F.col("_texts") > TEXTS_OF_A_PAPER), "paper_id", "left_semi")
+    said = many.where(~F.col("retained")).select("paper_id", F.col("id").alias("cand_id"), "text")
+    kept = many.where("retained").select("paper_id", F.col("id").alias("cand_id"), "text")
+    other = lambda rows: rows.withColumnRenamed("cand_id", "_id")
+    held = held.unionByName(ranking.holding(said, other(kept), "_id", corpus=["paper_id"]).select("paper_id", F.col("cand_id").alias("id")))
+    return held.unionByName(ranking.holding(kept, other(said), "_id", corpus=["paper_id"]).select("paper_id", F.col("_id").alias("id"))).distinct()
+
+
 def coverage(notes: DataFrame, retained: DataFrame, fields: DataFrame) -> DataFrame:
     """fields(paper_id, note_id, text): review spans; retained(paper_id, query): how many are in the retained queries.
 
-    A span counts as included if it equals, holds or lies in a retained query of its paper. Different texts of a
-    paper meet under a rare word that both have, not all with all.
+    A span counts as included if it equals, holds or lies in a retained query of its paper. A text is known by its
+    hash, so texts move twice: once to be found equal, once to their paper's row. Texts of a paper of very many
+    meet under a rare word that both have, not all with all.
     """
-    spans = fields.withColumn("_n", tx.collapse(F.col("text"))).where("_n <> ''")
-    named = lambda rows, id: rows.select("paper_id", F.sha2("text", 256).alias(id), "text").distinct()
-    said = named(spans.select("paper_id", F.col("_n").alias("text")), "cand_id")
-    kept = named(retained.select("paper_id", tx.collapse(F.col("query")).alias("text")).where("text <> ''"), "cand_id")
-    held = ranking.holding(said, kept.withColumnRenamed("cand_id", "id"), "id", corpus=["paper_id"]).select("paper_id", "cand_id")
-    held = held.unionByName(ranking.holding(kept, said.withColumnRenamed("cand_id", "id"), "id", corpus=["paper_id"]).select("paper_id", F.col("id").alias("cand_id")))
-    texts = said.join(held.distinct(), ["paper_id", "cand_id"], "left_semi").select("paper_id", F.col("text").alias("_n"))
-    hit = spans.join(texts, ["paper_id", "_n"], "left_semi").select("paper_id", "note_id", "_n").distinct().withColumn("included", F.lit(True))
+    named = lambda text: F.unhex(F.sha2(text, 256))
+    spans = fields.withColumn("_n", tx.collapse(F.col("text"))).where("_n <> ''").withColumn("_id", named("_n")).drop("_n")
+    texts = lambda rows, x, retained: rows.select("paper_id", tx.collapse(F.col(x)).alias("text"), F.lit(retained).alias("retained"))
+    every = texts(fields, "text", False).unionByName(texts(retained, "query", True)).where("paper_id IS NOT NULL AND text <> ''")
+    every = every.groupBy("paper_id", named("text").alias("id")).agg(F.first("text").alias("text"), F.bool_or(~F.col("retained")).alias("asked"), F.bool_or("retained").alias("retained"))
+    hit = _included(saved(every, "texts")).select("paper_id", F.col("id").alias("_id"), F.lit(True).alias("included"))
     answered = threads.with_reply_from(notes, "Authors").select("paper_id", "note_id").distinct().withColumn("answered", F.lit(True))
-    marked = spans.join(hit, ["paper_id", "note_id", "_n"], "left").join(answered, ["paper_id", "note_id"], "left")
+    marked = spans.join(hit, ["paper_id", "_id"], "left").join(answered, ["paper_id", "note_id"], "left")
     marked = marked.withColumns({"included": F.coalesce("included", F.lit(False)), "answered": F.coalesce("answered", F.lit(False)), "refers": F.size(tx.mentions(F.col("text"))) > 0})
     counts = marked.agg(
         F.count("*").alias("spans"), F.count_if("answered").alias("answered"), F.count_if("included").alias("included"), F.count_if(F.col("included") & F.col("answered")).alias("included_answered"),
