@@ -225,10 +225,8 @@ def dense_cosine_top10(spark, sf_dir):
 @query(f"WITH {_DENSE}, per AS (SELECT vec_id, max(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS hit_1, max(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS hit_10, coalesce(max(1.0 / rank), 0) AS rr FROM ranking WHERE ql = cl GROUP BY vec_id) SELECT count(*) AS n, round(avg(hit_1), 6) AS hit_1, round(avg(hit_10), 6) AS hit_10, round(avg(rr), 6) AS rr FROM per")
 def dense_recall_mrr(spark, sf_dir):
     asked, there = _dense(spark, sf_dir)
-    scores = vectors.scores(asked, there, ["vec_id"], skip="vec_id", digits=6).join(there.select("cand_id", "label"), "cand_id")
-    scores = scores.select("vec_id", "cand_id", "ord", "score", (F.col("gold_label") == F.col("label")).alias("gold"))
-    same = ranking.decisive(scores, ["vec_id"], 10).where("gold").select("vec_id", "rank")
-    return metrics.means(metrics.query_scores(same, ["vec_id"], [1, 10]), [], ["hit_1", "hit_10", "rr"])
+    first = vectors.first_ranks(asked, there, ["vec_id"], ("label", "gold_label"), skip="vec_id", digits=6)
+    return metrics.means(metrics.query_scores(first, ["vec_id"], [1, 10]), [], ["hit_1", "hit_10", "rr"])
 
 
 @query(
