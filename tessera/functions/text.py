@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import FLAGS, NEEDS, NO_DIGIT, NUM, PATTERNS, PREFIX, RANGE, SAFE_PREFIX, STAT_PREFIX
+from .patterns import BEGINS, FLAGS, NEEDS, NO_DIGIT, NUM, PATTERNS, PREFIX, RANGE, SAFE_PREFIX, STAT_PREFIX
 
 MENTION = "struct<start:int,end:int,kind:string,text:string>"
 
@@ -19,10 +19,13 @@ MENTION = "struct<start:int,end:int,kind:string,text:string>"
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """Matches of one pattern with offsets: one scan puts a mark around each, then every second part is a match.
 
-    Texts that lack what every match of the kind holds (NEEDS, a digit) are not scanned.
+    Texts that lack what every match of the kind holds (NEEDS, a digit) are not scanned; in others only places
+    where a match can begin (BEGINS) are tried.
     """
+    known = PATTERNS.get(kind) == pattern
+    tried = f"{FLAGS}(?={BEGINS[kind]})(?:{pattern.removeprefix(FLAGS)})" if known else pattern
     none = F.array().cast(f"array<{MENTION}>")
-    marked = F.regexp_replace(F.translate(text, "\x01", "\x03"), F.lit(pattern), F.lit("\x01$0\x01"))
+    marked = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit("\x03")), F.lit(tried), F.lit("\x01$0\x01"))
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
 
     def step(acc, x):
@@ -32,7 +35,7 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(F.split(marked, "\x01", -1), zero, step, lambda acc: acc["out"])
-    if PATTERNS.get(kind) != pattern:
+    if not known:
         return found
     folded = F.lower(F.upper(text))
     may = reduce(or_, (folded.contains(x) for x in NEEDS[kind]))

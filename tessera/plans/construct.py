@@ -20,7 +20,8 @@ def notes(reviews: DataFrame, comments: DataFrame) -> DataFrame:
 def contexts(rows: DataFrame, keys: list[str], text: str, around: int = 0, least_tokens: int = 7) -> DataFrame:
     """(keys, context, kind, mention, ord): references with their sentence (and neighbours), short contexts out, first-seen repeats only."""
     cut = rows.select(*keys, sentences(F.col(text)).alias("s"), tx.mentions(F.col(text)).alias("m"))
-    each = cut.select(*keys, "s", F.posexplode("m").alias("ord", "x")).withColumn("at", intervals.place_of(F.col("s"), F.col("x.start")))
+    each = cut.select(*keys, "s", F.posexplode_outer("m").alias("ord", "x"))  # outer: no filter on the array's size, which would find the references twice
+    each = each.withColumn("at", intervals.place_of(F.col("s"), F.col("x.start")))
     found = each.where("at is not null").select(*keys, intervals.window_text(F.col("s"), F.col("at"), around).alias("context"), F.col("x.kind").alias("kind"), F.col("x.text").alias("mention"), "ord")
     return found.where(tx.n_tokens(F.col("context")) >= least_tokens).groupBy(*keys, "context", "kind", "mention").agg(F.min("ord").alias("ord"))
 

@@ -32,7 +32,7 @@ _FOUND = f"""WITH {LENS}, found AS (
 
 @query(_FOUND + " SELECT doc_id, kind, mention, CAST(instr(t, mention) - 1 AS BIGINT) AS start_at, CAST(instr(t, mention) - 1 + length(mention) AS BIGINT) AS end_at FROM found")
 def mentions_with_offsets(spark, sf_dir):
-    rows = lens.referring(spark, sf_dir).select("doc_id", F.explode(tx.mentions(F.col("text"))).alias("m"))
+    rows = lens.referring(spark, sf_dir).select("doc_id", F.explode_outer(tx.mentions(F.col("text"))).alias("m")).where("m IS NOT NULL")  # outer: references are found once
     return rows.select("doc_id", F.col("m.kind").alias("kind"), F.col("m.text").alias("mention"), F.col("m.start").cast("long").alias("start_at"), F.col("m.end").cast("long").alias("end_at"))
 
 
