@@ -18,7 +18,8 @@ one_of_each_group links by the similarity of shingle sets itself, in two tiled s
 of several fixed choices (key_plan derives both numbers from the row count) and differ in CLOSE or fewer of the first FILTER_LANES lanes' bits are in one,
 and a tile returns a spanning forest. Inside a cluster, parts of TILE_SETS rows meet in tiles that
 hold their sets: all pairs within CLOSE_ALL bits of all lanes that are not linked yet are compared
-exactly. No list of pairs is made, and a link never depends on other rows.
+exactly. Parts of a large cluster meet its smallest id first, and each other only where that leaves
+rows outside the largest component. No list of pairs is made, and a link never depends on other rows.
 
 Edge cases: null and blank texts have fingerprint zero and link like others; a text shorter
 than a shingle is one shingle; a null id is never the smallest, and the component is null if no
@@ -201,10 +202,11 @@ def _link_tiles(near: int, radius: int, lanes: int):
 
 
 def _close_tiles(close: int, lanes: int):
-    """Edges that span the rows of a tile within close bits over the lanes."""
+    """Edges that span the rows of a tile within close bits over the lanes, each to the smallest id reached; rows of one id are one node."""
 
     def find(own: list[tuple[int, int]], key, t: pa.Table, few):
-        ids, fp = t.column("id").to_numpy(), _stacked(t, lanes)
+        ids, node = np.unique(t.column("id").to_numpy(), return_inverse=True)
+        fp = _stacked(t, lanes)
 
         def pairs():
             small, s = np.flatnonzero(few), 1
@@ -215,11 +217,11 @@ def _close_tiles(close: int, lanes: int):
                     break
                 i, j = i[same], j[same]
                 hit = _distance(fp, i, j) <= close
-                yield i[hit], j[hit]
+                yield node[i[hit]], node[j[hit]]
                 s += 1
             for a, b in own:
                 for i, j in _close_pairs(fp[a:b], close):
-                    yield a + i, a + j
+                    yield node[a + i], node[a + j]
 
         root = _forest(len(ids), pairs())
         at = np.flatnonzero(root != np.arange(len(ids)))
@@ -229,21 +231,29 @@ def _close_tiles(close: int, lanes: int):
 
 
 def _close_pairs(fp: np.ndarray, close: int):
-    n = len(fp)
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            apart = sum(np.bitwise_count(fp[a : a + BLOCK, k, None] ^ fp[None, b : b + BLOCK, k]).astype(np.int16) for k in range(fp.shape[1]))
-            i, j = np.nonzero(apart <= close)
-            i, j = i + a, j + b
-            yield i[i < j], j[i < j]
+    """Index pairs within close bits: all of a block; of more rows pairs that connect what all would, a row once reached meets only rows not reached."""
+    near = lambda i, j: sum(np.bitwise_count(fp[i, k, None] ^ fp[None, j, k]).astype(np.int16) for k in range(fp.shape[1])) <= close
+    left = np.arange(len(fp))
+    if len(fp) <= BLOCK:
+        i, j = np.nonzero(near(left, left))
+        yield i[i < j], j[i < j]
+        return
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            some, front = front[:BLOCK], front[BLOCK:]
+            met = near(some, left)
+            hit = met.any(axis=0)
+            yield some[met.argmax(axis=0)[hit]], left[hit]
+            front, left = np.concatenate([front, left[hit]]), left[~hit]
 
 
 def _similar_tiles(close: int, lanes: int, least: float):
-    """Edges that span the rows of a tile whose shingle sets have a similarity (shared of all) of least or more."""
+    """Edges that span the rows of a tile whose shingle sets have a similarity (shared of all) of least or more; rows of one id are one node."""
 
-    def tile(fp: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        """For each row the first row of its group."""
-        size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    def tile(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """For each row, by ascending ids, the first row of its group."""
+        size, label = np.array([len(x) for x in sets]), np.searchsorted(ids, ids)
         for i in range(1, len(sets)):
             near = np.bitwise_count(fp[:i] ^ fp[i]).sum(axis=1, dtype=np.int64) <= close
             near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
@@ -267,9 +277,10 @@ def _similar_tiles(close: int, lanes: int, least: float):
         edge, out = [*np.flatnonzero(np.diff(key, prepend=key[0] - 1)).tolist(), len(key)], []
         for a, b in zip(edge, edge[1:]):
             if b - a > 1:
-                label = tile(fp[a:b], [values[o[k] : o[k + 1]] for k in range(a, b)])
+                row = a + np.argsort(ids[a:b], kind="stable")
+                label = tile(ids[row], fp[row], [values[o[k] : o[k + 1]] for k in row])
                 at = np.flatnonzero(label != np.arange(b - a))
-                out.append((ids[a + at], ids[a + label[at]]))
+                out.append((ids[row[at]], ids[row[label[at]]]))
         return out
 
     return _by_tiles(find)
@@ -323,9 +334,9 @@ def links(prints: DataFrame, radius: int, near: int, lanes: int, rows: int) -> D
     return _dealt(keyed, ["lane", *fps]).mapInArrow(_link_tiles(near, radius, lanes), "u long, v long")
 
 
-def _dealt(keyed: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
     """(tile, id, columns) sorted by tile: rows of a key, or parts of `most` rows of it of which each two meet."""
-    most = most or TILE_ROWS
+    most = TILE_ROWS
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
     crowded = saved(crowded, "crowded")  # a key of over `most` rows each: a small table, or a join that AQE can split
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -336,6 +347,39 @@ def _dealt(keyed: DataFrame, columns: list[str], most: int | None = None) -> Dat
     return tiled.select("tile", "id", *columns).repartition("tile").sortWithinPartitions("tile")
 
 
+def _spanned(keyed: DataFrame, columns: list[str], most: int, find) -> DataFrame:
+    """Edges u > v that span the links of rows (id, key, columns) of one key; find links the rows of a tile.
+
+    Parts of a key of over `most` rows meet its smallest id only. That joins a group of near copies with work in
+    proportion to its rows. What is not one component then is compared in full: rows outside the key's largest
+    component with all of it and with each other, under their component's id, so that a tile gives edges between components only.
+    """
+    tiles = lambda rows, tile: find(rows.select(tile.alias("tile"), "id", *columns).repartition("tile").sortWithinPartitions("tile"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where(F.col("n") > most)
+    crowded = saved(crowded.select("key", "hub", F.ceil(F.col("n") / most).cast("int").alias("parts")), "crowded")  # keys of over `most` rows: a small table, or a join that AQE can split
+    if crowded.isEmpty():
+        return tiles(keyed, F.col("key"))
+    part = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    upto = lambda parts: F.sequence(F.lit(0), parts - 1)
+    seats = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("id") == F.col("hub"), upto(F.col("parts"))).otherwise(F.array(part(F.col("parts"))))
+    dealt = keyed.join(crowded, "key", "left").withColumn("seat", F.explode(seats))
+    edges = saved(tiles(dealt, F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", "seat"))), "edges-to-hubs")
+    joined = saved(components(edges), "joined")
+    label = F.coalesce("component", "id").alias("label")
+    sizes = keyed.join(crowded, "key", "left_semi").select("key", "id").join(joined, "id", "left").groupBy("key", label).agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where(F.col("n") > F.col("main.n"))
+    parts = lambda n: F.ceil(n / most).cast("int")
+    sizes = saved(sizes.select("key", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("mains"), parts(F.col("n") - F.col("main.n")).alias("rests")), "apart")
+    rows = keyed.join(sizes, "key").join(joined, "id", "left").withColumn("label", label)
+    own = part(F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("rests")))
+    cross = lambda m, r: F.xxhash64("key", F.lit(0), m, r)
+    inside = F.transform(upto(F.col("rests")), lambda r: F.xxhash64("key", F.lit(1), F.least(r, own), F.greatest(r, own)))
+    seats = F.when(F.col("label") == F.col("main"), F.transform(upto(F.col("rests")), lambda r: cross(own, r)))
+    seats = seats.otherwise(F.concat(F.transform(upto(F.col("mains")), lambda m: cross(m, own)), inside))
+    rest = rows.withColumn("seat", F.explode(seats)).withColumn("id", F.col("label"))
+    return joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(tiles(rest, F.col("seat")).where("u <> v"))
+
+
 def key_plan(rows: int) -> tuple[int, int]:
     """Bits of a key and the number of choices for so many different texts."""
     bits = KEY_BITS + max(0, ceil(log2(max(1, rows) / KEY_ROWS)))
@@ -354,7 +398,7 @@ def clusters(prints: DataFrame) -> DataFrame:
     fps = [f"fp{i}" for i in range(FILTER_LANES)]
     keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"fp{k}").bitwiseAND(F.lit(m))) for t, (k, m) in enumerate(_bit_choices(*key_plan(prints.count())))))
     keyed = prints.select("id", *fps, F.explode(keys).alias("key"))
-    linked = components(_dealt(keyed, fps).mapInArrow(_close_tiles(CLOSE, FILTER_LANES), "u long, v long"))
+    linked = components(_spanned(keyed, fps, TILE_ROWS, lambda rows: rows.mapInArrow(_close_tiles(CLOSE, FILTER_LANES), "u long, v long")))
     return saved(linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()), "clusters")
 
 
@@ -432,8 +476,8 @@ def similar_groups(rows: DataFrame, shingle: int, least: float, exact: bool = Fa
     if exact:
         first = F.slice("shingles", F.lit(1), (F.size("shingles") - F.ceil(F.lit(least) * F.size("shingles") - 1e-9) + 1).cast("int"))
         held = held.withColumn("key", F.explode(first))
-    edges = _dealt(held, [*fps, "shingles"], TILE_SETS).mapInArrow(_similar_tiles(64 * LANES if exact else CLOSE_ALL, LANES, least), "u long, v long").where("u <> v")
-    linked = components(edges)
+    similar = _similar_tiles(64 * LANES if exact else CLOSE_ALL, LANES, least)
+    linked = components(_spanned(held, [*fps, "shingles"], TILE_SETS, lambda rows: rows.mapInArrow(similar, "u long, v long").where("u <> v")))
     return marked.join(linked, "id", "left").select("_id", "_mark", F.coalesce("component", "id").alias("_group"))
 
 

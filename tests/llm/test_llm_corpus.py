@@ -172,6 +172,29 @@ def test_one_of_each_group_is_the_similarity_of_pairs(spark, monkeypatch, tile):
     assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups(made))
 
 
+def test_links_of_a_crowd_grow_with_its_rows(spark, monkeypatch):
+    """Near copies in any order give one edge a row at most to the star rounds, whatever the parts of their cluster; a pair that meets no hub is found."""
+    import random
+
+    rng, given, real = random.Random(13), [], simhash.components
+
+    def counted(edges, *most):
+        given.append(edges.distinct().count())
+        return real(edges, *most)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(simhash, "TILE_SETS", 4)
+    crowd = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    made = [crowd[:100] + [f"new{k}"] + crowd[101:] for k in range(120)]
+    for at, n in ((30, 25), (150, 25)):  # two families too far from the crowd, each alike inside
+        made += [crowd[:at] + [f"x{at}{i}" for i in range(n)] + crowd[at + n :]] * 1 + [crowd[:at] + [f"x{at}{i}" for i in range(n)] + crowd[at + n : -1] + [f"y{at}"]]
+    order = list(range(len(made)))
+    rng.shuffle(order)
+    kept = simhash.one_of_each_group(spark.createDataFrame([(i, " ".join(made[i])) for i in order], "doc_id long, text string").repartition(7))
+    assert {r.doc_id for r in kept.collect()} == set(brute_similar_groups([" ".join(w) for w in made]))
+    assert max(given) <= len(made)
+
+
 def test_keys_grow_with_the_rows_and_keep_their_recall():
     assert simhash.key_plan(1) == simhash.key_plan(simhash.KEY_ROWS) == (14, 64)
     for rows in (1 << 21, 1 << 26, 1 << 33):
