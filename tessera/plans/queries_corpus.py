@@ -202,7 +202,9 @@ def sparse_top10(spark, sf_dir):
     """Documents and benchmark passages as sparse vectors of term weights, ranked by dot product."""
     docs = lens.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), F.col("doc_id").alias("ord"), "text")
     asked = lens.table(spark, sf_dir, "benchmark").select("item_id", F.explode(ranking.terms(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.log1p(F.count("*")).alias("weight"))
-    top = postings.sparse_top(asked, postings.weighted(postings.count_terms(docs, [])), ["item_id"], 10)
+    held, asked = postings.count_vectors(docs), saved(asked, "asked")
+    held = held.withColumn("weights", F.transform("counts", F.log1p))
+    top = postings.vector_top(asked.join(postings.rarity(asked, held), "term"), held, ["item_id"], 10)
     return top.select("item_id", F.col("cand_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
