@@ -122,3 +122,16 @@ def test_forms_and_moves(spark):
     data = data.replace(b"6 0 obj\n<< ", b"6 0 obj\n<< /Subtype /Form ")
     got = [(r.text, r.x, r.y) for r in pdf.text_operations(spark.createDataFrame([("a", data)], "path string, content binary")).orderBy("ord").collect()]
     assert got == [("inside", 15, 25), ("a", 50, 100), ("b", 50, 88), ("c", 50, 85), ("d", 50, 82)]
+
+
+def test_small_files_share_batches_and_odd_tokens_are_read():
+    import pyarrow as pa
+
+    names = [f"f{i}" for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"_key": names, "_content": [b"%PDF-1.4\n", None] * 150})
+    out = list(pdf._operations(iter([batch, batch])))  # a batch a file before
+    assert len(out) == 1 and out[0].column(0).to_pylist() == names * 2
+    data = b"%x\n 12 -.5 " + b" " * 50_000 + b"< <4 1> <414> /A#42 [1 0 R (a(b)\\051)] <</K true>> Tj" + b"\n" * 50_000
+    got = list(pdf.values(data))
+    assert [v for v, _, _ in got] == [12, -0.5, b"A", b"A@", "AB", [pdf.Ref(1, 0), b"a(b))"], {"K": True}, b"Tj"]
+    assert [data[a:b] for _, a, b in got][:5] == [b"12", b"-.5", b"<4 1>", b"<414>", b"/A#42"]
