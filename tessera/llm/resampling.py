@@ -6,7 +6,8 @@ repeats counted; a feature's bucket is the CRC-32 of its UTF-8 bytes modulo the
 
 The document-by-bucket counts are a sparse matrix, saved once as Parquet in compressed-row
 blocks: a row of the table holds the ids of some documents, the bounds of each document's
-entries, and the buckets and counts of the entries. Column sums of the two matrices give the
+entries, and the buckets and counts of the entries. Rows and row groups are small, so that
+what a task holds does not grow with its share of the table. Column sums of the two matrices give the
 two distributions, with one added to every bucket; the gain of a bucket is
 floor(1000 ln(target share / share)). The product of the matrix with the gains, over the
 number of features and floored, is a document's weight. Noise from a hash of the id
@@ -30,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ from . import words as tw
 from .shared import quoted, saved
 
 BUCKETS, LONGEST, PERCENT, LEAST_WORDS, SEED = 10_000, 1, 10, 20, "2024"
-#: Entries of the matrix that a block holds at least, if there are so many (a document more at most).
-BLOCK_ENTRIES = 1 << 17
+#: Entries of the matrix that a block holds at most, but for a document more.
+BLOCK_ENTRIES = 1 << 12
+#: The saved matrix is written in row groups of about so many encoded bytes. Spark's reader decodes 4,096 rows of a row group at once, some 30 times as many bytes: larger ones fill an executor.
+ROW_GROUP = {"parquet.block.size": 2 << 20, "parquet.block.size.row.check.max": 100}
 #: Bytes of features that are hashed place by place; longer ones go to zlib one at a time.
 SHORT = 64
 
@@ -97,27 +100,20 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lo
     """The matrix of counts in compressed-row blocks: a row per block (BLOCK)."""
     inside = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text).cast("string").alias("_text"))
 
-    def block(parts: list) -> pa.RecordBatch:
-        ids, n_words, n_features, entries, bucket, count = zip(*parts, strict=True)
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(entries))])
-        columns = (pa.concat_arrays(ids), *map(np.concatenate, (n_words, n_features)), bounds, *map(np.concatenate, (bucket, count)))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c, k)) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(lists, names=["ids", "n_words", "n_features", "bounds", "bucket", "count"])
-
     def run(batches):
-        parts, held = [], 0
         for batch in tw.passes(batches, "_text"):
             owner, bucket, n_words = features(batch.column(1), longest, buckets)
             key, count = np.unique(owner * buckets + bucket, return_counts=True)
-            owner_of, n = key // buckets, batch.num_rows
-            parts.append((batch.column(0), n_words, np.bincount(owner, minlength=n), np.bincount(owner_of, minlength=n), key % buckets, count))
-            held += len(key)
-            if held >= BLOCK_ENTRIES:
-                yield block(parts)
-                parts, held = [], 0
-        if parts:
-            yield block(parts)
+            n = batch.num_rows
+            edges = np.concatenate([[0], np.cumsum(np.bincount(key // buckets, minlength=n))])
+            block = (edges[:-1] + 3 * np.arange(n)) // BLOCK_ENTRIES  # a document's own numbers take the room of three entries
+            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=block[-1] + 1))
+            bounds = np.concatenate([edges[i : j + 1] - edges[i] for i, j in pairwise(cuts.tolist())])
+            columns = (batch.column(0), n_words, np.bincount(owner, minlength=n), bounds, key % buckets, count)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            places = (cuts, cuts, cuts, cuts + np.arange(len(cuts)), edges[cuts], edges[cuts])
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), c if isinstance(c, pa.Array) else pa.array(c, k)) for c, k, at in zip(columns, kinds, places, strict=True)]
+            yield pa.RecordBatch.from_arrays(lists, names=["ids", "n_words", "n_features", "bounds", "bucket", "count"])
 
     return inside.mapInArrow(run, BLOCK)
 
@@ -201,7 +197,7 @@ def resampled(
     longest: int = LONGEST, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED,
 ) -> DataFrame:
     """id, n_words, n_features, weight, score, rank: a row per row of docs; rank is null where it is not drawn."""
-    matrix = saved(count_matrix(docs, id_col, text, longest, buckets), "counts")
+    matrix = saved(count_matrix(docs, id_col, text, longest, buckets), "counts", ROW_GROUP)
     wanted = count_matrix(target.select(F.lit(None).cast("long").alias("_none"), quoted(target_text).alias("_text")), "_none", "_text", longest, buckets)
     scored = saved(weights(matrix, gains(matrix, wanted, buckets), id_col, seed), "scored")
     return drawn(scored, id_col, percent, least_words)

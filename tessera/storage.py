@@ -24,11 +24,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: a later task's loss recomputes nothing before it.
+def saved(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """df written once to the shared folder (with the writer's options) and read back: a later task's loss recomputes nothing before it.
 
     (A reliable checkpoint() computes its last stage twice, once to count and once to write.)
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

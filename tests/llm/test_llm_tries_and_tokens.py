@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,16 @@ def test_resampling_of_nothing_and_of_a_very_long_text(spark, no_docs):
     df = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")
     got = {r.doc_id: r for r in resampling.resampled(df, none, percent=100).collect()}
     assert got[1].n_features == 500_000 and got[1]["rank"] == 1 and got[2]["rank"] is None
+
+
+def test_rows_and_row_groups_of_the_count_matrix_stay_small_in_one_large_task(spark, monkeypatch):
+    """Spark's reader decodes 4,096 rows of a row group at once: neither may grow with a task's share of the texts."""
+    text = "concat_ws(' ', transform(sequence(0, 1999), x -> concat('w', (7 * x + 13 * id) % 9000)))"
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", f"{text} AS text")
+    kept, save = [], resampling.saved
+    monkeypatch.setattr(resampling, "saved", lambda *a: kept.append(save(*a)) or kept[-1])
+    assert resampling.resampled(docs, docs.limit(3)).where("n_features = 2000").count() == 1500
+    assert kept[0].selectExpr("max(size(bucket))").first()[0] <= resampling.BLOCK_ENTRIES + resampling.BUCKETS < 20_000
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept[0].inputFiles()]
+    groups = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert max(groups) < 4 << 20 < sum(groups)
